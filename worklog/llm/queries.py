@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_line_dedup": "line_dedup",
     "op4_exact_dedup": "exact_dedup",
+    "op5_sentencepiece": "sentencepiece_codec",
     "op6_source_mixing": "mixing",
+    "op7_winnowing": "winnowing",
+    "op10_token_store": "token_store",
 }
 
 
