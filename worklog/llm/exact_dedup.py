@@ -18,18 +18,19 @@ from . import common
 HEAD, SALTS = 48, 64
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
-    """Rows with _sha, _salt, and of their piece of a group: _rank of the row, _least identifier and _rows."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    norm = F.regexp_replace(text, common.SPACE_CLASS, " ")
-    ranged = docs.withColumns(
-        {"_head": F.substring(norm, 1, HEAD), "_hash": F.xxhash64(norm), "_salt": F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(salts)).cast("int")}
+def _placed(docs: DataFrame, id_col: str, text_col: str, salts: int, row: bool) -> DataFrame:
+    """_id, _salt, _sha, and of the row's piece of a group: _rank of the row, _least identifier, _rows; _row if asked."""
+    kept = F.struct(*docs.columns) if row else F.struct(F.col(text_col).cast("string").alias(text_col))
+    norm = F.regexp_replace(F.coalesce(F.col(f"_row.{text_col}").cast("string"), F.lit("")), common.SPACE_CLASS, " ")
+    own = docs.select(F.col(id_col).alias("_id"), kept.alias("_row"))
+    ranged = own.withColumns(
+        {"_head": F.substring(norm, 1, HEAD), "_hash": F.xxhash64(norm), "_salt": F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(salts)).cast("int")}
     ).repartitionByRange("_head", "_hash", "_salt")
-    near = Window.partitionBy("_head", "_hash", "_salt", "_norm").orderBy(F.col(id_col).asc_nulls_last())
+    near = Window.partitionBy("_head", "_hash", "_salt", "_norm").orderBy(F.col("_id").asc_nulls_last())
     whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return ranged.withColumn("_norm", norm).select(
-        *docs.columns, "_salt", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"),
-        F.row_number().over(near).alias("_rank"), F.min(id_col).over(whole).alias("_least"), F.count(F.lit(1)).over(whole).alias("_rows"),
+        "_id", *["_row"] * row, "_salt", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"),
+        F.row_number().over(near).alias("_rank"), F.min("_id").over(whole).alias("_least"), F.count(F.lit(1)).over(whole).alias("_rows"),
     )
 
 
@@ -40,22 +41,22 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest identifier exactly one is kept; rows without an identifier are kept only where no copy has one. An empty
     table gives an empty result; columns other than these two are not read.
     """
-    pieces = common.stored(_placed(docs.select(id_col, text_col), id_col, text_col, salts).drop(text_col), "content-sort")
+    pieces = common.stored(_placed(docs, id_col, text_col, salts, row=False), "content-sort")
     group = Window.partitionBy("_sha")
     heads = pieces.filter("_rank = 1").select(
         "_sha", "_salt", F.min("_least").over(group).alias("keep_id"), F.sum("_rows").over(group).alias("group_size"),
         F.row_number().over(group.orderBy(F.col("_least").asc_nulls_last(), "_salt")).alias("_piece"),
     )
     return pieces.join(heads, ["_sha", "_salt"]).select(
-        F.col(id_col), "keep_id", "group_size", ((F.col("_piece") == 1) & (F.col("_rank") == 1)).alias("kept"), F.col("_sha").alias("text_sha256")
+        F.col("_id").alias(id_col), "keep_id", "group_size", ((F.col("_piece") == 1) & (F.col("_rank") == 1)).alias("kept"), F.col("_sha").alias("text_sha256")
     )
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The kept rows of docs with all their columns; the rules are those of duplicate_groups."""
-    heads = _placed(docs, id_col, text_col, salts).filter("_rank = 1")
+    heads = _placed(docs, id_col, text_col, salts, row=True).filter("_rank = 1")
     order = Window.partitionBy("_sha").orderBy(F.col("_least").asc_nulls_last(), "_salt")
-    return heads.withColumn("_piece", F.row_number().over(order)).filter("_piece = 1").select(*docs.columns)
+    return heads.withColumn("_piece", F.row_number().over(order)).filter("_piece = 1").select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = mix_plan(docs, id_col, source_col, text_col, weights, total, epochs).filter("taken > 0")
     times = plan.groupBy(F.col(id_col).alias("_mixed")).agg(F.max(F.try_divide("taken", "size")).cast("int").alias("_times"))
     mixed = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
-    return mixed.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    return mixed.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias("_mix_copy")).drop("_mix_copy")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
