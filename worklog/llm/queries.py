@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that has it.
 MODULES = {
     "op1_line_dedup": "line_dedup",
+    "op2_substring_dedup": "substring_dedup",
     "op4_exact_dedup": "exact_dedup",
     "op5_sentencepiece": "sentencepiece_codec",
     "op6_source_mixing": "mixing",
     "op7_winnowing": "winnowing",
+    "op8_near_dedup": "near_dedup",
     "op10_token_store": "token_store",
 }
 
