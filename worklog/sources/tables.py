@@ -20,10 +20,14 @@ def read_entity(spark: SparkSession, path: str, name: str, project_id: str | Non
 
 
 def read_source_tree(spark: SparkSession, folder: str, exts: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """path (below the folder) and content, one row for each file with one of the extensions."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(exts) + "}").text(folder, wholetext=True)
-    full = F.col("_metadata.file_path")
-    return rows.select(F.regexp_replace(full, F.concat(F.lit("^.*?"), F.lit(folder.rstrip("/").split("://")[-1].replace(".", r"\.")), F.lit("/")), F.lit("")).alias("path"), F.col("value").alias("content"))
+    """path (below the folder) and content, one row for each file with one of the extensions.
+
+    Spark's readers skip files without a byte, so those have no row.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(exts) + "}").load(folder)
+    root = folder.rstrip("/").split("://")[-1]
+    below = F.expr("substring(path, instr(path, root) + length(root) + 1)")
+    return rows.select("path", "content", F.lit(root).alias("root")).select(below.alias("path"), F.col("content").cast("string").alias("content"))
 
 
 def parse_change_reports(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
