@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worklog.sources.shared import stored
+
+#: Rounds after which the pairs seen so far become one table again.
+MERGE_EVERY = 8
+
 
 def dependency_summary(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Per task depends_on and blocks: sorted lists of (id, title, status, kind)."""
@@ -47,21 +52,6 @@ def demote_on_new_dependency(tasks: DataFrame, new_edges: DataFrame) -> DataFram
     return tasks.join(hit, ["project_id", "id"], "left").withColumn("status", F.when(demoted, "planned").otherwise(F.col("status"))).select(*tasks.columns)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage in the folder that all executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        return df.checkpoint()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def would_cycle(edges: DataFrame, candidates: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Add verdict to candidate edges (project_id, task_id, prerequisite_task_id): self_dependency, cycle or ok.
 
@@ -72,15 +62,18 @@ def would_cycle(edges: DataFrame, candidates: DataFrame, max_rounds: int = 10_00
     step = edges.select(F.col("project_id"), F.col("task_id").alias("_at"), F.col("prerequisite_task_id").alias("_next")).distinct()
     pairs = candidates.select("project_id", "task_id", "prerequisite_task_id").distinct()
     live = pairs.filter("task_id <> prerequisite_task_id")
-    frontier = _kept(live.withColumn("_at", F.col("prerequisite_task_id")), "frontier")
-    seen = frontier
+    frontier = stored(live.withColumn("_at", F.col("prerequisite_task_id")), "frontier")
+    parts = [frontier]
     keys = ["project_id", "task_id", "prerequisite_task_id", "_at"]
     for _ in range(max_rounds):
         ahead = frontier.filter("_at <> task_id").join(step, ["project_id", "_at"]).select("project_id", "task_id", "prerequisite_task_id", F.col("_next").alias("_at")).distinct()
-        frontier = _kept(ahead.join(seen, keys, "left_anti"), "frontier")
+        frontier = stored(ahead.join(reduce(DataFrame.unionByName, parts), keys, "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = _kept(seen.unionByName(frontier), "seen")
+        parts.append(frontier)
+        if len(parts) > MERGE_EVERY:
+            parts = [stored(reduce(DataFrame.unionByName, parts), "seen")]
+    seen = reduce(DataFrame.unionByName, parts)
     closing = seen.filter("_at = task_id").select("project_id", "task_id", "prerequisite_task_id", F.lit("cycle").alias("_v")).distinct()
     verdict = F.when(F.col("task_id") == F.col("prerequisite_task_id"), "self_dependency").otherwise(F.coalesce("_v", F.lit("ok")))
     return candidates.join(closing, ["project_id", "task_id", "prerequisite_task_id"], "left").withColumn("verdict", verdict).select(*candidates.columns, "verdict")

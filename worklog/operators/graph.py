@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklog.operators.deps import _kept
+from worklog.sources.shared import stored
 
 EDGE = ["project_id", "source_id", "target_id", "relation_type"]
 
@@ -33,13 +33,13 @@ def focus_subgraph(nodes: DataFrame, edges: DataFrame, focus: str, depth: int) -
     if hit.isEmpty():
         return nodes, edges
     steps = edges.select("project_id", F.col("source_id").alias("id"), F.col("target_id").alias("_to")).unionByName(edges.select("project_id", F.col("target_id").alias("id"), F.col("source_id").alias("_to"))).distinct()
-    seen = frontier = _kept(hit.distinct(), "frontier")
+    seen = frontier = stored(hit.distinct(), "frontier")
     for _ in range(depth):
         ahead = frontier.join(steps, ["project_id", "id"]).select("project_id", F.col("_to").alias("id")).distinct()
-        frontier = _kept(ahead.join(seen, ["project_id", "id"], "left_anti"), "frontier")
+        frontier = stored(ahead.join(seen, ["project_id", "id"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = _kept(seen.unionByName(frontier), "seen")
+        seen = stored(seen.unionByName(frontier), "seen")
     inside = edges.join(seen.withColumnRenamed("id", "source_id"), ["project_id", "source_id"], "left_semi").join(seen.withColumnRenamed("id", "target_id"), ["project_id", "target_id"], "left_semi")
     return nodes.join(seen, ["project_id", "id"], "left_semi"), inside
 

@@ -12,6 +12,8 @@ from worklog.functions import expr
 from worklog.operators import bundles, deps, graph, latest, listing, quality, resolve, retention, scopes, search, stats, transitions
 from worklog.sources import sinks, tables
 from worklog.sources.demo import Demo, with_views
+from worklog.sources.shared import shared_folder
+from worklog.streaming import streams
 
 NOW = datetime(2001, 9, 1)
 LOG_NOW = datetime(2024, 2, 1)
@@ -507,6 +509,19 @@ def _(d: Demo) -> DataFrame:
     return graph.extract_imports(files, graph.HREF).select(F.col("path").cast("long").alias("page_id"), "target")
 
 
+@query(
+    "f10_resolve_imports",
+    """SELECT DISTINCT concat('src/part/', CAST(l_partkey AS STRING), '.rs') AS source_id, CASE WHEN l_suppkey % 2 = 0 THEN concat('src/supp/', CAST(l_suppkey AS STRING), '.rs') ELSE concat('src/supp/', CAST(l_suppkey AS STRING), '/mod.rs') END AS target_id
+FROM lineitem WHERE (l_suppkey % 2 = 0 OR l_suppkey % 3 = 0) AND NOT (l_suppkey % 2 = 0 AND l_partkey % 5 = 0)""",
+)
+def _(d: Demo) -> DataFrame:
+    own, other = "concat('src/part/', CAST(l_partkey AS STRING), '.rs')", "concat('src/supp/', CAST(l_suppkey AS STRING), '.rs')"
+    imports = d["lineitem"].selectExpr("'P0' AS project_id", f"{own} AS path", "concat('src/supp/', CAST(l_suppkey AS STRING), '/deep/Thing.rs') AS target").distinct()
+    files = d["supplier"].selectExpr("'P0' AS project_id", "CASE WHEN s_suppkey % 2 = 0 THEN concat('src/supp/', CAST(s_suppkey AS STRING), '.rs') WHEN s_suppkey % 3 = 0 THEN concat('src/supp/', CAST(s_suppkey AS STRING), '/mod.rs') END AS path").filter("path IS NOT NULL")
+    old = d["lineitem"].filter("l_partkey % 5 = 0").selectExpr("'P0' AS project_id", f"{own} AS source_id", f"{other} AS target_id", "'depends_on' AS relation_type")
+    return graph.resolve_imports(imports, files, old).select("source_id", "target_id")
+
+
 @query("f11_changed_edges", "SELECT DISTINCT task_id AS source_id, replace(content, ' ', '-') AS target_id FROM wl_progress_items WHERE type = 'risk' AND project_id = 'P0'")
 def _(d: Demo) -> DataFrame:
     files = F.concat(F.lit("part-"), F.substring_index("content", " ", -1))
@@ -746,6 +761,26 @@ ACCENTS = f"lower(translate(unnest(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+
 TOKENS = f"c AS ({CORPUS.replace('{', '').replace('}', '')}), k AS (SELECT kind, doc_id, {ACCENTS} AS term, generate_subscripts(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+'), 1) - 1 AS pos FROM c)"
 
 
+@query(
+    "g1_corpus",
+    """SELECT 'task' AS kind, id AS doc_id, title AS body FROM wl_tasks UNION ALL SELECT 'progress', id, content FROM wl_progress_items UNION ALL SELECT 'checkpoint', id, concat(role, ' ', branch) FROM wl_checkpoints
+UNION ALL SELECT 'decision', id, concat_ws(' ', title, decision_body, rationale) FROM wl_decisions""",
+)
+def _(d: Demo) -> DataFrame:
+    lists = d.checkpoints.withColumns({"done": F.array("role"), "remaining": F.array("branch"), "notes": F.lit(None).cast("array<string>")})
+    return search.search_corpus(d.tasks, d.progress_items, lists, d.decisions).select("kind", "doc_id", "body")
+
+
+@query(
+    "g3_parse_queries",
+    """WITH x AS (SELECT c_custkey AS query_id, lower(c_mktsegment) AS w, c_custkey % 5 AS m FROM customer)
+SELECT query_id, 0 AS leaf, 0 AS group_no, false AS negated, w AS terms, m = 1 AS is_prefix FROM x WHERE m < 4 UNION ALL SELECT query_id, 2, CASE WHEN m = 2 THEN 1 ELSE 0 END, m = 3, 'other|word', false FROM x WHERE m IN (2, 3) UNION ALL SELECT query_id, 0, 0, false, '', false FROM x WHERE m = 4""",
+)
+def _(d: Demo) -> DataFrame:
+    text = "CASE c_custkey % 5 WHEN 0 THEN c_mktsegment WHEN 1 THEN concat(c_mktsegment, '*') WHEN 2 THEN concat(c_mktsegment, ' OR other-word') WHEN 3 THEN concat(c_mktsegment, ' NOT \"other word\"') ELSE concat('OR ', c_mktsegment) END AS text"
+    return search.parse_queries(d["customer"].selectExpr("c_custkey AS query_id", text)).select("query_id", "leaf", "group_no", "negated", F.array_join("terms", "|").alias("terms"), "is_prefix")
+
+
 @query("g2_index", f"WITH {TOKENS} SELECT kind, doc_id, term, string_agg(pos, '|' ORDER BY pos) AS positions FROM k GROUP BY ALL")
 def _(d: Demo) -> DataFrame:
     _, index, _, _ = _search(d)
@@ -785,6 +820,57 @@ def _(d: Demo) -> DataFrame:
     return search.snippet(hits, corpus, search.parse_queries(asked)).select("query_id", "kind", "doc_id", "snippet")
 
 
+# Streams: each runs over the files at hand, to a table in the shared folder
+
+
+EVENT_TYPES = "CASE event_type WHEN 'signup' THEN 'task.created' WHEN 'view' THEN 'task.claimed' WHEN 'click' THEN 'task.releaseed' WHEN 'purchase' THEN 'task.completeed' ELSE 'task.canceled' END"
+
+
+def _stream(d: Demo) -> DataFrame:
+    """The driver's events as a stream with the columns of the event log."""
+    source = d["events"]
+    rows = d.spark.readStream.schema(source.schema).parquet(f"{d.sf_dir}/events.parquet*")
+    return rows.selectExpr(
+        "concat('E', lpad(CAST(event_id AS STRING), 10, '0')) AS id", "concat('P', CAST(user_id % 5 AS STRING)) AS project_id", f"{EVENT_TYPES} AS type", "'task' AS aggregate_type", "CAST(user_id AS STRING) AS aggregate_id",
+        "CASE WHEN event_id % 100 = 0 THEN '{bad' ELSE props END AS payload_json", "ts AS occurred_at", "CAST(user_id AS STRING) AS actor_agent_id", "CAST(user_id AS STRING) AS session_id", "CAST(user_id AS STRING) AS task_id",
+    )
+
+
+def _ended(d: Demo, df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there and read what it wrote."""
+    out, state = shared_folder(d.spark, name), shared_folder(d.spark, f"{name}-state")
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return d.spark.read.schema(df.schema).parquet(out)
+
+
+@query("i1_ingest", "SELECT concat('E', lpad(CAST(event_id AS STRING), 10, '0')) AS id, CASE event_type WHEN 'signup' THEN 'task.created' WHEN 'view' THEN 'task.claimed' WHEN 'click' THEN 'task.released' WHEN 'purchase' THEN 'task.completed' ELSE 'task.cancelled' END AS type FROM events WHERE event_id % 100 <> 0")
+def _(d: Demo) -> DataFrame:
+    out, state = shared_folder(d.spark, "ingested"), shared_folder(d.spark, "ingest-state")
+    for q in streams.ingest_events(_stream(d), out, state):
+        q.awaitTermination()
+    return d.spark.read.parquet(out).select("id", "type")
+
+
+@query("i2_running_counts", f"SELECT concat('P', CAST(user_id % 5 AS STRING)) AS project_id, {EVENT_TYPES} AS type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, count(*) AS events FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL")
+def _(d: Demo) -> DataFrame:
+    return _ended(d, streams.running_event_counts(_stream(d)), "counts").withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+@query(
+    "i3_stale_sessions",
+    """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT CAST(user_id AS STRING) AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_activity_at FROM n GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""",
+)
+def _(d: Demo) -> DataFrame:
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _ended(d, streams.detect_stale(_stream(d)), "stale").select("session_id", text("started_at"), text("last_activity_at"))
+
+
+@query("i4_guard")
+def _(d: Demo) -> DataFrame:
+    return _ended(d, streams.guard_transitions(_stream(d)), "guard").select("task_id", "id", "type", "before", "after", "verdict")
+
+
 # Bundles
 
 

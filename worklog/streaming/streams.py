@@ -71,14 +71,21 @@ GUARD_MOVES = {
 GUARD_OUTPUT = "project_id string, task_id string, id string, type string, before string, after string, verdict string"
 
 
-def judge_in_order(rows: pd.DataFrame, status: str) -> tuple[list[tuple], str]:
-    """Verdicts of one task's events in order of time and id, and the status they lead to."""
+def judge_in_order(rows: pd.DataFrame, status: str | None, initial: str = "ready") -> tuple[list[tuple], str | None]:
+    """Verdicts of one task's events in order of time and id, and the status they lead to.
+
+    A task can be created once; other actions on a task that is not known yet take it to be in its initial status.
+    """
     out = []
     for r in rows.sort_values(["occurred_at", "id"]).itertuples():
-        starts, end = GUARD_MOVES.get(r.type, ((), status))
-        allowed = r.type == "task.created" or status in starts
-        after = ("ready" if r.type == "task.created" else end) if allowed else status
-        out.append((r.project_id, r.task_id, r.id, r.type, status, after, "allowed" if allowed else "INVALID_TASK_TRANSITION"))
+        before = status or initial
+        if r.type == "task.created":
+            allowed, after = status is None, initial if status is None else before
+        else:
+            starts, end = GUARD_MOVES.get(r.type, ((), before))
+            allowed = before in starts
+            after = end if allowed else before
+        out.append((r.project_id, r.task_id, r.id, r.type, before, after, "allowed" if allowed else "INVALID_TASK_TRANSITION"))
         status = after
     return out, status
 
@@ -90,8 +97,7 @@ def guard_transitions(stream: DataFrame, watermark: str = "0 seconds", initial:
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status = state.get[0] if state.exists else initial
-        rows, status = judge_in_order(pd.concat(list(parts)), status)
+        rows, status = judge_in_order(pd.concat(list(parts)), state.get[0] if state.exists else None, initial)
         state.update((status,))
         yield pd.DataFrame(rows, columns=["project_id", "task_id", "id", "type", "before", "after", "verdict"])
 
