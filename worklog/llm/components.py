@@ -1,4 +1,4 @@
-"""Connected components by the least label of the neighbours and pointer jumps, all in tables."""
+"""Connected components by contraction, all in tables."""
 
 from __future__ import annotations
 
@@ -11,16 +11,26 @@ from . import common
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of each node of the edges (a, b), in either direction, repeated or not.
 
-    Each round a node takes the least label among its neighbours and then its label's label, so the number of rounds
-    grows with the logarithm of the longest path. Every round is written to the shared folder.
+    In each round a node moves to the least of itself and its neighbours, and from there one step further; the edges
+    follow their ends, and those within one node go. Each edge keeps joining what it joined, the least node of a
+    component never moves, and only nodes that are less than all their neighbours are left, so the edges shrink fast.
+    Every round is written to the shared folder.
     """
-    both = common.stored(edges.select("a", "b").filter("a <> b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("lower"))
-        jump = labels.select(F.col("node").alias("lower"), F.col("component").alias("jump"))
-        moved = common.stored(lower.join(jump, "lower", "left").select("node", F.least("lower", "jump").alias("component"), (F.least("lower", "jump") != F.col("component")).alias("moved")), "labels")
-        labels = moved.select("node", "component")
-        if moved.filter("moved").isEmpty():
-            return labels
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    rest = common.stored(edges.filter("a <> b").select(low, high).distinct(), "edges")
+    labels = rest.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    first = True
+    while not rest.isEmpty():
+        ends = rest.select(F.col("a").alias("node"), "b").unionByName(rest.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        moves = ends.groupBy("node").agg(F.least(F.col("node"), F.min("b")).alias("to"))
+        onward = moves.select(F.col("node").alias("to"), F.col("to").alias("component"))
+        moved = common.stored(moves.join(onward, "to").select("node", "component"), "moves")
+        for end in ("a", "b"):
+            rest = rest.join(moved.select(F.col("node").alias(end), F.col("component").alias("_to")), end).drop(end).withColumnRenamed("_to", end)
+        rest = common.stored(rest.filter("a <> b").select(low, high).distinct(), "edges")
+        if first:
+            labels, first = moved, False
+        else:
+            step = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+            labels = common.stored(labels.join(step, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
+    return labels
