@@ -1,52 +1,25 @@
-"""What the operators share: shared-folder tables, ordered blocks of identifiers and the white space they agree on."""
+"""What the operators share: ordered blocks of identifiers, white space and letters; and the shared-folder tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklog.sources.shared import shared_folder, stored
+
 #: The characters that part words, as in ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
+__all__ = ["documents", "lower_ascii", "n_words", "shared_folder", "shuffle_partitions", "splitters", "stored", "with_block"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent (local tests) a temporary folder of this process takes its place and goes with it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if "base" not in _own:
-            _own["base"] = tempfile.mkdtemp(prefix="spark-")
-            atexit.register(shutil.rmtree, _own["base"], True)
-        base = f"file://{_own['base']}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
