@@ -16,7 +16,6 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +31,8 @@ from . import common
 MAGIC, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"WLSST1\n\0", 1 << 16, 10, 7
 INDEX, FOOTER = struct.Struct(">9sQII"), struct.Struct(">QIQIQQB8s")
 CACHE = 400_000
+#: Punctuation without the apostrophe, which begins tokens of its own kind.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -166,7 +167,8 @@ class WordEncoder:
     """Byte-level BPE through the tokenizers library, which sees each word once as long as it is remembered.
 
     A space that something other than white space follows always begins a token, so a text parts there; texts with other
-    runs of white space go to the library whole.
+    runs of white space go to the library whole. Letters and the punctuation behind them never share a token either, so
+    a new word's letters go to the library's model and its punctuation is looked up.
     """
 
     def __init__(self, file: str, end_id: int):
@@ -176,36 +178,68 @@ class WordEncoder:
         self.end = np.array([end_id], self.type).tobytes()
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.whole = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        self.letters = {b: chr(b) for b in printed} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in printed)}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words that follow a space."""
+        asked, later, model = [], self.later, self.library.model
+        if len(later) > CACHE:
+            self.older, self.later = later, {}
+            later = self.later
+        for word in words:
+            if (known := self.older.get(word)) is not None:
+                later[word] = known
+                continue
+            stem = word.rstrip(PUNCTUATION)
+            if not (stem.isalpha() and max(stem) < "\u0250"):
+                asked.append(word)
+                continue
+            if (ids := later.get(stem)) is None:
+                coded = f" {stem}".encode().decode("latin-1").translate(self.letters)
+                ids = later[stem] = np.array([t.id for t in model.tokenize(coded)], self.type).tobytes()
+            if stem != word:
+                tail = word[len(stem) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._ask([tail])[0]
+                later[word] = ids + self.tails[tail]
+        later.update(zip(asked, self._ask([f" {w}" for w in asked]), strict=True))
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id."""
-        if len(self.first) + len(self.later) > CACHE:
+        if len(self.first) > CACHE:
             self.first.clear()
-            self.later.clear()
-        plain, odd, heads, tails = [], [], {}, {}
+        if len(self.tails) > CACHE:
+            self.tails = {"": b""}
+        plain, odd, heads, fresh = [], [], {}, set()
         for k, text in enumerate(texts):
             parts = text.split(" ")
-            if any(t in text for t in self.whole) or any(not p or (p not in self.later and (p[0].isspace() or p[-1].isspace())) for p in parts):
+            head = parts.pop(0)
+            new = set(parts).difference(self.later)
+            if any(t in text for t in self.whole) or any(not p or p[0].isspace() or p[-1].isspace() for p in [head, *new]):
                 odd.append(k)
                 continue
-            plain.append((k, parts))
-            if parts[0] not in self.first:
-                heads[parts[0]] = None
-            for p in islice(parts, 1, None):
-                if p not in self.later:
-                    tails[p] = None
+            plain.append((k, head, parts))
+            fresh |= new
+            if head not in self.first:
+                heads[head] = None
+        held = self.later
+        self._learn(list(fresh))
+        if self.later is not held:  # a new generation began: words of this batch may be in the one before
+            self.later.update({p: held[p] for _, _, parts in plain for p in parts if p in held})
         self.first.update(zip(heads, self._ask(list(heads)), strict=True))
-        self.later.update(zip(tails, self._ask([f" {p}" for p in tails]), strict=True))
         out = [b""] * len(texts)
         for k, raw in zip(odd, self._ask([texts[k] for k in odd]), strict=True):
             out[k] = raw + self.end
-        later = self.later.__getitem__
-        for k, parts in plain:
-            out[k] = b"".join([self.first[parts[0]], *map(later, islice(parts, 1, None)), self.end])
+        ids = self.later.__getitem__
+        for k, head, parts in plain:
+            out[k] = b"".join([self.first[head], *map(ids, parts), self.end])
         return out
 
 
