@@ -238,6 +238,21 @@ def test_display_ids_have_no_gaps(spark):
             assert own == [f"TSK-{start + n:04d}" for n in range(len(own))]
 
 
+def test_archive_sink_appends_by_project(spark, tmp_path):
+    from worklog.operators import retention
+
+    at = datetime(2024, 1, 1)
+    rows = [("p", "t1", "completed", at), ("p", "t2", "ready", at), ("q", "t1", "completed", datetime(2024, 4, 30))]
+    tasks = spark.createDataFrame(rows, "project_id string, id string, status string, updated_at timestamp_ntz").withColumn("parent_task_id", F.when(F.col("id") == "t2", "t1"))
+    scopes_ = spark.createDataFrame([("p", "t1", "a"), ("q", "t1", "b")], "project_id string, task_id string, pattern string")
+    kept, archived = retention.archive_completed({"tasks": tasks, "scopes": scopes_}, F.lit(datetime(2024, 5, 1)).cast("timestamp_ntz"), 30)
+    for _ in range(2):
+        retention.write_archive(archived, str(tmp_path))
+    assert [(r.id, r.project_id) for r in spark.read.parquet(f"{tmp_path}/tasks").collect()] == [("t1", "p")] * 2
+    assert {(r.project_id, r.id, r.parent_task_id) for r in kept["tasks"].collect()} == {("p", "t2", None), ("q", "t1", None)}
+    assert [r.pattern for r in kept["scopes"].collect()] == ["b"]
+
+
 def test_plans_stay_in_the_engine(spark):
     """No Python, no cartesian product and no window without a key in the work-log queries."""
     from worklog.plans import queries
