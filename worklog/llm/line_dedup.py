@@ -59,11 +59,13 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout, self.buckets = spark, fanout, buckets or common.shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
     def _write(self, entries: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         writer = entries.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
         writer.option("path", common.shared_folder(self.spark, "line-run")).saveAsTable(name)
+        self.names.append(name)
         return self.spark.table(name)
 
     def add(self, keys: DataFrame, id_col: str) -> DataFrame:
@@ -97,6 +99,12 @@ class LineRuns:
             )
         return rows
 
+    def forget(self) -> None:
+        """Take the runs out of the session's catalog; their files stay in the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names.clear()
+
     def totals(self) -> DataFrame:
         """h1, h2, n_docs, keep_doc over all runs."""
         runs = [run for level in self.levels for run in level]
@@ -120,6 +128,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b in range(len(cuts), -1, -1):
         runs.add(lines.filter(F.col("batch") == b).select(*KEY, id_col), id_col)
     common_lines = common.stored(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "keep_doc"), "common-lines")
+    runs.forget()
     lost = lines.join(common_lines, KEY).filter(~F.col(id_col).eqNullSafe(F.col("keep_doc")))
     packed = lost.groupBy(F.col(id_col).alias("_of")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
     own = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
