@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     first = True
     while not rest.isEmpty():
         ends = rest.select(F.col("a").alias("node"), "b").unionByName(rest.select(F.col("b").alias("node"), F.col("a").alias("b")))
-        moves = ends.groupBy("node").agg(F.least(F.col("node"), F.min("b")).alias("to"))
+        # Written first, so that a node with very many followers can be split in the join.
+        moves = common.stored(ends.groupBy("node").agg(F.least(F.col("node"), F.min("b")).alias("to")), "moves")
         onward = moves.select(F.col("node").alias("to"), F.col("to").alias("component"))
         moved = common.stored(moves.join(onward, "to").select("node", "component"), "moves")
         for end in ("a", "b"):
