@@ -24,7 +24,7 @@ from . import common
 
 SPACE = "▁"
 #: Words and pairs of tokens that a worker remembers.
-CACHE, PAIRS = 400_000, 1_000_000
+CACHE, PAIRS = 250_000, 400_000
 
 
 class PrefixTableCodec:
