@@ -59,3 +59,21 @@ def test_fingerprints_of_awkward_tables(spark):
     assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=i, n_chars=len(t or ""), fingerprint=winnowing.as_text(own.choose(t or "")))) for i, t, _ in cases.rows()) or {
         (r.doc_id, r.n_chars, r.fingerprint) for r in got
     } == {(i, len(t or ""), winnowing.as_text(own.choose(t or ""))) for i, t, _ in cases.rows()}
+
+
+def test_the_query_finds_short_shared_runs(spark):
+    own, rnd = winnowing.Winnower(winnowing.K, winnowing.W), random.Random(5)
+    run = winnowing.K + winnowing.W - 1
+    assert run <= 20
+    for _ in range(300):
+        noise = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(80)))
+        shared = "".join(rnd.choice("abcdefgh") for _ in range(run))
+        a, b = (own.choose(noise() + shared + noise())[0].tolist() for _ in range(2))
+        assert set(a) & set(b)
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = winnowing.op7_winnowing(spark, sf_dir).collect()
+    assert any(2 * run <= r.n_chars < 160 for r in rows)
+    for r in rows:
+        assert r.fingerprint == winnowing.as_text(own.choose(texts[r.doc_id]))
+        assert r.near_edited > 0 or r.n_chars < 2 * run

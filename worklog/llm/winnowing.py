@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, W = 12, 69
+#: A shared run of 19 code points is found, so a text of 38 or more keeps likeness to itself when half of it changes.
+K, W = 12, 8
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
@@ -89,14 +90,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, n_chars long, fingerprint string")
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = 69) -> DataFrame:
     """Fingerprints of each text, of the text with its second half overwritten by the next one, and their likeness.
 
     The next document is the one with the next smaller identifier; after the smallest comes the largest. The last
     n_chars // 2 code points give way to the first as many (or all) of the next text. Returns id_col, n_chars,
     edited_text, fingerprint, edited_fingerprint, near_edited and near_next for each row of docs. Rows with one
     identifier follow each other by text; rows without one come last; a single row is its own next. An empty table
-    gives an empty result; other columns are not read.
+    gives an empty result; other columns are not read. The default w finds runs of 80 code points only; the query
+    gives W.
 
     Blocks of neighbouring identifiers, one a partition, are sorted and streamed; each has a copy of the first row of
     the block after it. So there are as many such copies, collected as identifiers, as partitions.
@@ -145,5 +147,5 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = edited_likeness(common.documents(spark, sf_dir))
+    found = edited_likeness(common.documents(spark, sf_dir), w=W)
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
