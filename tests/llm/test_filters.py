@@ -121,3 +121,30 @@ def test_features(spark):
     want = -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
     assert r.entropy == pytest.approx(want) and r.digit_ratio == pytest.approx(4 / len(text))
     assert [x.entropy for x in got[1:]] == [0.0, 0.0]
+
+
+def test_suffixes_are_counted_over_all_rows(spark):
+    rows = [(f"http://h{i}.s{i % 40}/p{i}", int(i % 40 < 10)) for i in range(400)]
+    suffixes = {r.suffix: r for r in url_filter.train(spark.createDataFrame(rows, "url string, blocked int"), max_rows=30)[1].collect()}
+    assert len(suffixes) == 40
+    for i in range(40):
+        assert suffixes[f"s{i}"].suffix_seen == pytest.approx(10 / 400)
+        assert suffixes[f"s{i}"].suffix_blocked == pytest.approx((11 if i < 10 else 1) / 12)
+
+
+def test_copies_of_a_url_are_one_training_row(spark, monkeypatch):
+    fitted = []
+
+    class Trees:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, rows):
+            fitted.extend(rows.collect())
+
+    monkeypatch.setattr(url_filter, "GBTClassifier", Trees)
+    rows = [(f"http://h{i}.com/p{i}", i % 2) for i in range(200)]
+    for i, url in enumerate(["http://often.com/", "http://often.net/", "http://often.org/"]):
+        rows += [(url, i % 2)] * 200
+    url_filter.train(spark.createDataFrame(rows, "url string, blocked int"))
+    assert sorted(r.copies for r in fitted) == [1.0] * 200 + [200.0] * 3

@@ -1,8 +1,8 @@
 """URL verdicts by rules and, where no rule fits, by gradient-boosted trees on lexical features.
 
 Features are lengths, depth, digit ratio, entropy of the characters, counts of parameters and of hyphens and dots in the
-host, and two statistics of the host's suffix: how often it occurs among the training rows and what share of them is
-blocked there. They are column expressions, and the trees are Spark's own.
+host, and two statistics of the host's suffix over all labelled rows: what share of them has it and what share of those
+is blocked. They are column expressions, and the trees are Spark's own.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from . import common
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Words in a host that label a URL as blocked for training.
 SEED_WORDS = ["adult", "bets", "casino", "spam"]
-#: Rows that a training set has at most, about; a documented bound on what is fitted, never on what is judged.
+#: Different URLs that a training set has at most, about; a documented bound on what the trees are fitted to, never on what
+#: is counted or judged.
 TRAINING_ROWS, TREES, DEPTH = 20_000, 12, 4
 FEATURES = ["chars", "host_chars", "path_chars", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "dots", "suffix_seen", "suffix_blocked"]
 
@@ -77,21 +78,25 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_rows: int = TRAINING_ROWS):
-    """Trees fitted on rows (url, blocked 0 or 1), and the suffix statistics; None for the trees if a class is missing.
+    """Trees fitted on rows (url, blocked 0 or 1), the suffix statistics, and the share of blocked rows.
 
-    Rows are drawn by a hash of the URL so that about max_rows remain; copies of a URL are drawn together.
+    The statistics and the share are those of all rows. The trees are fitted on about max_rows different URLs, drawn by a
+    hash, each with its number of copies as weight; they are None if a class is missing there.
     """
-    total = labelled.count()
-    share = min(1.0, max_rows / max(1, total))
-    drawn = labelled.filter(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = common.stored(with_features(drawn.select("url", F.col("blocked").cast("double").alias("blocked"))), "training-urls")
-    suffixes = rows.groupBy("suffix").agg((F.log1p(F.count(F.lit(1)))).alias("suffix_seen"), ((F.sum("blocked") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_blocked"))
+    all_rows = labelled.select("url", F.col("blocked").cast("double").alias("blocked"))
+    whole = all_rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("url").alias("urls"), F.avg("blocked").alias("blocked")).first()
+    suffix = F.substring_index(host_of(F.col("url")), ".", -1)
+    suffixes = all_rows.groupBy(suffix.alias("suffix")).agg((F.count(F.lit(1)) / F.lit(max(1, whole.rows))).alias("suffix_seen"), ((F.sum("blocked") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_blocked"))
     suffixes = common.stored(suffixes, "suffixes")
+    share = min(1.0, max_rows / max(1, whole.urls))
+    drawn = all_rows.filter(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    single = drawn.groupBy("url", "blocked").agg(F.count(F.lit(1)).cast("double").alias("copies"))
+    rows = common.stored(with_features(single).sortWithinPartitions("url", "blocked"), "training-urls")
     if rows.select("blocked").distinct().count() < 2:
-        return None, suffixes
-    ready = _assembled(rows, suffixes).select("features", "blocked").coalesce(4)
-    trees = GBTClassifier(featuresCol="features", labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
-    return trees.fit(ready), suffixes
+        return None, suffixes, whole.blocked
+    ready = _assembled(rows, suffixes).select("features", "blocked", "copies").coalesce(4)
+    trees = GBTClassifier(featuresCol="features", labelCol="blocked", weightCol="copies", maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
+    return trees.fit(ready), suffixes, whole.blocked
 
 
 def _assembled(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -112,11 +117,10 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[t
         _, says = matching_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
         seeded = F.greatest(*[F.contains(host_of(F.col("url")), F.lit(w)) for w in SEED_WORDS])
         labelled = own.filter("url IS NOT NULL").select("url", F.coalesce(says == "block", seeded).cast("int").alias("blocked"))
-    trees, suffixes = train(labelled)
+    trees, suffixes, blocked = train(labelled)
     featured = with_features(own)
     if trees is None:
-        only = suffixes.agg(F.max("suffix_blocked")).first()[0]
-        method = F.lit("block" if only and only > 0.5 else "allow")
+        method = F.lit("block" if blocked and blocked > 0.5 else "allow")
         judged = featured
     else:
         judged = trees.transform(_assembled(featured, suffixes))
