@@ -117,6 +117,13 @@ def test_groups_of_awkward_tables(spark):
     assert near_dedup.near_groups(cases.frame(spark, [])).collect() == []
 
 
+def test_rows_of_one_identifier_are_dropped_singly(spark):
+    copy, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    data = [(1, copy, "a"), (5, copy + " end", "a"), (5, other, "a"), (7, other + " end", "a")]
+    kept = near_dedup.drop_near_duplicates(cases.frame(spark, data)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, copy), (5, other)]
+
+
 def test_sketches_never_reject_similar_sets():
     rng = np.random.default_rng(3)
     own = near_dedup.Sketcher(near_dedup.n_bands(85))

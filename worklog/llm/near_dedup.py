@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -80,7 +80,9 @@ class Sketcher:
         return math.ceil(2 * (self.n * p + SLACK * math.sqrt(self.n * p * (1 - p))))
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def _digests(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, marked: bool = False) -> DataFrame:
+    """A row for each row of docs; marked adds a hash of its text, which with the identifier tells its rows apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketcher(n_bands(percent))
         for batch in batches:
@@ -91,9 +93,15 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 rows.append((i, len(found), xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None, bands, odd))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_id", "n", "class", "bands", "odd"])
+            names = ["_id", "n", "class", "bands", "odd"]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], *batch.columns[2:]], [*names, "_mark"] if marked else names)
+
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[_mark(F.col(text_col)).alias("_mark")] * marked)
+    return own.mapInArrow(run, "_id long, n long, class binary, bands array<long>, odd binary" + ", _mark long" * marked)
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "_id long, n long, class binary, bands array<long>, odd binary")
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -167,7 +175,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier are linked with nothing: their component_id is null and they are kept. An empty table gives an empty
     result; other columns are not read.
     """
-    digests = common.stored(_digests(docs, id_col, text_col, k, percent), "digests")
+    return _groups(docs, id_col, text_col, k, percent)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, marked: bool = False) -> DataFrame:
+    """near_groups, and if marked the mark of each row."""
+    digests = common.stored(_digests(docs, id_col, text_col, k, percent, marked), "digests")
     with_id = digests.filter("_id IS NOT NULL AND n > 0")
     classes = common.stored(with_id.groupBy("class").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
 
@@ -188,15 +201,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = common.stored(joined.select("class", "component").join(groups, "component").select("class", "component_id"), "groups")
     alone = classes.select("class", "least").join(labels, "class", "left").select("class", F.coalesce("component_id", "least").alias("_component"))
     known = common.stored(alone, "class-groups")
-    found = digests.select("_id", "n", "class").join(known, "class", "left")
+    found = digests.select("_id", "n", "class", *["_mark"] * marked).join(known, "class", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
-    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"), *["_mark"] * marked)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The kept rows of docs with all their columns; the rules are those of near_groups."""
-    dropped = near_groups(docs, id_col, text_col, k, percent).filter("NOT kept").select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    """The kept rows of docs with all their columns; the rules are those of near_groups.
+
+    A row is told by its identifier and its text, so that rows of one identifier are kept or dropped each for its own set.
+    """
+    dropped = _groups(docs, id_col, text_col, k, percent, marked=True).filter("NOT kept").select(F.col(id_col).alias("_dropped"), "_mark").distinct()
+    return docs.join(dropped, (docs[id_col] == dropped["_dropped"]) & (_mark(docs[text_col]) == dropped["_mark"]), "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
