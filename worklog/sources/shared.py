@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,7 +25,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _own["base"] = tempfile.mkdtemp(prefix="spark-")
             atexit.register(shutil.rmtree, _own["base"], True)
         base = f"file://{_own['base']}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end the folders that shared_folder gives within; results that read them have to be written before."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not paths]
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, whatever store it is in; none that is not there is no fault."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
