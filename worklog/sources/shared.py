@@ -15,8 +15,11 @@ _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; in local sessions without the setting, one that goes with the process."""
+def shared_folder(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A new folder below ``spark.checkpoint.dir``; in local sessions without the setting, one that goes with the process.
+
+    Within scratch it goes at the scope's end, or with outlive at the end of the scope around that, if there is one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -26,8 +29,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own["base"], True)
         base = f"file://{_own['base']}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if len(_scopes) > outlive:
+        _scopes[-1 - outlive].append(path)
     return path
 
 
@@ -51,8 +54,8 @@ def remove(spark: SparkSession, path: str) -> None:
     own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None, outlive: bool = False) -> DataFrame:
     """Write a table and read it back: this cuts the lineage and outlives executors."""
-    path = shared_folder(df.sparkSession, name)
+    path = shared_folder(df.sparkSession, name, outlive)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
