@@ -1,14 +1,16 @@
 import random
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm import cases
-from worklog.llm import common, token_store
+from worklog.llm import common, sentencepiece_codec, token_store
 from worklog.llm.sentencepiece_codec import codec, encode_and_decode
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -47,10 +49,29 @@ def test_sentencepiece_of_awkward_tables(spark):
 def test_words_are_encoded_as_in_whole_texts(texts):
     own, library = token_store.WordEncoder(BYTES, 2), Tokenizer.from_file(BYTES)
     more = [t.replace("▁", " ") + x for t in texts[:300] for x in ("", "   y", "\n z ", " 's 'll")]
-    for text, raw in zip(texts + more, own.encode_batch(texts + more), strict=True):
+    found = [own.encode_batch(pa.array(part)).to_pylist() for part in (texts + more, more, [])]  # the second time they are remembered
+    assert found[1] == found[0][len(texts) :] and found[2] == []
+    for text, raw in zip(texts + more, found[0], strict=True):
         assert np.frombuffer(raw, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("limit", [0, 5, 10**6])
+def test_remembered_words_keep_their_ids(monkeypatch, texts, limit):
+    monkeypatch.setattr(token_store, "CACHE", limit)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE", limit)
+    own, pieces = token_store.WordEncoder(BYTES, 2), sentencepiece_codec.PrefixTableCodec(PIECES)
+    library, other = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for part in (texts[:200], texts[100:300], texts[:200]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode_batch(pa.array(part)).to_pylist()] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in part]
+        found = pieces.encode_batch(pa.array(part))
+        assert [found.flat[a:b].tolist() for a, b in pairwise(found.ends)] == [other.encode(t) for t in part]
+
+
+def test_slices_hold_so_many_bytes():
+    batch = pa.record_batch([pa.array(["a" * 5, None, "b" * 40, "", "c" * 6, "d" * 4])], ["t"])
+    assert [s.column(0).to_pylist() for s in common.slices(iter([batch, batch.slice(0, 0)]), 0, 10)] == [["aaaaa", None], ["b" * 40], ["", "cccccc", "dddd"]]
+
+
 def test_token_store_round_trip(spark):
     library = Tokenizer.from_file(BYTES)
     data = [r for r in cases.rows() if r[0] is not None]
@@ -68,6 +89,9 @@ def test_token_store_round_trip(spark):
     for i in ids:
         assert [x.tolist() for t in readers if (x := t.get(i)) is not None] == [ids[i]]
     assert all(t.get(i) is None for t in readers for i in (-5, 7, 10**12))
+    files = shards.orderBy("shard").collect()
+    assert all(a.last_id <= b.first_id for a, b in pairwise(files))
+    assert all(token_store.look_up(shards, i).tolist() == ids[i] for i in list(ids)[:5]) and token_store.look_up(shards, 10**12) is None
 
 
 def test_token_store_of_awkward_tables(spark):

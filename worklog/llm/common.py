@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklog.sources.shared import shared_folder, stored
+from worklog.sources.shared import scratch, shared_folder, stored
 
 #: The characters that part words, as in ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker takes in hand at once; a longer text comes alone.
+SLICE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["documents", "lower_ascii", "n_words", "shared_folder", "shuffle_partitions", "splitters", "stored", "with_block"]
+__all__ = ["documents", "lower_ascii", "n_words", "scratch", "shared_folder", "shuffle_partitions", "slices", "splitters", "stored", "with_block"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,3 +56,15 @@ def lower_ascii(column: Column) -> Column:
 def n_words(column: Column) -> Column:
     """The number of words of a text; none for null."""
     return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, cut so that no piece has more bytes in its text column than the limit, or one row alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            held = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, held + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

@@ -4,27 +4,35 @@ The encoding of every prefix of a text ends in one particular token. An automato
 position; of these, exactly one fits the last token of the prefix before it, which a pair test tells by undoing merges
 on both sides of the border, latest first. With the table of last tokens full, the ids are read from the end backwards.
 The work is linear in the length of the text.
+
+No piece goes across words, so the table is filled for each different word of a batch once, and the ids of the texts are
+gathered in numpy.
 """
 
 from __future__ import annotations
 
+import string
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .ragged import Ragged, Remembered, parted
 
 SPACE = "▁"
 #: Words and pairs of tokens that a worker remembers.
 CACHE, PAIRS = 250_000, 400_000
+LETTERS = string.ascii_letters
 
 
 class PrefixTableCodec:
@@ -45,8 +53,12 @@ class PrefixTableCodec:
         self.time = {n: 0 for n in self.ids if len(n) == 1} | {n: t for t, n in enumerate(by_score, 1)}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.names, self.lengths = names, [len(n) for n in names]
-        self.fits: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.fits: list[dict[int, bool]] = [{} for _ in names]
+        self.n_fits, self.longest = 0, max(map(len, self.ids))
+        joined = {b for n in self.ids for a, b in zip(n, n[1:]) if a in LETTERS}  # noqa: B905
+        #: No piece has a letter and such a mark behind it, so no merge does either.
+        self.stem_and_tail = f"^(?P<stem>[{LETTERS}]+)(?P<tail>[{''.join(f'\\x{ord(c):02X}' for c in string.punctuation if c not in joined)}]*)$"
+        self.stems = Remembered(lambda words: self._all(words, SPACE), "<i4", CACHE)
         self.matches = ahocorasick.Automaton()
         for n, i in self.ids.items():
             self.matches.add_word(n, (i, len(n)))
@@ -87,55 +99,77 @@ class PrefixTableCodec:
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether a text can end in these two tokens; left is -1 where right comes first."""
-        if len(self.fits) > PAIRS:
-            self.fits.clear()
+        if self.n_fits > PAIRS:
+            self.fits, self.n_fits = [{} for _ in self.names], 0
         good = self._reachable(self.names[right]) and (left < 0 or self._fit(self.names[left], self.names[right], float("inf")))
-        self.fits[left << 32 | right] = good
+        self.fits[right][left], self.n_fits = good, self.n_fits + 1
         return good
 
-    def _word(self, word: str) -> bytes:
-        """The ids of one word as 32-bit integers; no merge crosses the border of a word."""
-        last = [-1] * len(word)
-        fits, compatible = self.fits.get, self._compatible
-        for end, (piece, length) in self.matches.iter(word):
-            if last[end] < 0:
+    def _all(self, words: pa.Array, before: str = "") -> Ragged:
+        """The ids of words with so much before each; no merge crosses the border of a word.
+
+        The words are taken in order, so that each goes on with the table of the beginning that it shares with the last.
+        """
+        flat, ends, order = array("i"), [0], pc.sort_indices(words)
+        last: list[int] = []
+        done = ""
+        for word in words.take(order).to_pylist():
+            word = before + word
+            k, n = 0, min(len(word), len(done))
+            while k < n and word[k] == done[k]:
+                k += 1
+            last[k:] = [-1] * (len(word) - k)
+            self._fill(word, last, k)
+            ids, end, done = [], len(word) - 1, word
+            while end >= 0:
+                if (piece := last[end]) < 0:  # a character without a piece: its bytes, and a border for merges
+                    ids += [self.byte_ids[b] for b in reversed(word[end].encode())]
+                    end -= 1
+                else:
+                    ids.append(piece)
+                    end -= self.lengths[piece]
+            ids.reverse()
+            flat.extend(ids)
+            ends.append(len(flat))
+        place = np.empty(len(words), np.int64)
+        place[order.to_numpy()] = np.arange(len(words))
+        return Ragged(np.frombuffer(flat, "<i4") if flat else np.empty(0, "<i4"), np.array(ends)).take(place)
+
+    def _fill(self, word: str, last: list[int], start: int) -> None:
+        """The last token of each prefix that ends at start or behind."""
+        fits, compatible = self.fits, self._compatible
+        for end, (piece, length) in self.matches.iter(word, max(0, start - self.longest + 1)):
+            if end >= start and last[end] < 0:
                 before = last[end - length] if end >= length else -1
-                good = fits(before << 32 | piece)
+                good = fits[piece].get(before)
                 if compatible(before, piece) if good is None else good:
                     last[end] = piece
-        ids, end = [], len(word) - 1
-        while end >= 0:
-            if (piece := last[end]) < 0:  # a character without a piece: its bytes, and a border for merges
-                ids += [self.byte_ids[b] for b in reversed(word[end].encode())]
-                end -= 1
-            else:
-                ids.append(piece)
-                end -= self.lengths[piece]
-        ids.reverse()
-        return array("i", ids).tobytes()
+
+    def encode_batch(self, texts: pa.Array) -> Ragged:
+        """The ids of each text. Words part at spaces; each has the spaces before it, and the last of a text those behind."""
+        parts = pc.split_pattern(pc.replace_substring(texts, SPACE, " "), " ")
+        begin, coded = parts.offsets.to_numpy().astype(np.int64), parts.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        place = np.flatnonzero(pc.binary_length(words).to_numpy()[at] > 0)
+        of = np.searchsorted(begin[1:], place, side="right")
+        spaces = place - np.maximum(np.concatenate([[-1], place[:-1]])[: len(place)] + 1, begin[of])
+        rows, wide = at[place], np.flatnonzero(spaces)
+        last = begin[:-1].copy()
+        np.maximum.at(last, of, place + 1)
+        behind = np.where(pc.binary_length(texts).to_numpy() > 0, begin[1:] - last, 0)
+        more = pa.array([SPACE * int(n) + w for n, w in zip(spaces[wide], words.take(pa.array(at[place[wide]])).to_pylist(), strict=True)] + [SPACE * int(n - 1) for n in behind[behind > 0]], pa.string()).dictionary_encode()
+        extra = more.indices.to_numpy() + np.int64(len(words))
+        rows[wide] = extra[: len(wide)]
+        counts = np.bincount(of, minlength=len(texts))
+        ending = np.flatnonzero(behind > 0)
+        rows = np.insert(rows, np.cumsum(counts)[ending], extra[len(wide) :])
+        counts[ending] += 1
+        known = parted(words, self.stem_and_tail, self.stems, self._all)
+        found = Ragged.joined([known, self._all(more.dictionary, SPACE)]).take(rows)
+        return Ragged(found.flat, found.ends[np.concatenate([[0], np.cumsum(counts)])])
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<i4")
-        words, spaces = [], SPACE
-        for part in text.replace(SPACE, " ").split(" "):
-            if part:
-                words.append(spaces + part)
-                spaces = SPACE
-            else:
-                spaces += SPACE
-        if len(spaces) > 1:
-            words.append(spaces[1:])
-        cache = self.words
-        try:
-            return np.frombuffer(b"".join([cache[w] for w in words]), "<i4")
-        except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = self._word(w)
-            return np.frombuffer(b"".join([cache[w] for w in words]), "<i4")
+        return self.encode_batch(pa.array([text])).flat
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids))
@@ -175,13 +209,10 @@ def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                found = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, "<i4"), *found])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([own.decode(i.tolist()) for i in found], pa.string())], [id_col, "ids", "decoded"])
+        for batch in common.slices(batches, 1):
+            found = own.encode_batch(pc.fill_null(batch.column(1), ""))
+            ids = pa.ListArray.from_arrays(pa.array(found.ends, pa.int32()), pa.array(found.flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([own.decode(found.flat[a:b].tolist()) for a, b in pairwise(found.ends)], pa.string())], [id_col, "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded string")
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,12 +29,16 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
+from .ragged import Ragged, Remembered, parted
 
 MAGIC, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"WLSST1\n\0", 1 << 16, 10, 7
 INDEX, FOOTER = struct.Struct(">9sQII"), struct.Struct(">QIQIQQB8s")
-CACHE = 400_000
-#: Punctuation without the apostrophe, which begins tokens of its own kind.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Stems that a worker remembers, words in a line for the library, and bytes of text in one go.
+CACHE, LINE, ENCODE_BYTES = 400_000, 500, 8 << 20
+#: Latin letters, then punctuation without the apostrophe, which begins tokens of its own kind.
+STEM_AND_TAIL = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+#: Empty, or white space (Unicode's, and the four separators of ASCII) at an end.
+EDGE_SPACE = r"^$|^[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -53,8 +59,8 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
-def _bits(key: bytes, size: int) -> list[int]:
-    h = xxhash.xxh3_64_intdigest(key)
+def _bits(h: int, size: int) -> list[int]:
+    """The Bloom filter's bits of a key with this hash."""
     return [(h + i * (h >> 32 | 1)) % size for i in range(BLOOM_HASHES)]
 
 
@@ -66,7 +72,9 @@ class TableWriter:
         self.out = fs.open_output_stream(self.temporary)
         self.offset = self.docs = self.tokens = 0
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
+        self.first_id: int | None = None
+        self.last_id: int | None = None
         self._fresh()
 
     def _fresh(self) -> None:
@@ -81,7 +89,8 @@ class TableWriter:
         self.block += [head, ids]
         self.first, self.last = (key if self.first is None else self.first), key
         self.entries, self.bytes = self.entries + 1, self.bytes + len(head) + len(ids)
-        self.keys.append(key)
+        self.hashes.append(xxhash.xxh3_64_intdigest(key))
+        self.first_id, self.last_id = (self.first_id if self.docs else doc_id), doc_id
         self.docs, self.tokens = self.docs + 1, self.tokens + len(ids) // self.width
 
     def _end_block(self) -> None:
@@ -94,10 +103,10 @@ class TableWriter:
     def close(self) -> None:
         if self.bytes:
             self._end_block()
-        size = max(64, -(-len(self.keys) * BLOOM_BITS // 8) * 8)
+        size = max(64, -(-len(self.hashes) * BLOOM_BITS // 8) * 8)
         bloom = bytearray(size // 8)
-        for key in self.keys:
-            for bit in _bits(key, size):
+        for h in self.hashes:
+            for bit in _bits(h, size):
                 bloom[bit >> 3] |= 1 << (bit & 7)
         self.out.write(b"".join(self.index) + bloom)
         at = self.offset + INDEX.size * len(self.index)
@@ -150,7 +159,7 @@ class TableReader:
     def get(self, doc_id: int) -> np.ndarray | None:
         """The ids of the first document with this identifier: Bloom filter, binary search of the index, one or two blocks."""
         key, size = key_of(doc_id), len(self.bloom) * 8
-        if not all(self.bloom[bit >> 3] >> (bit & 7) & 1 for bit in _bits(key, size)):
+        if not all(self.bloom[bit >> 3] >> (bit & 7) & 1 for bit in _bits(xxhash.xxh3_64_intdigest(key), size)):
             return None
         firsts = [first[:8] for first, *_ in self.index]
         place = bisect_right(firsts, key) - 1
@@ -164,83 +173,66 @@ class TableReader:
 
 
 class WordEncoder:
-    """Byte-level BPE through the tokenizers library, which sees each word once as long as it is remembered.
+    """Byte-level BPE through the tokenizers library, which sees each stem once as long as it is remembered.
 
     A space that something other than white space follows always begins a token, so a text parts there; texts with other
-    runs of white space go to the library whole. Letters and the punctuation behind them never share a token either, so
-    a new word's letters go to the library's model and its punctuation is looked up.
+    runs of white space, or with special tokens, go to the library whole. Letters and the punctuation behind them never
+    share a token either, so a word's ids are its stem's and its tail's. Arrow's dictionary encoding tells the words of a
+    batch apart, and numpy gathers the ids of the whole batch. The library gets new stems in lines of many, and their ids
+    part where the tokens' bytes add up to the stems'.
     """
 
     def __init__(self, file: str, end_id: int):
         self.library = Tokenizer.from_file(file)
         self.width = 2 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.type = f"<u{self.width}"
-        self.end = np.array([end_id], self.type).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-        self.whole = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-        self.letters = {b: chr(b) for b in printed} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in printed)}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words that follow a space."""
-        asked, later, model = [], self.later, self.library.model
-        if len(later) > CACHE:
-            self.older, self.later = later, {}
-            later = self.later
-        for word in words:
-            if (known := self.older.get(word)) is not None:
-                later[word] = known
-                continue
-            stem = word.rstrip(PUNCTUATION)
-            if not (stem.isalpha() and max(stem) < "\u0250"):
-                asked.append(word)
-                continue
-            if (ids := later.get(stem)) is None:
-                coded = f" {stem}".encode().decode("latin-1").translate(self.letters)
-                ids = later[stem] = np.array([t.id for t in model.tokenize(coded)], self.type).tobytes()
-            if stem != word:
-                tail = word[len(stem) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._ask([tail])[0]
-                later[word] = ids + self.tails[tail]
-        later.update(zip(asked, self._ask([f" {w}" for w in asked]), strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text with the end id."""
-        if len(self.first) > CACHE:
-            self.first.clear()
-        if len(self.tails) > CACHE:
-            self.tails = {"": b""}
-        plain, odd, heads, fresh = [], [], {}, set()
-        for k, text in enumerate(texts):
-            parts = text.split(" ")
-            head = parts.pop(0)
-            new = set(parts).difference(self.later)
-            if any(t in text for t in self.whole) or any(not p or p[0].isspace() or p[-1].isspace() for p in [head, *new]):
-                odd.append(k)
-                continue
-            plain.append((k, head, parts))
-            fresh |= new
-            if head not in self.first:
-                heads[head] = None
-        held = self.later
-        self._learn(list(fresh))
-        if self.later is not held:  # a new generation began: words of this batch may be in the one before
-            self.later.update({p: held[p] for _, _, parts in plain for p in parts if p in held})
-        self.first.update(zip(heads, self._ask(list(heads)), strict=True))
-        out = [b""] * len(texts)
-        for k, raw in zip(odd, self._ask([texts[k] for k in odd]), strict=True):
-            out[k] = raw + self.end
-        ids = self.later.__getitem__
-        for k, head, parts in plain:
-            out[k] = b"".join([self.first[head], *map(ids, parts), self.end])
-        return out
+        self.end = np.array([end_id], self.type)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        names = {i: n for n, i in self.library.get_vocab().items()}
+        self.token_bytes = np.array([len(names.get(i, "")) for i in range(max(names) + 1)])  # a character of a name is a byte
+        self.stems = Remembered(self._after_space, self.type, CACHE)
+
+    def _ask(self, texts: list[str]) -> Ragged:
+        return Ragged.of([np.array(e.ids, self.type) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)], self.type)
+
+    def _after_space(self, words: pa.Array) -> Ragged:
+        """The ids of each word as behind a space; words have no white space at their ends."""
+        if not len(words):
+            return self._ask([])
+        lines = self._ask([" " + " ".join(words.slice(k, LINE).to_pylist()) for k in range(0, len(words), LINE)])
+        reached, wanted = np.cumsum(self.token_bytes[lines.flat]), np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        ends = np.searchsorted(reached, wanted) + 1
+        if ends[-1] != len(reached) or not np.array_equal(reached[ends - 1], wanted):
+            return self._ask([f" {w}" for w in words.to_pylist()])
+        return Ragged(lines.flat, np.concatenate([[0], ends]))
+
+    def encode_batch(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text with the end id, as binary."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        parts = pc.split_pattern(texts, " ")
+        begin, coded = parts.offsets.to_numpy().astype(np.int64), parts.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        odd = np.logical_or.reduceat(pc.match_substring_regex(words, EDGE_SPACE).to_numpy(zero_copy_only=False)[at], begin[:-1])
+        for token in self.special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if odd.any():
+            whole = self._ask(texts.filter(pa.array(odd)).to_pylist())
+            ends = np.flatnonzero(odd)
+            singly = [(whole.flat[a:b].tobytes() + self.end.tobytes()) for a, b in zip(whole.ends[:-1], whole.ends[1:], strict=True)]
+            rest = self.encode_batch(texts.filter(pa.array(~odd))).to_pylist()
+            out: list[bytes] = [b""] * len(texts)
+            for k, raw in [*zip(ends, singly, strict=True), *zip(np.flatnonzero(~odd), rest, strict=True)]:
+                out[k] = raw
+            return pa.array(out, pa.binary())
+        heads, head = np.unique(at[begin[:-1]], return_inverse=True)
+        known = parted(words, STEM_AND_TAIL, self.stems, lambda tails: self._ask(tails.to_pylist()))
+        ids = Ragged.joined([known, self._ask(words.take(pa.array(heads)).to_pylist()), Ragged.of([self.end], self.type)])
+        rows = at.astype(np.int64)
+        rows[begin[:-1]] = len(words) + head
+        found = ids.take(np.insert(rows, begin[1:], len(words) + len(heads)))
+        ends = found.ends[begin + np.arange(len(begin))] * self.width
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found.flat)])
 
 
 @lru_cache(2)
@@ -249,24 +241,27 @@ def encoder(file: str, end_id: int) -> WordEncoder:
 
 
 def encode(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and _ids (binary, little-endian) of each row; null counts as empty."""
+    """_id and _ids (binary, little-endian) of each row of docs.
+
+    Null counts as empty and has the end id alone; whole texts are encoded; repeated rows and identifiers give as many
+    rows; an empty table gives an empty result; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file, end_id)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                batch = whole.slice(k, 200)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode_batch([t or "" for t in batch.column(1).to_pylist()]), pa.binary())], ["_id", "_ids"])
+        for batch in common.slices(batches, 1, ENCODE_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), own.encode_batch(pc.fill_null(batch.column(1), ""))], ["_id", "_ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, _ids binary")
 
 
 def write_tables(docs: DataFrame, folder: str, file: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode docs and write one file for each block of identifiers; returns shard, path, n_docs, n_tokens, start.
+    """Encode docs and write one file for each block of identifiers; returns shard, path, first_id, last_id, n_docs, n_tokens, start.
 
     Files follow each other in ascending order of identifier, rows without one first; start is the number of ids in all
     files before. Null and empty texts have the end id alone. Rows with one identifier are entries of their own. An
-    empty table gives no file. The folder is a URI that driver and executors share.
+    empty table gives no file. The folder is a URI that driver and executors share. The result is the list of the files
+    with the identifiers that each begins and ends with, so a lookup opens only the file that may hold its key.
     """
     spark = docs.sparkSession
     file = file or public_tokenizers.path("byte_bpe_50k.json")
@@ -282,9 +277,9 @@ def write_tables(docs: DataFrame, folder: str, file: str | None = None, end_id:
 
         def close() -> None:
             writer.close()
-            done.append((now, f"{folder}/{now:06d}.sst", writer.docs, writer.tokens))
+            done.append((now, f"{folder}/{now:06d}.sst", writer.first_id, writer.last_id, writer.docs, writer.tokens))
 
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             for i, ids, block in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
                 if block != now:
                     if writer:
@@ -293,10 +288,10 @@ def write_tables(docs: DataFrame, folder: str, file: str | None = None, end_id:
                 writer.add(i, ids)
         if writer:
             close()
-        columns = list(zip(*done, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "n_docs", "n_tokens"])
+        columns = list(zip(*done, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], ["shard", "path", "first_id", "last_id", "n_docs", "n_tokens"])
 
-    shards = common.stored(sorted_ids.select("_id", "_ids", "_block").mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "token-shards")
+    shards = common.stored(sorted_ids.select("_id", "_ids", "_block").mapInArrow(run, "shard int, path string, first_id long, last_id long, n_docs long, n_tokens long"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -326,6 +321,14 @@ def read_tables(shards: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def look_up(shards: DataFrame, doc_id: int) -> np.ndarray | None:
+    """The ids of the first document with this identifier; at most the files whose range holds it are opened."""
+    for row in shards.filter((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id)).orderBy("shard").select("path").collect():
+        if (found := TableReader(row.path).get(doc_id)) is not None:
+            return found
+    return None
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_tables(common.documents(spark, sf_dir), common.shared_folder(spark, "token-tables"))
     return read_tables(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
