@@ -32,17 +32,47 @@ def test_lines_match_brute_force(spark):
     assert sum(v[1] for v in want.values()) == 12
 
 
-@pytest.mark.parametrize("fanout", [2, 3])
-def test_runs_are_compacted_and_keep_counts(spark, fanout):
-    runs = line_dedup.LineRuns(spark, fanout, buckets=3)
+def filled(runs, spark):
+    """Five batches in descending order; h1 tells the line, and the counts that they should give."""
     want = Counter()
     for b in range(5, 0, -1):
-        keys = [(h, -h, 10 * b + h % 3) for h in range(b, 9)]
+        keys = [(h, -h, 10 * b + h % 3 + d) for h in range(b, 9) for d in range(2)]
         want.update(h for h, *_ in keys)
         runs.add(spark.createDataFrame(keys, "h1 long, h2 long, d long"), "d")
-    assert all(len(level) < fanout for level in runs.levels)
-    got = {r.h1: (r.n_docs, r.keep_doc) for r in runs.totals().collect()}
-    assert got == {h: (n, 10 * min(5, h) + h % 3) for h, n in want.items()}
+    return {h: (n, 10 * min(5, h) + h % 3 + 1) for h, n in want.items()}
+
+
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_runs_are_compacted_and_keep_counts(spark, fanout):
+    runs = line_dedup.LineRuns(spark, fanout, buckets=4)
+    want = filled(runs, spark)
+    assert all(len(level) < fanout for level in runs.runs + runs.counts)
+    lines = [r.h1 for level in runs.runs for run in level for r in run.collect()]
+    assert len(lines) == len(set(lines))
+    assert {r.h1: (r.n_docs, r.keep_doc) for r in runs.totals().collect()} == want
+
+
+def test_the_anti_join_decides(spark):
+    class Careless(line_dedup.LineRuns):
+        def unknown(self, counted):
+            return counted
+
+    runs = Careless(spark, buckets=4)
+    want = filled(runs, spark)
+    assert {r.h1: (r.n_docs, r.keep_doc) for r in runs.totals().collect()} != want
+
+
+def test_runs_are_neither_moved_nor_sorted(spark):
+    runs = line_dedup.LineRuns(spark, fanout=9, buckets=4)
+    filled(runs, spark)
+    with line_dedup._in_bucket_order(spark):
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (runs.totals(), runs.unknown(runs.runs[0][0]), runs.merged(runs.runs[0][:2]))]
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_batches_grow_with_the_logarithm():
+    assert [line_dedup.n_batches(n) for n in (0, 1, 1 << 18, 1 << 19, 1 << 28)] == [4, 4, 4, 5, 14]
 
 
 def test_lines_of_awkward_tables(spark):
@@ -57,9 +87,10 @@ def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-def test_exact_groups_match_brute_force(spark):
+@pytest.mark.parametrize("salts", [3, None])
+def test_exact_groups_match_brute_force(spark, salts):
     data = cases.rows()
-    got = exact_dedup.duplicate_groups(cases.frame(spark, data), salts=3).collect()
+    got = exact_dedup.duplicate_groups(cases.frame(spark, data), salts=salts).collect()
     groups = defaultdict(list)
     for i, text, _ in data:
         groups[hashlib.sha256(normal(text).encode()).hexdigest()].append(i)

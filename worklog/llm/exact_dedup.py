@@ -4,7 +4,7 @@ Sampled splitters deal the rows into ranges of normalised content, each range is
 texts are neighbours, and neighbours are compared in full; the row with the smallest identifier stays.
 
 Splitters stay small: they are a short head of the text, a 64-bit hash and a salt of the identifier, so a sample never
-carries whole texts, and a text with millions of copies is dealt to ``salts`` ranges. Each range compares whole texts;
+carries whole texts, and a text with very many copies is dealt to as many ranges as there are shuffle partitions. Each range compares whole texts;
 the pieces of one text in several ranges meet again by SHA-256, as one small row a piece.
 """
 
@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Code points of the text that a splitter has, and the ranges at least that copies of one text are dealt to.
 HEAD, SALTS = 48, 64
 
 
+def n_salts(docs: DataFrame) -> int:
+    """So many that copies of one text fill every shuffle partition."""
+    return max(SALTS, common.shuffle_partitions(docs.sparkSession))
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, salts: int, row: bool) -> DataFrame:
     """_id, _salt, _sha, and of the row's piece of a group: _rank of the row, _least identifier, _rows; _row if asked."""
     kept = F.struct(*docs.columns) if row else F.struct(F.col(text_col).cast("string").alias(text_col))
@@ -34,14 +40,14 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, salts: int, row: bool)
     )
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal; white space runs count as one space. Of rows that share both the text and the
     smallest identifier exactly one is kept; rows without an identifier are kept only where no copy has one. An empty
     table gives an empty result; columns other than these two are not read.
     """
-    pieces = common.stored(_placed(docs, id_col, text_col, salts, row=False), "content-sort")
+    pieces = common.stored(_placed(docs, id_col, text_col, salts or n_salts(docs), row=False), "content-sort")
     group = Window.partitionBy("_sha")
     heads = pieces.filter("_rank = 1").select(
         "_sha", "_salt", F.min("_least").over(group).alias("keep_id"), F.sum("_rows").over(group).alias("group_size"),
@@ -52,9 +58,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """The kept rows of docs with all their columns; the rules are those of duplicate_groups."""
-    heads = _placed(docs, id_col, text_col, salts, row=True).filter("_rank = 1")
+    heads = _placed(docs, id_col, text_col, salts or n_salts(docs), row=True).filter("_rank = 1")
     order = Window.partitionBy("_sha").orderBy(F.col("_least").asc_nulls_last(), "_salt")
     return heads.withColumn("_piece", F.row_number().over(order)).filter("_piece = 1").select("_row.*")
 

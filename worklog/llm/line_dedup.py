@@ -1,16 +1,22 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of line hashes, bucketed and sorted by hash, with the number of documents that hold each line and, for
-the hashes that no earlier run had, the document that keeps it. A new batch is aggregated, merge-anti-joined with the
-runs (same buckets, so the runs do not move) and added as a run of level 0. As soon as a level has ``fanout`` runs they
-are compacted into one run of the next level. Batches come in descending order of identifier, so the first batch with a
-line holds its largest identifier.
+A run is a table of line hashes, bucketed and sorted by hash, with the number of documents of its batch that hold each
+line and the document that keeps it. A new batch is counted and merge-anti-joined with the runs (same buckets and order,
+so the runs neither move nor are sorted); what no run has is added as a run of level 0. For lines that some run has, the
+batch's counts go to a second set of tables, which is levelled alike. As soon as a level has ``fanout`` tables they are
+compacted into one of the next level. Batches come in descending order of identifier, so the first batch with a line
+holds its largest identifier, and runs have no hash in common.
+
+Every batch reads all earlier runs once, so there are few batches, growing with the logarithm of the number of documents.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -19,7 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
+MIN_CHARS, MIN_DOCS, FANOUT = 40, 5, 2
+#: Batches at least, and documents for which these are enough; one more for each doubling beyond.
+BATCHES, BATCH_DOCS = 4, 1 << 18
 KEY = ["h1", "h2"]
 
 
@@ -41,7 +49,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     """h1, h2, id_col: each long enough line key once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             ids, found = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {k for k in _keys(_lines(text), min_chars) if k}
@@ -53,50 +61,67 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"h1 long, h2 long, `{id_col}` long")
 
 
+@contextmanager
+def _in_bucket_order(spark: SparkSession) -> Iterator[None]:
+    """Let Spark rely on the order within buckets that are one file each, as those of runs are."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """The runs, level by level; each is a bucketed table in the shared folder."""
+    """The runs and the counts of known lines, level by level; each is a bucketed table in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout, self.buckets = spark, fanout, buckets or common.shuffle_partitions(spark)
-        self.levels: list[list[DataFrame]] = []
+        self.runs: list[list[DataFrame]] = []
+        self.counts: list[list[DataFrame]] = []
         self.names: list[str] = []
 
     def _write(self, entries: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         writer = entries.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
-        writer.option("path", common.shared_folder(self.spark, "line-run")).saveAsTable(name)
+        with _in_bucket_order(self.spark):
+            writer.option("path", common.shared_folder(self.spark, "line-run")).saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
 
-    def add(self, keys: DataFrame, id_col: str) -> DataFrame:
-        """Add a batch of (h1, h2, id_col); the new run tells n_docs and keep_doc, the latter for lines new to the runs."""
-        batch = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max(id_col).alias("keep_doc"))
-        seen = []
-        for k, run in enumerate(run for level in self.levels for run in level):
-            batch = batch.join(run.select(*KEY, F.lit(True).alias(f"_seen{k}")), KEY, "left")
-            seen.append(F.col(f"_seen{k}"))
-        known = F.coalesce(*seen, F.lit(False)) if seen else F.lit(False)
-        run = self._write(batch.select(*KEY, "n_docs", F.when(~known, F.col("keep_doc")).alias("keep_doc")))
-        self._place(run, 0)
-        return run
-
-    def _place(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self._write(self._merged(self.levels[level])), []
-            self._place(merged, level + 1)
+    def unknown(self, counted: DataFrame) -> DataFrame:
+        """The lines of a batch that no run has."""
+        for run in (run for level in self.runs for run in level):
+            counted = counted.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        return counted
+
+    def add(self, keys: DataFrame, id_col: str) -> None:
+        """Add a batch of (h1, h2, id_col), each line once a document; batches come in descending order of id_col."""
+        counted = self._write(keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max(id_col).alias("keep_doc")))
+        if self.runs:
+            new = self._write(self.unknown(counted))
+            known = counted.drop("keep_doc").join(new.select(*KEY).hint("merge"), KEY, "left_anti")
+            self._place(self.counts, self._write(known))
+            counted = new
+        self._place(self.runs, counted)
+
+    def _place(self, levels: list[list[DataFrame]], table: DataFrame, level: int = 0) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(table)
+        if len(levels[level]) >= self.fanout:
+            merged, levels[level] = self._write(self.merged(levels[level])), []
+            self._place(levels, merged, level + 1)
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        """Sort-merge of runs: their buckets agree, so a full outer join moves no rows."""
-        rows = runs[0]
-        for k, run in enumerate(runs[1:]):
-            other = run.select(*KEY, *[F.col(c).alias(f"_{c}{k}") for c in ("n_docs", "keep_doc")])
-            rows = rows.join(other, KEY, "full_outer").select(
-                *KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce(f"_n_docs{k}", F.lit(0))).alias("n_docs"), F.greatest("keep_doc", f"_keep_doc{k}").alias("keep_doc")
-            )
+    def merged(tables: list[DataFrame]) -> DataFrame:
+        """Sort-merge: the buckets agree, so a full outer join of two tables moves no rows. Counts are added."""
+        rows = tables[0]
+        for k, table in enumerate(tables[1:]):
+            other = table.select(*KEY, *[F.col(c).alias(f"_{c}{k}") for c in table.columns if c not in KEY])
+            keep = [F.coalesce("keep_doc", f"_keep_doc{k}").alias("keep_doc")] if "keep_doc" in table.columns else []
+            rows = rows.join(other, KEY, "full_outer").select(*KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce(f"_n_docs{k}", F.lit(0))).alias("n_docs"), *keep)
         return rows
 
     def forget(self) -> None:
@@ -106,12 +131,22 @@ class LineRuns:
         self.names.clear()
 
     def totals(self) -> DataFrame:
-        """h1, h2, n_docs, keep_doc over all runs."""
-        runs = [run for level in self.levels for run in level]
-        return runs[0] if len(runs) == 1 else self._merged(runs)
+        """h1, h2, n_docs, keep_doc over all runs; each is joined with the counts of known lines where it is."""
+        parts = []
+        for run in (run for level in self.runs for run in level):
+            rows, n = run, F.col("n_docs")
+            for k, table in enumerate(table for level in self.counts for table in level):
+                rows = rows.join(table.select(*KEY, F.col("n_docs").alias(f"_more{k}")).hint("merge"), KEY, "left")
+                n = n + F.coalesce(f"_more{k}", F.lit(0))
+            parts.append(rows.select(*KEY, n.alias("n_docs"), "keep_doc"))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def n_batches(n_docs: int) -> int:
+    return BATCHES + max(0, math.ceil(math.log2(max(1, n_docs) / BATCH_DOCS)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """One row for each row of docs: id_col, n_lines, n_dropped, kept_text.
 
     A line's key is the line without white space at its ends and with A-Z in lower case. Keys of at least min_chars code
@@ -122,12 +157,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read.
     """
     spark = docs.sparkSession
-    cuts = common.splitters(docs.select(id_col), id_col, batches)
+    cuts = common.splitters(docs.select(id_col), id_col, batches or n_batches(docs.count()))
     lines = common.stored(common.with_block(line_keys(docs, id_col, text_col, min_chars), id_col, cuts, "batch"), "line-keys", "batch")
     runs = LineRuns(spark, fanout)
     for b in range(len(cuts), -1, -1):
         runs.add(lines.filter(F.col("batch") == b).select(*KEY, id_col), id_col)
-    common_lines = common.stored(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "keep_doc"), "common-lines")
+    with _in_bucket_order(spark):
+        common_lines = common.stored(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "keep_doc"), "common-lines")
     runs.forget()
     lost = lines.join(common_lines, KEY).filter(~F.col(id_col).eqNullSafe(F.col("keep_doc")))
     packed = lost.groupBy(F.col(id_col).alias("_of")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
@@ -135,7 +171,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = own.join(packed, own[id_col].eqNullSafe(packed["_of"]), "left").select(id_col, "_text", F.col("_lost.h1").alias("_h1"), F.col("_lost.h2").alias("_h2"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in common.slices(rows, 1):
             total, gone, kept = [], [], []
             for text, h1, h2 in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                 parts = _lines(text)
