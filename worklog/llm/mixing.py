@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Each source's documents are shuffled by a hash. A document's virtual finish time is the sum of its source's words up to
+Each source's documents are shuffled by a hash, in an order that does not depend on the number of partitions. A document's virtual finish time is the sum of its source's words up to
 and with it, divided by the source's target, so all sources advance at the pace of their targets; a second pass over a
 source continues its count. The copies are sorted by finish time over all sources and cut where the total budget ends.
 
@@ -26,24 +26,40 @@ def _before(order: list) -> Window:
     return Window.orderBy(*order)
 
 
+def _weighted(sizes: DataFrame, weights: Sequence[float], epochs: int) -> DataFrame:
+    """Add _weight and _cap. Sources are ranked in ranges of their own, and each range starts where those before end."""
+    order = F.col("source").asc_nulls_last()
+    ranged = common.stored(sizes.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranged-sources")
+    held = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_held"))  # a row for each partition
+    starts = held.select("_range", F.coalesce(F.sum("_held").over(_before(["_range"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    turn = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    weight = F.get(cycle, F.pmod(F.col("_turn"), F.lit(len(weights))).cast("int"))
+    return ranged.join(starts, "_range").withColumn("_turn", turn).select("source", "source_size", weight.alias("_weight"), (F.col("source_size") * float(epochs)).alias("_cap"))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS) -> DataFrame:
     """source, source_size, target of a table with one row for each source.
 
     Sources in code point order, null last, get the weights in turn. The budget, total times all sizes, is shared by
-    weight; no target is above epochs times its source's size, and what is above is shared again by weight. That ends
-    where a common level times the weight, cut at the cap, uses up the budget. With the sources in order of cap for
-    each unit of weight, the first so many are at their caps, which two running sums tell.
+    weight; no target is above epochs times its source's size, and what is above is shared again by weight. So a target
+    is a common level times the weight, cut at the cap. Each round sums the caps below the level and the weights above
+    it, which gives the next level; it ends when no further source is at its cap. Three numbers a round reach the driver.
+    An empty table gives an empty result.
     """
-    cycle = F.array(*[F.lit(float(w)) for w in weights])
-    turn = F.row_number().over(_before([F.col("source").asc_nulls_last()])) - 1
-    ranked = sizes.withColumn("_weight", F.get(cycle, F.pmod(turn, F.lit(len(weights))))).withColumn("_cap", F.col("source_size") * float(epochs))
-    order = _before([F.col("_cap") / F.col("_weight"), F.col("source").asc_nulls_last()])
-    earlier, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) * float(total) - F.coalesce(F.sum("_cap").over(earlier), F.lit(0.0))) / F.sum("_weight").over(onward)
-    levels = ranked.withColumn("_level", level).withColumn("_open", F.col("_level") * F.col("_weight") <= F.col("_cap"))
-    first_open = F.first(F.when(F.col("_open"), F.col("_level")), ignorenulls=True).over(everything)
-    return levels.select("source", "source_size", F.least("_cap", F.coalesce(first_open * F.col("_weight"), F.col("_cap"))).alias("target"))
+    own = common.stored(_weighted(sizes, weights, epochs), "weighted-sources")
+    level, full = 0.0, -1
+    while True:
+        at_cap = F.col("_cap") <= F.lit(level) * F.col("_weight")
+        row = own.agg(
+            (F.sum("source_size") * float(total)).alias("budget"), F.count_if(at_cap).alias("full"), F.coalesce(F.sum(F.when(at_cap, F.col("_cap"))), F.lit(0.0)).alias("caps"), F.sum(F.when(~at_cap, F.col("_weight"))).alias("open")
+        ).first()
+        if row.full == full or not row.open:
+            level = level if row.open else float("inf")
+            break
+        level, full = (row.budget - row.caps) / row.open, row.full
+    target = F.col("_cap") if level == float("inf") else F.least("_cap", F.lit(level) * F.col("_weight"))
+    return own.select("source", "source_size", target.alias("target"))
 
 
 def _running(df: DataFrame, group: list[str], bucket: str, order: list[Column], size: str) -> DataFrame:
@@ -56,14 +72,13 @@ def _running(df: DataFrame, group: list[str], bucket: str, order: list[Column],
     return df.join(starts, on).withColumn("_sum", F.col("_start") + F.sum(size).over(within)).drop(*[f"_g{i}" for i in range(len(group) + 1)], "_start")
 
 
-def _queued(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[float], total: float, epochs: int) -> tuple[DataFrame, DataFrame]:
+def _sized(row: Column, doc_id: Column, source: Column, text: Column) -> list[Column]:
+    return [row.alias("_row"), doc_id.alias("_id"), source.alias("source"), common.n_words(text.cast("string")).alias("size"), F.xxhash64(doc_id, F.lit(20)).alias("_u")]
+
+
+def _queued(sized: DataFrame, weights: Sequence[float], total: float, epochs: int) -> tuple[DataFrame, DataFrame]:
     """The sized rows with their targets, and the copies that the mix takes; _row tells rows apart in both."""
-    sized = common.stored(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
-            common.n_words(F.col(text_col)).alias("size"), F.xxhash64(id_col, F.lit(20)).alias("_u"),
-        ), "sized",
-    )
+    spark = sized.sparkSession
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     aims = common.stored(
         targets(by_source.select("source", "source_size"), weights, total, epochs)
@@ -71,12 +86,13 @@ def _queued(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight
     ).withColumnRenamed("source", "_s")
     row = aims.agg(F.sum("_docs").alias("docs"), F.sum("target").alias("budget")).first()
     n_docs, budget = row.docs or 0, float(row.budget or 0)
-    many = BUCKETS_A_PARTITION * common.shuffle_partitions(docs.sparkSession)
+    many = BUCKETS_A_PARTITION * common.shuffle_partitions(spark)
     # Targets are a row for each source; Spark broadcasts them where they are below its limit and merges otherwise.
     aimed = sized.join(aims, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    share = F.pmod(F.col("_u"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.col("_u"), F.lit(1 << 30))
+    share = place / float(1 << 30)
     queues = aimed.filter("size > 0 AND target > 0").withColumn("_bucket", F.floor(share * F.ceil(F.col("_docs") / max(1.0, n_docs / many))))
-    shuffled = _running(queues, ["source"], "_bucket", [F.col("_u"), F.col("_id").asc_nulls_last(), F.col("_row")], "size")
+    shuffled = _running(queues, ["source"], "_bucket", [place, F.col("_u"), F.col("_id").asc_nulls_last(), F.col("_row")], "size")
     copies = shuffled.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     copies = copies.withColumn("virtual_time", (F.col("source_size") * F.col("epoch") + F.col("_sum")) / F.col("target"))
     timed = common.stored(
@@ -98,7 +114,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     last. Rows that share an identifier are rows of their own. Other columns are not read; an empty table gives an
     empty result.
     """
-    aimed, taken = _queued(docs, id_col, source_col, text_col, weights, total, epochs)
+    own = docs.select(*_sized(F.monotonically_increasing_id(), F.col(id_col), F.col(source_col), F.col(text_col)))
+    aimed, taken = _queued(common.stored(own, "sized"), weights, total, epochs)
     counts = taken.groupBy("_row").agg(F.sum("size").alias("_taken"))
     return aimed.join(counts, "_row", "left").select(
         F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken")
@@ -106,14 +123,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS) -> DataFrame:
-    """The documents of the mix with all columns of docs, a row for each copy that is taken.
+    """The documents of the mix with all columns of docs, a row for each copy that is taken; the rules are those of mix_plan.
 
-    Rows that share an identifier are each taken as often as the one of them that is taken most.
+    The rows are written once with a number of their own, so that rows sharing an identifier are taken each for itself.
     """
-    plan = mix_plan(docs, id_col, source_col, text_col, weights, total, epochs).filter("taken > 0")
-    times = plan.groupBy(F.col(id_col).alias("_mixed")).agg(F.max(F.try_divide("taken", "size")).cast("int").alias("_times"))
-    mixed = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
-    return mixed.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias("_mix_copy")).drop("_mix_copy")
+    rows = common.stored(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    of = lambda name: F.col("_doc").getField(name)
+    sized = common.stored(rows.select(*_sized(F.col("_row"), of(id_col), of(source_col), of(text_col))), "sized")
+    _, taken = _queued(sized, weights, total, epochs)
+    times = taken.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    return rows.join(times, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_doc.*")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
