@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Winnower(k, w)
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(own.choose(t)) for t in texts], pa.string())], [id_col, "n_chars", "fingerprint"])
 
@@ -118,14 +118,14 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Winnower(k, w)
-        held, rows = None, []
+        held, rows, chars = None, [], 0
 
         def packed() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [id_col, "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             for i, text, block, is_halo in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
                 text = text or ""
                 chosen = own.choose(text)
@@ -135,9 +135,10 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     edited = last[: len(last) - half] + text[:half]
                     other = own.choose(edited)
                     rows.append((held[0], len(last), edited, as_text(mine), as_text(other), likeness(mine[0], other[0]), likeness(mine[0], chosen[0])))
-                    if len(rows) >= 500:
+                    chars += 2 * len(last)
+                    if len(rows) >= 500 or chars >= common.SLICE_BYTES:
                         yield packed()
-                        rows = []
+                        rows, chars = [], 0
                 held = None if is_halo else (i, text, block, chosen)
                 if is_halo:
                     block = None
