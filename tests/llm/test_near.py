@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm import cases
-from worklog.llm import near_dedup, substring_dedup
+from worklog.llm import common, near_dedup, substring_dedup
 from worklog.llm.components import components
 
 
@@ -141,3 +141,51 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 9)] + [(7, 7), (203, 201), (202, 203), (202, 203)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(9)} | {201: 201, 202: 201, 203: 201}
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds = []
+    whole = common.scratch
+    monkeypatch.setattr(common, "scratch", lambda s: rounds.append(1) or whole(s))
+    for n in (20, 320):
+        rounds.clear()
+        assert {r.component for r in components(spark.range(n).selectExpr("id AS a", "id + 1 AS b")).collect()} == {0}
+        assert len(rounds) <= 2 + np.log2(n)
+
+
+def moved_rows(spark, monkeypatch, data):
+    """Rows that tasks get in each round, and fetched sets."""
+    counts = {"tasks": [], "sets": []}
+    for name, of in (("_pairs", "tasks"), ("_links", "sets")):
+        plain = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda first, *rest, plain=plain, of=of: counts[of].append(first.count()) or plain(first, *rest))
+    got = near_dedup.near_groups(cases.frame(spark, data)).collect()
+    monkeypatch.undo()
+    return counts, got
+
+
+def test_a_large_group_moves_rows_in_proportion(spark, monkeypatch):
+    """Copies of one text that are all alike: in the first round a class is in one task a band, later nearly none are."""
+    moved = {}
+    for n in (300, 600):
+        rnd, base = random.Random(n), [f"b{i}" for i in range(150)]
+        data = []
+        for i in range(n):
+            text = list(base)
+            text[rnd.randrange(150)] = f"e{i}"
+            data.append((i, " ".join(text), "a"))
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 32)
+        counts, got = moved_rows(spark, monkeypatch, data)
+        assert {r.component_id for r in got} == {0}
+        moved[n] = [sum(counts["tasks"]), sum(counts["sets"])]
+    assert all(b <= 3 * a for a, b in zip(*moved.values(), strict=True))
+
+
+def test_chained_candidates_fetch_few_sets(spark, monkeypatch):
+    """Neighbours share half of their words, so they are candidates without being alike; their sketches tell, without sets."""
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**9)}" for _ in range(40 * 400)]
+    data = [(i, " ".join(words[40 * i : 40 * i + 130]), "a") for i in range(390)]
+    counts, got = moved_rows(spark, monkeypatch, data)
+    assert all(r.kept for r in got)
+    assert sum(counts["sets"]) <= 400

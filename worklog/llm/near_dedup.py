@@ -2,12 +2,16 @@
 
 1. Each text gives a set of shingle hashes, MinHash samples grouped in bands, and an odd sketch: each sample, with its
    number, flips one bit of a bitmap. Texts with one set form a class and go on as one.
-2. Classes with a band in common are candidates. Each bucket is joined through its least member, and the connected
-   candidates are a cluster, which holds every pair that has a band in common.
-3. Clusters are confirmed in tasks of bounded size: a cluster is cut into blocks, and each pair of blocks is a task of its
-   own. Within it the XOR of two odd sketches tells how many samples differ; pairs that could still reach the
-   similarity are confirmed by intersecting their sets. Pairs already joined by other links are passed over.
-4. The links' connected components are the groups.
+2. Classes with a band in common are a bucket. Buckets are compared in tasks of bounded size that move sketches alone,
+   64 bytes a class: the XOR of two odd sketches tells how many samples differ, and with that how alike the sets are.
+   Pairs that could still reach the similarity go on, at first only the likeliest of each class.
+3. For these pairs alone the sets are fetched and intersected. What is linked becomes one component, and pairs within a
+   component need no further look.
+4. That is repeated: near neighbours first, so that most of a large group is one component after the first rounds, and
+   in the end every pair that is left. So a link between different components is never missed.
+
+A bucket's first rounds deal it to blocks, each compared within itself, which takes as many rows as it has classes. The
+last rounds compare all its blocks of different components: one component of any size against a few rows costs its size.
 
 Bands are as many as needed for a chance below ``MISS`` to have none in common at the similarity asked for.
 """
@@ -28,7 +32,8 @@ from .components import components
 from .rolling import mixed, word_hashes
 
 ROWS, MISS, SKETCH_BITS, SLACK = 5, 1e-7, 512, 6.5
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
+#: Classes in a block of a bucket, and the likeliest partners of a class that the rounds before the last look at.
+BLOCK_ROWS, NEAREST = 256, (3, 8)
 SEED = 20
 
 
@@ -85,7 +90,7 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketcher(n_bands(percent))
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingle_set(text, k)
@@ -104,66 +109,131 @@ def _mark(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """Replace _text by its shingle set, for rows whose text is of the class."""
+def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """class and shingles, its set, of the classes in pairs, from the text of each class's least document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                sets = [shingle_set(t, k).tobytes() for t in batch.column(0).to_pylist()]
-                keep = pa.array([xxhash.xxh3_128_digest(s) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), batch.column(4), pa.array(sets, pa.binary())], ["class", "odd", "cluster", "blocks", "shingles"]).filter(keep)
-
-    return rows.select("_text", "class", "odd", "cluster", "blocks").mapInArrow(run, "class binary, odd binary, cluster binary, blocks int, shingles binary")
-
-
-def _links(classes: list[bytes], odd: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, most_flips: int) -> list[tuple[bytes, bytes]]:
-    """Links that join the members as all links would; only pairs of different sides unless all are on side 0."""
-    n, crossing = len(classes), bool(side.any())
-    flat, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    group, links = np.arange(n), []
-    mask = np.zeros(len(flat), bool)
-    for x in range(n - 1):
-        y = np.arange(x + 1, n)
-        y = y[(group[y] != group[x]) & (100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x]))]
-        if crossing:
-            y = y[side[y] != side[x]]
-        if len(y):
-            y = y[np.bitwise_count(odd[y] ^ odd[x]).sum(1) <= most_flips]
-        if not len(y):
-            continue
-        mine = ids[ends[x] : ends[x + 1]]
-        mask[mine] = True
-        for z in y:
-            if group[z] != group[x]:
-                both = int(np.count_nonzero(mask[ids[ends[z] : ends[z + 1]]]))
-                if 100 * both >= percent * (sizes[x] + sizes[z] - both):
-                    links.append((classes[x], classes[z]))
-                    group[group == group[z]] = group[x]
-        mask[mine] = False
-    return links
-
-
-def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between classes of one cluster, each pair of blocks a group of its own."""
-    most_flips = Sketcher(n_bands(percent)).most_flips(percent)
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    dealt = members.select("cluster", "class", "odd", "shingles", own.alias("own"), F.explode(tasks).alias("task"))
+        for batch in common.slices(batches, 0):
+            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
+            keep = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), found], ["class", "shingles"]).filter(keep)
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = common.stored(ends.join(classes.select("class", "least"), "class"), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("_text")).join(wanted, "least")
+    # Where rows repeat an identifier, a class may be met twice, with the same set.
+    return texts.select("_text", "class").mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"])
+
+
+def _possible(flips: np.ndarray, n: np.ndarray, m: np.ndarray, component: np.ndarray, other: np.ndarray, percent: int, most_flips: int) -> np.ndarray:
+    """Whether two sets of these sizes, of different components, may be a link."""
+    return (flips <= most_flips) & (component != other) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
-    def run(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(sets), -1)
-        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
-        side = (own != i) if (i != j).any() else np.zeros(len(sets), bool)
-        links = _links(table.column("class").to_pylist(), odd, sets, side, percent, most_flips) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
-    flat = dealt.select("cluster", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "class", "odd", "shingles", "own")
-    return flat.groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary")
+def _alike(odd: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, nearest: int | None, percent: int, most_flips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one task that may be links: both places and the XOR of their sketches.
+
+    Only pairs of different components, and where there are two sides, of different sides. Of each row at most the
+    nearest so many partners; None is all of them.
+    """
+    flips = np.bitwise_count(odd[:, None, :] ^ odd[None, :, :]).sum(2, dtype=np.int64)
+    good = _possible(flips, n[:, None], n[None, :], component[:, None], component[None, :], percent, most_flips)
+    if side.any():
+        good &= side[:, None] != side[None, :]
+    if nearest is None or nearest >= len(n):
+        x, y = np.nonzero(np.triu(good, 1))
+        return x, y, flips[x, y]
+    far = np.where(good, flips, np.iinfo(np.int64).max)
+    y = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
+    x = np.repeat(np.arange(len(n)), nearest)
+    y = y.ravel()
+    kept = good[x, y]
+    return x[kept], y[kept], flips[x[kept], y[kept]]
+
+
+def _pairs(tasks: DataFrame, nearest: int | None, percent: int) -> DataFrame:
+    """a, b: pairs of classes that may be links, of the rows of tasks (band, i, j, side, class, odd, n, component).
+
+    The rows of a task come together and are at most two blocks. Of each class at most the nearest so many partners over
+    all its tasks stay; it is ranked by its own choices alone, so a class that very many choose is no hot key.
+    """
+    most_flips = Sketcher(n_bands(percent)).most_flips(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for last, batch in _with_end(batches):
+            table = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks()
+            if not table.num_rows:
+                continue
+            keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
+            begin = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1, [table.num_rows]])
+            done = table.num_rows if last else begin[-2]
+            rest = None if last else pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.slice(done).columns], schema=table.schema)
+            own = table.slice(0, done)
+            classes = own.column("class").combine_chunks()
+            odd = np.frombuffer(b"".join(own.column("odd").to_pylist()), np.uint64).reshape(done, -1)
+            side, n = own.column("side").to_numpy(), own.column("n").to_numpy()
+            component = own.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+            found = []
+            begin = begin[begin <= done]
+            size = np.diff(begin)
+            two = begin[:-1][size == 2]  # by far the most
+            flips = np.bitwise_count(odd[two] ^ odd[two + 1]).sum(1, dtype=np.int64)
+            good = _possible(flips, n[two], n[two + 1], component[two], component[two + 1], percent, most_flips)
+            found.append((two[good], two[good] + 1, flips[good]))
+            for start, end in zip(begin[:-1][size > 2], begin[1:][size > 2], strict=True):
+                rows = slice(start, end)
+                x, y, f = _alike(odd[rows], n[rows], component[rows], side[rows], nearest, percent, most_flips)
+                found.append((x + start, y + start, f))
+            x, y, flips = (np.concatenate(part) for part in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([classes.take(pa.array(x)), classes.take(pa.array(y)), pa.array(flips.astype(np.int32))], ["x", "y", "flips"])
+
+    dealt = tasks.select("band", "i", "j", "side", "class", "odd", "n", "component").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    found = dealt.mapInArrow(run, "x binary, y binary, flips int")
+    if nearest is not None:
+        chosen = found.groupBy("x").agg(F.collect_set(F.struct("flips", "y")).alias("_all"))
+        found = chosen.select("x", F.explode(F.slice(F.array_sort("_all"), 1, nearest)["y"]).alias("y"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Each batch, and whether it is the last one."""
+    held = next(batches, None)
+    for batch in batches:
+        yield False, held
+        held = batch
+    if held is not None:
+        yield True, held
+
+
+def _within_blocks(members: DataFrame) -> DataFrame:
+    """Each bucket dealt to blocks, every block a task; each bucket deals its classes in another way."""
+    block = F.pmod(F.xxhash64("class", "band"), F.ceil(F.col("held") / BLOCK_ROWS))
+    return members.select("band", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "class", "component")
+
+
+def _across_blocks(members: DataFrame) -> DataFrame:
+    """Each bucket's pairs of different components: blocks of the rows outside its largest component are compared with each
+    other, and with the blocks of that component. Buckets of one component are left out."""
+    parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("most"))
+    sizes = parts.groupBy("band").agg(F.max_by("component", F.struct("most", "component")).alias("main"), F.max("most").alias("most"), F.sum("most").alias("all")).filter("most < all")
+    rows = members.select("band", "class", "component").join(common.stored(sizes, "bucket-sizes"), "band")
+    blocks = lambda held: F.ceil(held / BLOCK_ROWS)
+    main, many, others = F.col("component") == F.col("main"), blocks(F.col("most")), blocks(F.col("all") - F.col("most"))
+    own = F.when(main, -1 - F.pmod(F.xxhash64("class"), many)).otherwise(F.pmod(F.xxhash64("class"), others))
+    outside, inside = F.sequence(F.lit(0).cast("long"), others - 1), F.sequence(-many, F.lit(-1).cast("long"))
+    opened = rows.withColumn("_own", own).withColumn("_other", F.explode(F.when(main, outside).otherwise(F.concat(inside, outside))))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    return opened.select("band", low.alias("i"), high.alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "class", "component")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are as alike as asked for."""
+    a, b = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"_{x}")) for x in ("a", "b"))
+    both = F.size(F.array_intersect("_a", "_b")).cast("long")
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("_both"), (F.size("_a") + F.size("_b")).cast("long").alias("_sum"))
+    return joined.filter(100 * F.col("_both") >= percent * (F.col("_sum") - F.col("_both"))).select("a", "b")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -181,31 +251,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, marked: bool = False) -> DataFrame:
     """near_groups, and if marked the mark of each row."""
     digests = common.stored(_digests(docs, id_col, text_col, k, percent, marked), "digests")
-    with_id = digests.filter("_id IS NOT NULL AND n > 0")
-    classes = common.stored(with_id.groupBy("class").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
-
-    banded = common.stored(classes.select("class", F.explode("bands").alias("band")), "bands")
-    buckets = banded.groupBy("band").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub <> last")
-    stars = banded.join(common.stored(buckets.select("band", "hub"), "buckets"), "band").filter("class <> hub")
-    clusters = components(stars.select(F.col("hub").alias("a"), F.col("class").alias("b"))).withColumnRenamed("node", "class").withColumnRenamed("component", "cluster")
-
-    in_clusters = common.stored(clusters.join(classes.select("class", "least", "n", "odd"), "class"), "in-clusters")
-    sized = in_clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = in_clusters.join(common.stored(sized, "clusters"), "cluster")
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("_text"))
-    members = _sets(texts.join(wanted, "least"), k)
-    links = common.stored(_confirmed(members, percent), "links")
-
-    joined = classes.select("class", "least").join(components(links).withColumnRenamed("node", "class"), "class")
-    groups = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = common.stored(joined.select("class", "component").join(groups, "component").select("class", "component_id"), "groups")
-    alone = classes.select("class", "least").join(labels, "class", "left").select("class", F.coalesce("component_id", "least").alias("_component"))
-    known = common.stored(alone, "class-groups")
+    with common.scratch(docs.sparkSession):
+        known = common.stored(_class_groups(docs, digests, id_col, text_col, k, percent), "class-groups", outlive=True)
     found = digests.select("_id", "n", "class", *["_mark"] * marked).join(known, "class", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
     return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"), *["_mark"] * marked)
 
 
+def _class_groups(docs: DataFrame, digests: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """class and _component, the least identifier that links reach, of each class."""
+    with_id = digests.filter("_id IS NOT NULL AND n > 0")
+    classes = common.stored(with_id.groupBy("class").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
+    banded = common.stored(classes.select("class", F.explode("bands").alias("band")), "bands")
+    buckets = common.stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "buckets")
+    members = common.stored(banded.join(buckets, "band"), "members")
+
+    labels = classes.select(F.col("class").alias("node"), F.col("class").alias("component")).filter(F.lit(False))
+    sets, tried, links = None, None, None
+    for turn, nearest in enumerate([*NEAREST, None]):
+        labelled = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        tasks = (_across_blocks if turn else _within_blocks)(labelled)
+        pairs = _pairs(tasks.join(classes.select("class", "n", "odd"), "class"), nearest, percent)
+        pairs = common.stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        if sets is None:
+            sets = common.stored(_sets(docs, pairs, classes, id_col, text_col, k), "sets")
+        found = common.stored(_links(pairs, sets, percent), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = common.stored(components(links), "labels")
+
+    joined = classes.select("class", "least").join(labels.withColumnRenamed("node", "class"), "class")
+    groups = joined.groupBy("component").agg(F.min("least").alias("_component"))
+    grouped = common.stored(joined.select("class", "component").join(groups, "component").select("class", "_component"), "groups")
+    return classes.select("class", "least").join(grouped, "class", "left").select("class", F.coalesce("_component", "least").alias("_component"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The kept rows of docs with all their columns; the rules are those of near_groups.
 
