@@ -87,12 +87,19 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * self.log_ratio(x) + self.shift)))
 
 
+def _arrays(texts: pa.Array) -> pa.Array:
+    """The statistics of each text."""
+    pieces = common.slices(iter([pa.record_batch([texts], ["text"])]), 0)
+    values = [np.array([statistics(t) for t in p.column(0).to_pylist()]).ravel() for p in pieces]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES)), pa.array(np.concatenate([np.empty(0), *values])))
+
+
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and x, the array of statistics, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], [id_col, "x"])
+        for batch in common.slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _arrays(batch.column(1))], [id_col, "x"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, x array<double>")
 
@@ -186,18 +193,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are predicted good, with all their columns; the rules are those of quality_scores."""
-    model = fit_on_labels(common.stored(with_statistics(docs), "statistics"), labels)
+    """The rows of docs that are predicted good, with all their columns; the rules are those of quality_scores.
+
+    The rows are written once with their statistics, so that no text is gone through twice; the fit reads the statistics
+    alone, and only they go to Python again for the score.
+    """
+    numbers = F.arrow_udf(_arrays, "array<double>")
+    rows = common.stored(docs.select(F.struct("*").alias("_row"), numbers(F.col("text").cast("string")).alias("_x")), "with-statistics")
+    model = fit_on_labels(rows.select(F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_x").alias("x")), labels)
     if model is None:
-        return docs
+        return rows.select("_row.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            keep = model.scores(np.array([statistics(t) for t in texts])) >= threshold if texts else np.empty(0, bool)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(range(batch.num_columns - 1))
+    def scores(x: pa.Array) -> pa.Array:
+        return pa.array(model.scores(x.flatten().to_numpy().reshape(len(x), -1)))
 
-    return docs.select("*", F.col("text").cast("string").alias("_scored_text")).mapInArrow(run, docs.schema)
+    return rows.filter(F.arrow_udf(scores, "double")("_x") >= threshold).select("_row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
