@@ -154,38 +154,55 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
 
 
 def moved_rows(spark, monkeypatch, data):
-    """Rows that tasks get in each round, and fetched sets."""
-    counts = {"tasks": [], "sets": []}
-    for name, of in (("_pairs", "tasks"), ("_links", "sets")):
+    """Rows that tasks get and give, and pairs or tasks' rows for which sets are fetched."""
+    counts = {"tasks": 0, "pairs": 0, "sets": 0}
+
+    def counted(name, before, after=None):
         plain = getattr(near_dedup, name)
-        monkeypatch.setattr(near_dedup, name, lambda first, *rest, plain=plain, of=of: counts[of].append(first.count()) or plain(first, *rest))
+
+        def run(first, *rest):
+            out = plain(first, *rest)
+            counts[before] += first.count()
+            if after:
+                counts[after] += out.count()
+            return out
+
+        monkeypatch.setattr(near_dedup, name, run)
+
+    counted("_pairs", "tasks", "pairs")
+    counted("_links", "sets")
+    counted("_links_of_tasks", "sets")
     got = near_dedup.near_groups(cases.frame(spark, data)).collect()
     monkeypatch.undo()
     return counts, got
 
 
-def test_a_large_group_moves_rows_in_proportion(spark, monkeypatch):
-    """Copies of one text that are all alike: in the first round a class is in one task a band, later nearly none are."""
+def edited(rnd, n, edits):
+    base = [f"b{i}" for i in range(150)]
+    for i in range(n):
+        text = list(base)
+        for k in range(edits):
+            text[rnd.randrange(150)] = f"e{i}x{k}"
+        yield i, " ".join(text), "a"
+
+
+@pytest.mark.parametrize(("edits", "alike"), [(1, True), (4, False)])
+def test_a_large_group_moves_rows_in_proportion(spark, monkeypatch, edits, alike):
+    """Copies of one text, all alike or all less alike than asked for but more than sketches can tell."""
     moved = {}
-    for n in (300, 600):
-        rnd, base = random.Random(n), [f"b{i}" for i in range(150)]
-        data = []
-        for i in range(n):
-            text = list(base)
-            text[rnd.randrange(150)] = f"e{i}"
-            data.append((i, " ".join(text), "a"))
-        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 32)
-        counts, got = moved_rows(spark, monkeypatch, data)
-        assert {r.component_id for r in got} == {0}
-        moved[n] = [sum(counts["tasks"]), sum(counts["sets"])]
-    assert all(b <= 3 * a for a, b in zip(*moved.values(), strict=True))
-
-
-def test_chained_candidates_fetch_few_sets(spark, monkeypatch):
-    """Neighbours share half of their words, so they are candidates without being alike; their sketches tell, without sets."""
+    for n in (250, 500):
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 250)
+        counts, got = moved_rows(spark, monkeypatch, list(edited(random.Random(n), n, edits)))
+        assert alike == ({r.component_id for r in got} == {0})
+        assert counts["pairs"] <= 45 * n
+        moved[n] = counts
+    assert moved[500]["pairs"] <= 3 * moved[250]["pairs"] and moved[500]["tasks"] <= 3 * moved[250]["tasks"]
+
+
+def test_chained_candidates_fetch_no_sets(spark, monkeypatch):
+    """Neighbours share part of their words, so they are candidates without being alike; sketches tell without sets."""
     rnd = random.Random(9)
     words = [f"w{rnd.randrange(10**9)}" for _ in range(40 * 400)]
-    data = [(i, " ".join(words[40 * i : 40 * i + 130]), "a") for i in range(390)]
+    data = [(i, " ".join(words[80 * i : 80 * i + 130]), "a") for i in range(190)]
     counts, got = moved_rows(spark, monkeypatch, data)
-    assert all(r.kept for r in got)
-    assert sum(counts["sets"]) <= 400
+    assert all(r.kept for r in got) and counts["sets"] == 0

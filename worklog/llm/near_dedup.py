@@ -4,14 +4,14 @@
    number, flips one bit of a bitmap. Texts with one set form a class and go on as one.
 2. Classes with a band in common are a bucket. Buckets are compared in tasks of bounded size that move sketches alone,
    64 bytes a class: the XOR of two odd sketches tells how many samples differ, and with that how alike the sets are.
-   Pairs that could still reach the similarity go on, at first only the likeliest of each class.
-3. For these pairs alone the sets are fetched and intersected. What is linked becomes one component, and pairs within a
-   component need no further look.
-4. That is repeated: near neighbours first, so that most of a large group is one component after the first rounds, and
-   in the end every pair that is left. So a link between different components is never missed.
+3. Nearest first: each bucket is dealt to blocks, each class picks its likeliest few partners, and for these pairs alone
+   the sets are fetched and intersected. Linked classes become one component, which covers most of a large group.
+4. The rest: the sketches of different components in a bucket are compared again, over all blocks. Classes with a partner
+   that could still be a link are clusters; as long as a cluster has several components, its sets are intersected in
+   tasks of two blocks, passing over what is one component already. No link between different components is missed.
 
-A bucket's first rounds deal it to blocks, each compared within itself, which takes as many rows as it has classes. The
-last rounds compare all its blocks of different components: one component of any size against a few rows costs its size.
+No step makes a row for each pair of a group. A component of any size against a few other rows costs its size; only sets
+that sketches cannot tell from links without being links are compared all with all, blockwise.
 
 Bands are as many as needed for a chance below ``MISS`` to have none in common at the similarity asked for.
 """
@@ -32,8 +32,8 @@ from .components import components
 from .rolling import mixed, word_hashes
 
 ROWS, MISS, SKETCH_BITS, SLACK = 5, 1e-7, 512, 6.5
-#: Classes in a block of a bucket, and the likeliest partners of a class that the rounds before the last look at.
-BLOCK_ROWS, NEAREST = 256, (3, 8)
+#: Classes and shingles in a block, and the likeliest partners that a class picks.
+BLOCK_ROWS, BLOCK_SHINGLES, NEAREST = 256, 1 << 20, 3
 SEED = 20
 
 
@@ -109,21 +109,18 @@ def _mark(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """class and shingles, its set, of the classes in pairs, from the text of each class's least document."""
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """class and shingles, its set, of wanted classes (class, least), from the text of each one's least document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 0):
             sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
             keep = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), found], ["class", "shingles"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"]).filter(keep)
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = common.stored(ends.join(classes.select("class", "least"), "class"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("_text")).join(wanted, "least")
     # Where rows repeat an identifier, a class may be met twice, with the same set.
-    return texts.select("_text", "class").mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"])
+    return texts.select("_text", "class").mapInArrow(run, "class binary, shingles binary").dropDuplicates(["class"])
 
 
 def _possible(flips: np.ndarray, n: np.ndarray, m: np.ndarray, component: np.ndarray, other: np.ndarray, percent: int, most_flips: int) -> np.ndarray:
@@ -131,32 +128,40 @@ def _possible(flips: np.ndarray, n: np.ndarray, m: np.ndarray, component: np.nda
     return (flips <= most_flips) & (component != other) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-def _alike(odd: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, nearest: int | None, percent: int, most_flips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of one task that may be links: both places and the XOR of their sketches.
-
-    Only pairs of different components, and where there are two sides, of different sides. Of each row at most the
-    nearest so many partners; None is all of them.
-    """
+def _candidates(odd: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int, most_flips: int) -> tuple[np.ndarray, np.ndarray]:
+    """The XOR of the sketches of all rows of a task, and whether two rows may be a link; rows of two sides only across."""
     flips = np.bitwise_count(odd[:, None, :] ^ odd[None, :, :]).sum(2, dtype=np.int64)
     good = _possible(flips, n[:, None], n[None, :], component[:, None], component[None, :], percent, most_flips)
-    if side.any():
-        good &= side[:, None] != side[None, :]
-    if nearest is None or nearest >= len(n):
-        x, y = np.nonzero(np.triu(good, 1))
-        return x, y, flips[x, y]
-    far = np.where(good, flips, np.iinfo(np.int64).max)
-    y = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
-    x = np.repeat(np.arange(len(n)), nearest)
-    y = y.ravel()
-    kept = good[x, y]
-    return x[kept], y[kept], flips[x[kept], y[kept]]
-
-
-def _pairs(tasks: DataFrame, nearest: int | None, percent: int) -> DataFrame:
+    return flips, good & (side[:, None] != side[None, :]) if side.any() else good
+
+
+def _nearest(flips: np.ndarray, good: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with its likeliest partners."""
+    k = min(nearest, len(flips))
+    y = np.argpartition(np.where(good, flips, np.iinfo(np.int64).max), k - 1, axis=1)[:, :k].ravel()
+    x = np.repeat(np.arange(len(flips)), k)
+    return x[good[x, y]], y[good[x, y]]
+
+
+def _spanning(flips: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the good pairs connect, less than one a row."""
+    root = np.full(len(good), -1)
+    for x in np.flatnonzero(good.any(1)):
+        if root[x] < 0:
+            root[x], ahead = x, np.array([x])
+            while len(ahead):
+                ahead = np.flatnonzero(good[ahead].any(0) & (root < 0))
+                root[ahead] = x
+    y = np.flatnonzero((root >= 0) & (root != np.arange(len(root))))
+    return root[y], y
+
+
+def _pairs(tasks: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """a, b: pairs of classes that may be links, of the rows of tasks (band, i, j, side, class, odd, n, component).
 
     The rows of a task come together and are at most two blocks. Of each class at most the nearest so many partners over
-    all its tasks stay; it is ranked by its own choices alone, so a class that very many choose is no hot key.
+    all its tasks stay; it is ranked by its own choices alone, so a class that very many choose is no hot key. Without
+    nearest, of each task just edges that connect the same rows as all its pairs.
     """
     most_flips = Sketcher(n_bands(percent)).most_flips(percent)
 
@@ -184,14 +189,15 @@ def _pairs(tasks: DataFrame, nearest: int | None, percent: int) -> DataFrame:
             found.append((two[good], two[good] + 1, flips[good]))
             for start, end in zip(begin[:-1][size > 2], begin[1:][size > 2], strict=True):
                 rows = slice(start, end)
-                x, y, f = _alike(odd[rows], n[rows], component[rows], side[rows], nearest, percent, most_flips)
-                found.append((x + start, y + start, f))
+                far, near = _candidates(odd[rows], n[rows], component[rows], side[rows], percent, most_flips)
+                x, y = _nearest(far, near, nearest) if nearest else _spanning(far, near)
+                found.append((x + start, y + start, far[x, y]))
             x, y, flips = (np.concatenate(part) for part in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([classes.take(pa.array(x)), classes.take(pa.array(y)), pa.array(flips.astype(np.int32))], ["x", "y", "flips"])
 
     dealt = tasks.select("band", "i", "j", "side", "class", "odd", "n", "component").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     found = dealt.mapInArrow(run, "x binary, y binary, flips int")
-    if nearest is not None:
+    if nearest:
         chosen = found.groupBy("x").agg(F.collect_set(F.struct("flips", "y")).alias("_all"))
         found = chosen.select("x", F.explode(F.slice(F.array_sort("_all"), 1, nearest)["y"]).alias("y"))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -213,27 +219,78 @@ def _within_blocks(members: DataFrame) -> DataFrame:
     return members.select("band", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "class", "component")
 
 
-def _across_blocks(members: DataFrame) -> DataFrame:
-    """Each bucket's pairs of different components: blocks of the rows outside its largest component are compared with each
-    other, and with the blocks of that component. Buckets of one component are left out."""
-    parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("most"))
-    sizes = parts.groupBy("band").agg(F.max_by("component", F.struct("most", "component")).alias("main"), F.max("most").alias("most"), F.sum("most").alias("all")).filter("most < all")
-    rows = members.select("band", "class", "component").join(common.stored(sizes, "bucket-sizes"), "band")
-    blocks = lambda held: F.ceil(held / BLOCK_ROWS)
-    main, many, others = F.col("component") == F.col("main"), blocks(F.col("most")), blocks(F.col("all") - F.col("most"))
-    own = F.when(main, -1 - F.pmod(F.xxhash64("class"), many)).otherwise(F.pmod(F.xxhash64("class"), others))
-    outside, inside = F.sequence(F.lit(0).cast("long"), others - 1), F.sequence(-many, F.lit(-1).cast("long"))
-    opened = rows.withColumn("_own", own).withColumn("_other", F.explode(F.when(main, outside).otherwise(F.concat(inside, outside))))
+def _across_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """The pairs of different components in each group of rows (group, class, n, component) as tasks of two blocks: blocks of
+    the rows outside the group's largest component are compared with each other and with those of that component. Groups
+    of one component are left out."""
+    parts = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"))
+    sizes = parts.groupBy(group).agg(
+        F.max_by(F.struct("component", "held", "shingles"), F.struct("held", "component")).alias("main"), F.sum("held").alias("held"), F.sum("shingles").alias("shingles")
+    ).filter("main.held < held")
+    blocks = lambda held, shingles: F.greatest(F.ceil(held / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES))
+    sizes = sizes.select(
+        group, F.col("main.component").alias("main"), blocks(F.col("main.held"), F.col("main.shingles")).alias("many"),
+        blocks(F.col("held") - F.col("main.held"), F.col("shingles") - F.col("main.shingles")).alias("others"),
+    )
+    met = rows.join(common.stored(sizes, "group-sizes"), group)
+    main = F.col("component") == F.col("main")
+    own = F.when(main, -1 - F.pmod(F.xxhash64("class"), F.col("many"))).otherwise(F.pmod(F.xxhash64("class"), F.col("others")))
+    outside, inside = F.sequence(F.lit(0).cast("long"), F.col("others") - 1), F.sequence(-F.col("many"), F.lit(-1).cast("long"))
+    opened = met.withColumn("_own", own).withColumn("_other", F.explode(F.when(main, outside).otherwise(F.concat(inside, outside))))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
-    return opened.select("band", low.alias("i"), high.alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "class", "component")
+    return opened.select(group, low.alias("i"), high.alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "class", "component")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are as alike as asked for."""
+    """The pairs (a, b) whose sets are as alike as asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 2):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+                keep.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
     a, b = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"_{x}")) for x in ("a", "b"))
-    both = F.size(F.array_intersect("_a", "_b")).cast("long")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("_both"), (F.size("_a") + F.size("_b")).cast("long").alias("_sum"))
-    return joined.filter(100 * F.col("_both") >= percent * (F.col("_sum") - F.col("_both"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a binary, b binary")
+
+
+def _intersected(flips: np.ndarray, good: np.ndarray, sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the good pairs that join the rows as all links would, likeliest first."""
+    flat, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([0, *map(len, sets)])
+    group, mask, links = component.copy(), np.zeros(len(flat), bool), []
+    for x in range(len(sets)):
+        near = np.flatnonzero(good[x, :x] & (group[:x] != group[x]))
+        if not len(near):
+            continue
+        mine = ids[ends[x] : ends[x + 1]]
+        mask[mine] = True
+        for y in near[np.argsort(flips[x, near])]:
+            if group[y] != group[x]:
+                both = int(np.count_nonzero(mask[ids[ends[y] : ends[y + 1]]]))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    links.append((x, y))
+                    group[group == group[y]] = group[x]
+        mask[mine] = False
+    return links
+
+
+def _links_of_tasks(tasks: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of the rows of tasks (cluster, i, j, side, class, odd, component, shingles)."""
+    most_flips = Sketcher(n_bands(percent)).most_flips(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s, np.int64) for s in table.column("shingles").to_pylist()]
+        odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(sets), -1)
+        component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        flips, good = _candidates(odd, np.array([*map(len, sets)]), component, table.column("side").to_numpy(), percent, most_flips)
+        links = _intersected(flips, good, sets, component, percent) if len(sets) else []
+        classes = table.column("class").to_pylist()
+        return pa.table({"a": pa.array([classes[x] for x, _ in links], pa.binary()), "b": pa.array([classes[y] for _, y in links], pa.binary())})
+
+    return tasks.select("cluster", "i", "j", "side", "class", "odd", "component", "shingles").groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -266,21 +323,26 @@ def _class_groups(docs: DataFrame, digests: DataFrame, id_col: str, text_col: st
     buckets = common.stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "buckets")
     members = common.stored(banded.join(buckets, "band"), "members")
 
-    labels = classes.select(F.col("class").alias("node"), F.col("class").alias("component")).filter(F.lit(False))
-    sets, tried, links = None, None, None
-    for turn, nearest in enumerate([*NEAREST, None]):
-        labelled = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        tasks = (_across_blocks if turn else _within_blocks)(labelled)
-        pairs = _pairs(tasks.join(classes.select("class", "n", "odd"), "class"), nearest, percent)
-        pairs = common.stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        if sets is None:
-            sets = common.stored(_sets(docs, pairs, classes, id_col, text_col, k), "sets")
-        found = common.stored(_links(pairs, sets, percent), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = common.stored(components(links), "labels")
+    sketches = classes.select("class", "n", "odd")
+    first = _within_blocks(members.withColumn("component", F.col("class")))
+    pairs = common.stored(_pairs(first.join(sketches, "class"), percent, NEAREST), "pairs")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "least"), "class")
+    sets = common.stored(_sets(docs, common.stored(paired, "wanted"), id_col, text_col, k), "sets")
+    links = common.stored(_links(pairs, sets, percent), "links")
+    labels = common.stored(components(links), "labels")
+
+    component = F.coalesce("component", "class").alias("component")
+    labelled = members.join(labels.withColumnRenamed("node", "class"), "class", "left").join(classes.select("class", "n"), "class").select("band", "class", "n", component)
+    left = _pairs(_across_blocks(labelled, "band").join(sketches, "class"), percent, None)
+    clusters = common.stored(components(left).select(F.col("node").alias("class"), F.col("component").alias("cluster")), "clusters")
+    if not clusters.isEmpty():
+        rows = clusters.join(labels.withColumnRenamed("node", "class"), "class", "left").join(classes.select("class", "n"), "class").select("cluster", "class", "n", component)
+        tasks = _across_blocks(rows, "cluster").join(sketches.select("class", "odd"), "class")
+        lacking = common.stored(clusters.join(sets, "class", "left_anti").join(classes.select("class", "least"), "class"), "wanted")
+        if not lacking.isEmpty():  # classes that met their partners in other blocks only
+            sets = sets.unionByName(common.stored(_sets(docs, lacking, id_col, text_col, k), "sets"))
+        more = common.stored(_links_of_tasks(tasks.join(sets, "class"), percent), "links")
+        labels = common.stored(components(links.unionByName(more)), "labels")
 
     joined = classes.select("class", "least").join(labels.withColumnRenamed("node", "class"), "class")
     groups = joined.groupBy("component").agg(F.min("least").alias("_component"))
