@@ -42,8 +42,20 @@ def test_cycle_cases(spark):
     assert deps.would_cycle(frame([("2", "1"), ("3", "1")]), frame([("4", "2")])).first().verdict == "ok"
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_scope_conflicts_match_a_double_loop(spark, seed):
+def test_long_ways_are_walked_to_the_end(spark):
+    frame = lambda rows: spark.createDataFrame([("p", *r) for r in rows], "project_id string, task_id string, prerequisite_task_id string")
+    chain = [(f"{i + 1:04d}", f"{i:04d}") for i in range(150)]
+    asked = [("0000", "0150"), ("0150", "0000"), ("0003", "0003"), ("x", "0150"), ("0000", "0007")]
+    got = [r.verdict for r in deps.would_cycle(frame(chain), frame(asked)).orderBy("task_id", "prerequisite_task_id").collect()]
+    assert got == ["cycle", "cycle", "self_dependency", "ok", "ok"]
+    assert deps.would_cycle(frame(chain[:0] or [("a", "b")]).limit(0), frame([("1", "2")])).first().verdict == "ok"
+    fan = [(f"a{i}", f"b{j}") for i in range(12) for j in range(12)] + [(f"b{j}", f"c{k}") for j in range(12) for k in range(12)]
+    assert deps.would_cycle(frame(fan), frame([("c5", "a3"), ("a3", "c5")])).orderBy("task_id").collect()[1].verdict == "cycle"
+
+
+@pytest.mark.parametrize(("seed", "part_rows"), [(0, 10_000), (1, 3)])
+def test_scope_conflicts_match_a_double_loop(spark, monkeypatch, seed, part_rows):
+    monkeypatch.setattr(scopes, "PART_ROWS", part_rows)
     rnd = random.Random(seed)
     pool = ["src/**", "src/*", "src/a.rs", "lib/a.rs", "**", "*.rs", "src/[ab].rs", "src/[a", "lib/{a,b}.rs", "docs", "docs/x?", "s?c/a.rs"]
     rows = [("p" if rnd.random() < 0.8 else "q", f"t{rnd.randrange(9)}", rnd.choice(pool)) for _ in range(40)]
@@ -64,7 +76,10 @@ def test_scope_conflicts_match_a_double_loop(spark, seed):
                 kind = "Definite" if rm and rn and (rm.match(n) or rn.match(m)) else "Possible" if not (rm and rn) or m.split("/")[0] == n.split("/")[0] else None
                 if kind:
                     want.add((p, a, m, b, n, kind))
-    got = scopes.scope_conflicts(spark.createDataFrame(rows, "project_id string, task_id string, pattern string"), spark.createDataFrame(tasks, "project_id string, id string, status string"))
+    given = spark.createDataFrame(rows, "project_id string, task_id string, pattern string"), spark.createDataFrame(tasks, "project_id string, id string, status string")
+    got = scopes.scope_conflicts(*given)
+    one = {tuple(r) for r in scopes.scope_conflicts(*given, task_id="t3").collect()}
+    assert one == {tuple(r) for r in got.collect() if "t3" in (r.task_a, r.task_b)}
     assert {tuple(r) for r in got.collect()} == want
 
 
@@ -231,8 +246,9 @@ def test_display_ids_have_no_gaps(spark):
     rnd = random.Random(1)
     new = spark.createDataFrame([(rnd.choice(["p", "q"]), "task", f"{n:05d}", "TSK") for n in range(2000)], "project_id string, kind string, id string, prefix string")
     stored = spark.createDataFrame([("p", "task", 41)], "project_id string, kind string, next_value long")
-    for size in (100, 10**6):
-        rows = latest.allocate_display_ids(new, stored, rows_a_bucket=size).collect()
+    for parts in ("1", "7", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = latest.allocate_display_ids(new, stored).collect()
         for project, start in (("p", 41), ("q", 1)):
             own = [r.display_id for r in sorted((r for r in rows if r.project_id == project), key=lambda r: r.id)]
             assert own == [f"TSK-{start + n:04d}" for n in range(len(own))]

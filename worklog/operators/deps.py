@@ -11,6 +11,8 @@ from worklog.sources.shared import stored
 
 #: Rounds after which the pairs seen so far become one table again.
 MERGE_EVERY = 8
+#: Edges that a round goes at most, and ways for each edge that are worth it.
+HOPS, WAYS = 8, 10
 
 
 def dependency_summary(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -52,28 +54,50 @@ def demote_on_new_dependency(tasks: DataFrame, new_edges: DataFrame) -> DataFram
     return tasks.join(hit, ["project_id", "id"], "left").withColumn("status", F.when(demoted, "planned").otherwise(F.col("status"))).select(*tasks.columns)
 
 
-def would_cycle(edges: DataFrame, candidates: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Add verdict to candidate edges (project_id, task_id, prerequisite_task_id): self_dependency, cycle or ok.
 
     A candidate closes a cycle if its prerequisite already reaches its task. All kinds of edge count. A frontier of
-    (candidate, task) pairs walks the edges until it is empty; pairs seen before are left out. Edges that end in a task
-    without prerequisites cannot be part of a cycle's way and stop the walk by themselves.
+    (start, task) pairs, one for all candidates with that prerequisite, walks the edges until it is empty, however long
+    the ways are. Candidates whose task nothing leads to or whose prerequisite leads nowhere are ok at once; a start
+    whose candidates are all closed goes no further; pairs seen before are left out. Each round goes up to ``HOPS``
+    edges, as long as those ways are not many more than the edges.
     """
-    step = edges.select(F.col("project_id"), F.col("task_id").alias("_at"), F.col("prerequisite_task_id").alias("_next")).distinct()
-    pairs = candidates.select("project_id", "task_id", "prerequisite_task_id").distinct()
-    live = pairs.filter("task_id <> prerequisite_task_id")
-    frontier = stored(live.withColumn("_at", F.col("prerequisite_task_id")), "frontier")
-    parts = [frontier]
-    keys = ["project_id", "task_id", "prerequisite_task_id", "_at"]
-    for _ in range(max_rounds):
-        ahead = frontier.filter("_at <> task_id").join(step, ["project_id", "_at"]).select("project_id", "task_id", "prerequisite_task_id", F.col("_next").alias("_at")).distinct()
-        frontier = stored(ahead.join(reduce(DataFrame.unionByName, parts), keys, "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        if len(parts) > MERGE_EVERY:
-            parts = [stored(reduce(DataFrame.unionByName, parts), "seen")]
-    seen = reduce(DataFrame.unionByName, parts)
-    closing = seen.filter("_at = task_id").select("project_id", "task_id", "prerequisite_task_id", F.lit("cycle").alias("_v")).distinct()
+    spark = edges.sparkSession
+    pair = ["project_id", "task_id", "prerequisite_task_id"]
+    step = stored(edges.select("project_id", F.col("task_id").alias("_at"), F.col("prerequisite_task_id").alias("_next")).distinct(), "steps")
+    pairs = candidates.select(*pair).distinct().filter("task_id <> prerequisite_task_id")
+    asked = pairs.select("project_id", F.col("prerequisite_task_id").alias("_start"), F.col("task_id").alias("_goal"))
+    met = asked.join(step.select("project_id", F.col("_next").alias("_goal")), ["project_id", "_goal"], "left_semi")
+    live = stored(met.join(step.select("project_id", F.col("_at").alias("_start")), ["project_id", "_start"], "left_semi"), "live-candidates")
+    ways = _ways(step)
+    frontier = stored(live.select("project_id", "_start", F.col("_start").alias("_at"), F.lit(False).alias("_hit")).distinct(), "frontier")
+    seen, hits = [frontier], []
+    goals = live.select("project_id", "_start", F.col("_goal").alias("_at"), F.lit(True).alias("_hit"))
+    while not frontier.isEmpty():
+        ahead = frontier.join(ways, ["project_id", "_at"]).select("project_id", "_start", F.col("_next").alias("_at")).distinct()
+        fresh = ahead.join(reduce(DataFrame.unionByName, seen).drop("_hit"), ["project_id", "_start", "_at"], "left_anti")
+        found = stored(fresh.join(goals, ["project_id", "_start", "_at"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))), "frontier")
+        seen.append(found)
+        hits.append(found.filter("_hit").select("project_id", "_start", F.col("_at").alias("_goal")))
+        if len(seen) > MERGE_EVERY:
+            seen, hits = [stored(reduce(DataFrame.unionByName, seen), "seen")], [stored(reduce(DataFrame.unionByName, hits), "closed")]
+        waiting = live.join(reduce(DataFrame.unionByName, hits), ["project_id", "_start", "_goal"], "left_anti")
+        frontier = found.join(waiting.select("project_id", "_start").distinct(), ["project_id", "_start"], "left_semi")
+    empty = spark.createDataFrame([], live.schema)
+    closing = reduce(DataFrame.unionByName, hits, empty).select("project_id", F.col("_goal").alias("task_id"), F.col("_start").alias("prerequisite_task_id"), F.lit("cycle").alias("_v")).distinct()
     verdict = F.when(F.col("task_id") == F.col("prerequisite_task_id"), "self_dependency").otherwise(F.coalesce("_v", F.lit("ok")))
-    return candidates.join(closing, ["project_id", "task_id", "prerequisite_task_id"], "left").withColumn("verdict", verdict).select(*candidates.columns, "verdict")
+    return candidates.join(closing, pair, "left").withColumn("verdict", verdict).select(*candidates.columns, "verdict")
+
+
+def _ways(step: DataFrame) -> DataFrame:
+    """The ways of at most so many edges, doubled while they are at most ``WAYS`` times as many as the edges."""
+    ways, hops, n = step, 1, step.count()
+    while hops < HOPS and n:
+        onward = ways.select("project_id", F.col("_at").alias("_next"), F.col("_next").alias("_far"))
+        longer = ways.unionByName(ways.join(onward, ["project_id", "_next"]).select("project_id", "_at", F.col("_far").alias("_next"))).distinct()
+        longer, hops = stored(longer, "ways"), 2 * hops
+        if longer.count() > WAYS * n:
+            break
+        ways = longer
+    return ways

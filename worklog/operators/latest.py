@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklog.sources.shared import stored
+
 LIST_FIELDS = ["done", "remaining", "blockers", "risks", "next_steps", "notes"]
 
 
@@ -39,38 +41,26 @@ def assign_positions(new: DataFrame, existing: DataFrame) -> DataFrame:
     return new.join(last, ["project_id", "task_id"], "left").withColumn("position", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(order)).cast("int")).drop("_last")
 
 
-def allocate_display_ids(new: DataFrame, sequences: DataFrame, rows_a_bucket: int = 100_000) -> DataFrame:
+def allocate_display_ids(new: DataFrame, sequences: DataFrame) -> DataFrame:
     """new (project_id, kind, id, prefix) with display_id: numbers without gaps that go on from the stored sequence.
 
-    Rows are numbered by id. A project and kind may hold most of the rows, so they are dealt to hash-free buckets of
-    consecutive ids first: ids are ranked within buckets, and the buckets' counts give each bucket its start.
+    Rows are numbered by id. A project and kind may hold most of the rows, so the rows are dealt to sorted ranges of
+    (project, kind, id), one a partition: ids are ranked within a range, and the ranges' counts, a row for each range and
+    key, give each its start.
     """
     from worklog.functions.expr import format_display_id
 
-    cuts = _id_cuts(new, rows_a_bucket)
-    bucket = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col("id") >= c, 1).otherwise(0)) if cuts else F.lit(0)
-    rows = new.withColumn("_bucket", bucket)
     keys = ["project_id", "kind"]
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("id"))
-    numbered = rows.join(starts, [*keys, "_bucket"]).withColumn("_rank", rank).join(sequences.select(*keys, "next_value"), keys, "left")
+    rows = stored(new.repartitionByRange(*keys, "id").withColumn("_range", F.spark_partition_id()), "ranged-ids")
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("id"))
+    numbered = rows.join(starts, [*keys, "_range"]).withColumn("_rank", rank).join(sequences.select(*keys, "next_value"), keys, "left")
     number = F.col("_start") + F.col("_rank") + F.coalesce("next_value", F.lit(1)) - 1
     return numbered.withColumn("display_id", format_display_id(F.col("prefix"), number)).select(*new.columns, "display_id")
 
 
-def _id_cuts(df: DataFrame, rows_a_bucket: int) -> list[str]:
-    """Ids that part the rows into buckets of about equal size: every so many of the hash-chosen thousandth."""
-    n = df.count()
-    buckets = min(256, -(-n // rows_a_bucket))
-    if buckets < 2:
-        return []
-    share = min(1.0, 200 * buckets / n)
-    chosen = [r.id for r in df.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id").orderBy("id").collect()]
-    return sorted({chosen[len(chosen) * k // buckets] for k in range(1, buckets)}) if chosen else []
-
-
 def reorder(items: DataFrame, order: DataFrame) -> DataFrame:
     """Items with the positions that order (project_id, task_id, id, new_position) gives them; others keep theirs."""
     keys = ["project_id", "task_id", "id"]

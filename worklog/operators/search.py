@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Latin letters with accents and the letters they are searched as.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncaaaaaaeeeeiiiiooooouuuuync"
+from worklog.sources.shared import stored
+
+
+def _plain(char: str) -> str | None:
+    """The letter that a letter with accents is made of, by Unicode's canonical decomposition."""
+    base, *marks = unicodedata.normalize("NFD", char)
+    return base if marks and all(unicodedata.category(m).startswith("M") for m in marks) else None
+
+
+#: Letters with accents from Latin to Greek Extended, and the letters they are searched as.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x2000)) if _plain(c))
+PLAIN = "".join(_plain(c) for c in ACCENTED)
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 COLUMNS = ["project_id", "kind", "doc_id", "task_id", "body"]
 
@@ -34,8 +44,9 @@ def union_hits(*dfs: DataFrame) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, in lower case, Latin accents removed."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.lower(F.translate(t, ACCENTED, PLAIN)))
+    """Runs of letters and digits, in lower case, without accents, whether these are part of a letter or marks behind it."""
+    bare = lambda t: F.lower(F.translate(F.regexp_replace(t, r"\p{M}+", ""), ACCENTED, PLAIN))
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0)), bare), lambda t: t != "")
 
 
 def build_index(corpus: DataFrame) -> DataFrame:
@@ -105,9 +116,9 @@ def match_leaves(index: DataFrame, leaves: DataFrame) -> DataFrame:
     return meet.withColumn("hits", F.size(starts)).filter("hits > 0").select(*keys, "hits")
 
 
-def match_docs(index: DataFrame, leaves: DataFrame) -> DataFrame:
-    """query_id, group_no, project_id, kind, doc_id, task_id, doc_len: the satisfied groups of each record."""
-    hits = match_leaves(index, leaves)
+def match_docs(hits: DataFrame, leaves: DataFrame) -> DataFrame:
+    """query_id, group_no, project_id, kind, doc_id, task_id, doc_len: the satisfied groups of each record, from the hits of
+    match_leaves."""
     groups = leaves.filter("error IS NULL")
     needed = groups.groupBy("query_id", "group_no").agg(F.count_if(~F.col("negated")).alias("_needed"))
     marked = hits.join(groups.select("query_id", "leaf", "group_no", "negated"), ["query_id", "leaf"])
@@ -121,13 +132,14 @@ def rank(index: DataFrame, leaves: DataFrame, stats: DataFrame) -> DataFrame:
     A phrase's rarity comes from the number of the kind's records that hold it; a phrase that is asked for twice counts
     twice; only satisfied groups count.
     """
-    hits = match_leaves(index, leaves)
+    leaves = stored(leaves, "query-leaves")
+    hits = stored(match_leaves(index, leaves), "search-hits")
     rarity = hits.groupBy("query_id", "leaf", "kind").agg(F.count(F.lit(1)).alias("_df")).join(stats, "kind")
     ratio = (F.col("n_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)
     rarity = rarity.select("query_id", "leaf", "kind", "avg_len", F.when(ratio > 1, F.log(ratio)).otherwise(FLOOR).alias("_idf"))
     positive = leaves.filter("error IS NULL AND NOT negated").select("query_id", "leaf", "group_no")
     keys = ["query_id", "project_id", "kind", "doc_id", "task_id"]
-    satisfied = match_docs(index, leaves).select(*keys, "group_no")
+    satisfied = match_docs(hits, leaves).select(*keys, "group_no")
     scored = hits.join(positive, ["query_id", "leaf"]).join(satisfied, [*keys, "group_no"]).join(rarity, ["query_id", "leaf", "kind"])
     f, length = F.col("hits"), F.col("doc_len") / F.col("avg_len")
     part = F.col("_idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * length))

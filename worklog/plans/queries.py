@@ -12,7 +12,7 @@ from worklog.functions import expr
 from worklog.operators import bundles, deps, graph, latest, listing, quality, resolve, retention, scopes, search, stats, transitions
 from worklog.sources import sinks, tables
 from worklog.sources.demo import Demo, with_views
-from worklog.sources.shared import shared_folder
+from worklog.sources.shared import shared_folder, stored
 from worklog.streaming import streams
 
 NOW = datetime(2001, 9, 1)
@@ -422,7 +422,7 @@ def _(d: Demo) -> DataFrame:
 def _(d: Demo) -> DataFrame:
     new = d.tasks.select("project_id", F.col("priority").alias("kind"), "id", F.lit("TSK").alias("prefix"))
     kinds = new.select("project_id", "kind").distinct().filter("project_id = 'P1'").withColumn("next_value", F.lit(500))
-    return latest.allocate_display_ids(new, kinds, rows_a_bucket=2_000).select("id", "display_id")
+    return latest.allocate_display_ids(new, kinds).select("id", "display_id")
 
 
 @query("e7_reorder", "SELECT id, CASE WHEN position % 2 = 0 THEN 100 - position ELSE position END AS position FROM wl_progress_items")
@@ -449,13 +449,12 @@ def _(d: Demo) -> DataFrame:
 # Dependencies and graph
 
 
-@query("f1_would_cycle", "SELECT project_id, prerequisite_task_id AS task_id, task_id AS prerequisite_task_id, 'cycle' AS verdict FROM wl_task_dependencies WHERE CAST(substr(task_id, 2) AS BIGINT) % 5 = 0 UNION ALL SELECT project_id, task_id, prerequisite_task_id, 'ok' FROM wl_task_dependencies WHERE CAST(substr(task_id, 2) AS BIGINT) % 5 = 1 UNION ALL SELECT project_id, task_id, task_id, 'self_dependency' FROM wl_task_dependencies WHERE CAST(substr(task_id, 2) AS BIGINT) % 5 = 2")
+@query("f1_would_cycle", "SELECT project_id, prerequisite_task_id AS task_id, task_id AS prerequisite_task_id, 'cycle' AS verdict FROM wl_task_dependencies UNION ALL SELECT project_id, task_id, prerequisite_task_id, 'ok' FROM wl_task_dependencies UNION ALL SELECT project_id, task_id, task_id, 'self_dependency' FROM wl_task_dependencies")
 def _(d: Demo) -> DataFrame:
-    e = d.task_dependencies.withColumn("_n", F.expr("CAST(substr(task_id, 2) AS BIGINT) % 5"))
-    back = e.filter("_n = 0").select("project_id", F.col("prerequisite_task_id").alias("task_id"), F.col("task_id").alias("prerequisite_task_id"))
-    fine = e.filter("_n = 1").select("project_id", "task_id", "prerequisite_task_id")
-    own = e.filter("_n = 2").select("project_id", "task_id", F.col("task_id").alias("prerequisite_task_id"))
-    return deps.would_cycle(d.task_dependencies, back.unionByName(fine).unionByName(own))
+    e = d.task_dependencies
+    back = e.select("project_id", F.col("prerequisite_task_id").alias("task_id"), F.col("task_id").alias("prerequisite_task_id"))
+    own = e.select("project_id", "task_id", F.col("task_id").alias("prerequisite_task_id"))
+    return deps.would_cycle(e, back.unionByName(e.select(*back.columns)).unionByName(own))
 
 
 @query("f2_incomplete", "SELECT d.project_id, d.task_id, d.prerequisite_task_id, q.status FROM wl_task_dependencies d JOIN wl_tasks q ON q.id = d.prerequisite_task_id AND q.project_id = d.project_id WHERE d.kind = 'strong' AND q.status NOT IN ('completed', 'cancelled')")
@@ -522,10 +521,10 @@ def _(d: Demo) -> DataFrame:
     return graph.resolve_imports(imports, files, old).select("source_id", "target_id")
 
 
-@query("f11_changed_edges", "SELECT DISTINCT task_id AS source_id, replace(content, ' ', '-') AS target_id FROM wl_progress_items WHERE type = 'risk' AND project_id = 'P0'")
+@query("f11_changed_edges", "SELECT DISTINCT task_id AS source_id, replace(content, ' ', '-') AS target_id FROM wl_progress_items")
 def _(d: Demo) -> DataFrame:
     files = F.concat(F.lit("part-"), F.substring_index("content", " ", -1))
-    cp = d.progress_items.filter("type = 'risk' AND project_id = 'P0'").groupBy("project_id", "task_id").agg(F.collect_set(files).alias("changed_files"))
+    cp = d.progress_items.groupBy("project_id", "task_id").agg(F.collect_set(files).alias("changed_files"))
     return graph.changed_edges(cp, d.graph_nodes, d.graph_edges)[1].select("source_id", "target_id")
 
 
@@ -608,9 +607,9 @@ def _(d: Demo) -> DataFrame:
     return rows.join(touched, ["project_id", "task_id"], "left").select("project_id", "task_id", "status", F.coalesce("owner", "_t").alias("owner"))
 
 
-@query("h9_log_drift", f"SELECT coalesce(r.task_id, t.id) AS task_id, coalesce(r.project_id, t.project_id) AS project_id, r.status AS log_status, t.status AS stored_status FROM ({REPLAY}) r FULL JOIN (SELECT * FROM wl_tasks WHERE number <= 600) t ON t.id = r.task_id AND t.project_id = r.project_id WHERE r.status IS DISTINCT FROM t.status")
+@query("h9_log_drift", f"SELECT coalesce(r.task_id, t.id) AS task_id, coalesce(r.project_id, t.project_id) AS project_id, r.status AS log_status, t.status AS stored_status FROM ({REPLAY}) r FULL JOIN wl_tasks t ON t.id = r.task_id AND t.project_id = r.project_id WHERE r.status IS DISTINCT FROM t.status")
 def _(d: Demo) -> DataFrame:
-    return transitions.log_drift(d.log, d.tasks.filter("number <= 600"))
+    return transitions.log_drift(d.log, d.tasks)
 
 
 @query("h10_upsert", "SELECT id, CASE WHEN length(id) = 3 THEN 'moved' ELSE branch END AS branch, bound_at, task_id FROM wl_worktrees UNION ALL SELECT concat('N', id), 'moved', bound_at, task_id FROM wl_worktrees WHERE length(id) = 2")
@@ -665,9 +664,9 @@ def _(d: Demo) -> DataFrame:
     return quality.check_rows(rows, rules).select("id", "rule")
 
 
-@query("k2_foreign_keys", "SELECT 'labels' AS table_name, 'doc_id' AS column_name, CAST(doc_id AS STRING) AS key, count(*) AS rows FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) GROUP BY 3 UNION ALL SELECT 'tasks', 'owner_agent_id', owner_agent_id, count(*) FROM wl_tasks WHERE owner_agent_id NOT IN (SELECT id FROM wl_agents) GROUP BY 3 UNION ALL SELECT 'tasks', 'team_id', team_id, count(*) FROM wl_tasks WHERE team_id NOT IN (SELECT id FROM wl_teams) GROUP BY 3")
+@query("k2_foreign_keys", "SELECT 'labels' AS table_name, 'doc_id' AS column_name, CAST(doc_id AS STRING) AS key, count(*) AS rows FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY 3 UNION ALL SELECT 'tasks', 'owner_agent_id', owner_agent_id, count(*) FROM wl_tasks WHERE owner_agent_id NOT IN (SELECT id FROM wl_agents) GROUP BY 3 UNION ALL SELECT 'tasks', 'team_id', team_id, count(*) FROM wl_tasks WHERE team_id NOT IN (SELECT id FROM wl_teams) GROUP BY 3")
 def _(d: Demo) -> DataFrame:
-    named = {"labels": d["labels"], "documents": d["documents"].filter("doc_id % 3 > 0"), "tasks": d.tasks, "agents": d.agents, "teams": d.teams}
+    named = {"labels": d["labels"], "documents": d["documents"], "tasks": d.tasks, "agents": d.agents, "teams": d.teams}
     return quality.check_foreign_keys(named, [("labels", "doc_id", "documents", "doc_id"), ("tasks", "owner_agent_id", "agents", "id"), ("tasks", "team_id", "teams", "id")])
 
 
@@ -748,17 +747,17 @@ def _(d: Demo) -> DataFrame:
 
 # Search
 
-CORPUS = "SELECT 'P0' AS project_id, kind, CAST(id AS STRING) AS doc_id, concat('K', lpad(CAST(id % 400 AS STRING), 10, '0')) AS task_id, body FROM (SELECT 'task' AS kind, doc_id AS id, text AS body FROM {documents} UNION ALL SELECT 'decision', item_id, text FROM {benchmark} UNION ALL SELECT 'checkpoint', conv_id * 100 + turn, text FROM {conversations}) x"
+CORPUS = "SELECT 'P0' AS project_id, kind, CAST(id AS STRING) AS doc_id, concat('K', lpad(CAST(id % 400 AS STRING), 10, '0')) AS task_id, body FROM (SELECT 'task' AS kind, doc_id AS id, text AS body FROM {documents} UNION ALL SELECT 'decision', item_id, text FROM {benchmark} UNION ALL SELECT 'checkpoint', conv_id * 100 + turn, text FROM {conversations} UNION ALL SELECT 'progress', page_id, html FROM {pages}) x"
 ASK = [(1, "the"), (2, "of the"), (3, '"and attion"'), (4, "and NOT the"), (5, "thand* OR que"), (6, "la-de"), (7, "OR"), (8, '"open'), (9, "and and"), (10, "nothingatallmatches")]
 
 
 def _search(d: Demo):
-    corpus = d.spark.sql(CORPUS, documents=d["documents"], benchmark=d["benchmark"], conversations=d["conversations"])
-    return corpus, search.build_index(corpus), search.index_stats(corpus), d.spark.createDataFrame(ASK, "query_id long, text string")
+    corpus = d.spark.sql(CORPUS, documents=d["documents"], benchmark=d["benchmark"], conversations=d["conversations"], pages=d["pages"])
+    return corpus, stored(search.build_index(corpus), "search-index"), search.index_stats(corpus), d.spark.createDataFrame(ASK, "query_id long, text string")
 
 
-ACCENTS = f"lower(translate(unnest(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+')), '{search.ACCENTED}', '{search.PLAIN}'))"
-TOKENS = f"c AS ({CORPUS.replace('{', '').replace('}', '')}), k AS (SELECT kind, doc_id, {ACCENTS} AS term, generate_subscripts(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+'), 1) - 1 AS pos FROM c)"
+ACCENTS = "lower(strip_accents(unnest(regexp_extract_all(body, '[\\p{L}\\p{N}\\p{M}]+'))))"
+TOKENS = f"c AS ({CORPUS.replace('{', '').replace('}', '')}), k AS (SELECT kind, doc_id, {ACCENTS} AS term, generate_subscripts(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), 1) - 1 AS pos FROM c)"
 
 
 @query(
@@ -804,13 +803,13 @@ FROM m JOIN ok ON ok.query_id = m.query_id AND ok.g = m.g AND ok.kind = m.kind A
 @query("g5_rank", RANKED)
 def _(d: Demo) -> DataFrame:
     _, index, st, asked = _search(d)
-    return search.rank(index, search.parse_queries(asked), st).select("query_id", "kind", "doc_id", F.round("score", 6).alias("score"))
+    return search.rank(index, search.parse_queries(asked), st).select("query_id", "kind", "doc_id", (-F.round(-F.col("score"), 6)).alias("score"))
 
 
 @query("g7_search", f"WITH r AS ({RANKED}), k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score, kind, doc_id) AS n FROM r), k2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, kind, doc_id) AS rank FROM k1 WHERE n <= 20) SELECT query_id, rank, score FROM k2 WHERE rank <= 20")
 def _(d: Demo) -> DataFrame:
     _, index, st, asked = _search(d)
-    return search.search(index, st, asked, d.tasks).select("query_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
+    return search.search(index, st, asked, d.tasks).select("query_id", F.col("rank").cast("long"), (-F.round(-F.col("score"), 6)).alias("score"))
 
 
 @query("g6_snippets")

@@ -85,7 +85,7 @@ FROM {wl_tasks} WHERE number % 9 = 0""",
     "wl_graph_nodes": """
 SELECT concat('part-', CAST(p_partkey AS STRING)) AS id, 'P0' AS project_id, 'file' AS node_type, concat(p_brand, '/', substr(p_type, 1, 3), '/', CAST(p_partkey AS STRING)) AS name FROM {part}
 UNION ALL SELECT concat('supplier-', CAST(s_suppkey AS STRING)) AS id, 'P0' AS project_id, 'agent' AS node_type, concat('suppliers/', CAST(s_nationkey AS STRING), '/', s_name) AS name FROM {supplier}""",
-    "wl_graph_edges": "SELECT DISTINCT concat('part-', CAST(l_partkey AS STRING)) AS source_id, concat('supplier-', CAST(l_suppkey AS STRING)) AS target_id, 'P0' AS project_id, CASE l_returnflag WHEN 'R' THEN 'depends_on' ELSE 'changed' END AS relation_type FROM {lineitem} WHERE l_linenumber = 1",
+    "wl_graph_edges": "SELECT DISTINCT concat('part-', CAST(l_partkey AS STRING)) AS source_id, concat('supplier-', CAST(l_suppkey AS STRING)) AS target_id, 'P0' AS project_id, CASE l_returnflag WHEN 'R' THEN 'depends_on' ELSE 'changed' END AS relation_type FROM {lineitem}",
 }
 
 
