@@ -46,9 +46,10 @@ def passages(rnd, n):
     return out
 
 
-@pytest.mark.parametrize("length", [12, 50])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_passages_match_brute_force(spark, length, seed):
+@pytest.mark.parametrize(("length", "seed", "segment"), [(12, 1, 1 << 20), (12, 2, 7), (50, 1, 30), (50, 2, 1 << 20)])
+def test_passages_match_brute_force(spark, monkeypatch, length, seed, segment):
+    whole = substring_dedup.Windows.runs
+    monkeypatch.setattr(substring_dedup.Windows, "runs", lambda self, words, _=None: whole(self, words, segment))
     data = passages(random.Random(seed), 120)
     got = substring_dedup.remove_repeats(cases.frame(spark, data), length=length).collect()
     assert sorted(((r.doc_id, r.n_words, sum(s.length for s in r.removed), r.kept_text) for r in got), key=str) == brute_passages(data, length)

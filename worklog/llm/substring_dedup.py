@@ -26,6 +26,8 @@ from . import common
 from .rolling import Rolling, mixed, word_hashes
 
 LENGTH, GRAM = 50, 8
+#: Windows of one text that are taken in hand at once; a run of windows ends there.
+SEGMENT = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 #: Rows without an identifier count as larger than any other.
 NO_ID = (1 << 63) - 1
@@ -36,13 +38,19 @@ class Windows:
         self.length, self.gram = length, min(GRAM, length)
         self.one, self.two = (Rolling(b) for b in BASES)
 
-    def runs(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+    def runs(self, words: list[bytes], segment: int | None = None) -> tuple[np.ndarray, ...]:
         """anchor, covered words, first window and number of windows of each run."""
-        if len(words) < self.length:
-            return (np.empty(0, np.uint64),) * 4
+        segment, none = segment or SEGMENT, np.empty(0, np.uint64)
+        parts = [(none, none, none.view(np.int64), none.view(np.int64))]
+        for at in range(0, len(words) - self.length + 1, segment):
+            anchor, covered, start, count = self._runs(words[at : at + segment + self.length - 1])
+            parts.append((anchor, covered, start + at, count))
+        return tuple(np.concatenate(part) for part in zip(*parts, strict=True))
+
+    def _runs(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         hashes = word_hashes(words)
         grams = self.one.windows(self.one.sums(hashes[:, 0]), self.gram)
-        # 36 bits of the hash above 28 of the position: the least hash, of equal ones the leftmost.
+        # 36 bits of the hash above 28 of the position, which a segment's stay below: the least hash, of equal ones the leftmost.
         least = grams >> np.uint64(28) << np.uint64(28) | np.arange(len(grams), dtype=np.uint64)
         w, span = self.length - self.gram + 1, 1
         while 2 * span <= w:
@@ -75,14 +83,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _all_runs(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Windows(length)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                found = [own.runs(_words(t)) for t in batch.column(2).to_pylist()]
-                sizes = [len(f[0]) for f in found]
-                ids = [np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1)]
-                parts = [np.concatenate([f[c] for f in found]) if found else np.empty(0) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, ids), *[pa.array(p.astype(np.uint64).view(np.int64)) for p in parts[:2]], *[pa.array(p.astype(np.int32)) for p in parts[2:]]], ["_doc", "_content", "anchor", "covered", "first", "windows"])
+        for batch in common.slices(batches, 2):
+            found = [own.runs(_words(t)) for t in batch.column(2).to_pylist()]
+            sizes = [len(f[0]) for f in found]
+            ids = [np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1)]
+            parts = [np.concatenate([f[c] for f in found]) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), *[pa.array(p.astype(np.uint64).view(np.int64)) for p in parts[:2]], *[pa.array(p.astype(np.int32)) for p in parts[2:]]], ["_doc", "_content", "anchor", "covered", "first", "windows"])
 
     return rows.select("_doc", "_content", "_text").mapInArrow(run, "_doc long, _content long, anchor long, covered long, first int, windows int")
 
@@ -90,7 +96,7 @@ def _all_runs(rows: DataFrame, length: int) -> DataFrame:
 def _single_windows(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Windows(length)
-        for batch in batches:
+        for batch in common.slices(batches, 2):
             for doc, content, text, spans in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
                 at = np.concatenate([np.arange(s["first"], s["first"] + s["windows"]) for s in spans])
                 hashes = own.hashes(_words(text))[at]
@@ -127,7 +133,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of anything but [\\x20\\x09-\\x0D]; null and empty texts have none. Of each window of so many words whose
     sequence also starts under a smaller identifier all words go; the kept ones are joined by one space. Windows within
-    one identifier do not remove each other, also if several rows share it. Rows without an identifier count as larger
+    one identifier do not remove each other, also if several rows share it. Texts may have up to 2^31 words, as many as
+    Spark's strings can hold. Rows without an identifier count as larger
     than all others. An empty table gives an empty result; other columns are not read.
     """
     rows = _keyed(docs, id_col, text_col)
@@ -135,7 +142,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(found, ["_doc", "_content"], "left").select("_id", "_text", F.col("_spans.first").alias("_first"), F.col("_spans.windows").alias("_windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             total, removed, kept = [], [], []
             for text, first, windows in zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)], strict=True):
                 words = _words(text)
