@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from worklog.operators import deps, graph, latest, resolve, scopes, search, stats, transitions
+from worklog.operators import bundles, deps, graph, latest, resolve, scopes, search, stats, transitions
+from worklog.plans import queries
 from worklog.sources import sinks, tables
+from worklog.sources.demo import Demo
 
 
 
@@ -137,6 +139,48 @@ def test_index_refresh_and_snippets(spark):
     assert texts["0"] == "new [needle]" and texts["1"] == "...f g h i j k l m [needle] o p q"
 
 
+@pytest.mark.parametrize(
+    ("query", "body", "want"),
+    [
+        ('"big red" dog', "A Big red, big RED dog.", "A [Big red], [big RED] [dog]."),
+        ("re*", "Red reeds, bread; résumé", "[Red] [reeds], bread; [résumé]"),
+        ('"a b a"', "x a b a b a y", "x [a b a b a] y"),
+        ('"red d"*', "red x red dogs", "red x [red dogs]"),
+        ("one two", "one " + "x " * 30 + "one y two z", "...x x x x x x x x [one] y [two] z"),
+        ("the", "the the", "[the] [the]"),
+    ],
+)
+def test_snippets_mark_words_phrases_and_prefixes(spark, query, body, want):
+    own = corpus(spark, [("task", body)])
+    asked = search.parse_queries(spark.createDataFrame([(1, query)], "query_id long, text string"))
+    hits = search.rank(search.build_index(own), asked, search.index_stats(own))
+    assert [r.snippet for r in search.snippet(hits, own, asked).collect()] == [want]
+
+
+def test_snippet_takes_the_best_column(spark):
+    rows = [("p", "task", "0", "t", "nothing red a red dog", ["nothing red", "a red dog", None, ""]), ("p", "task", "1", "t", "", [])]
+    own = spark.createDataFrame(rows, "project_id string, kind string, doc_id string, task_id string, body string, parts array<string>")
+    asked = search.parse_queries(spark.createDataFrame([(1, "red dog")], "query_id long, text string"))
+    hits = spark.createDataFrame([(1, "p", "task", d) for d in "01"], "query_id long, project_id string, kind string, doc_id string")
+    assert {r.doc_id: r.snippet for r in search.snippet(hits, own, asked).collect()} == {"0": "a [red] [dog]", "1": None}
+
+
+def test_team_context_keeps_rows_short_and_counts_all(spark):
+    demo = Demo(spark, "/root/testdata/sf0.001")
+    own = queries._tables(demo)
+    whole = {name: df.count() for name, df in bundles.team_lists(own).items()}
+    rows = bundles.team_context(own, limit=3).collect()
+    assert len(rows) == demo.teams.count()
+    for name in ("members", "tasks", "progress", "events"):
+        assert sum(r[f"n_{name}"] or 0 for r in rows) == whole[name]
+        assert max(len(r[name] or []) for r in rows) == 3
+    agent = next(r.members[0].agent_id for r in rows if r.members)
+    (mine,) = bundles.team_context(own, "member", agent).collect()
+    assert [m.agent_id for m in mine.members] == [agent] and {t.owner_agent_id for t in mine.tasks or []} <= {agent}
+    with pytest.raises(ValueError, match="unknown view"):
+        bundles.team_lists(own, "other")
+
+
 def facts(spark, status, owner=False, pending=0, busy=False, held=False):
     return spark.createDataFrame([("p", "t", status, owner, pending, busy, held)], "project_id string, id string, status string, has_owner boolean, open_progress long, has_active_session boolean, has_incomplete_prerequisite boolean")
 
@@ -271,8 +315,6 @@ def test_archive_sink_appends_by_project(spark, tmp_path):
 
 def test_plans_stay_in_the_engine(spark):
     """No Python, no cartesian product and no window without a key in the work-log queries."""
-    from worklog.plans import queries
-
     for name in ("d3_agent_stats", "d5_team_status", "e2_recent_events", "h1_transitions", "c8_scope_conflicts", "g5_rank", "l3_team_context", "k8_kept"):
         plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|ArrowEval|Cartesian|BroadcastNestedLoop", plan), name

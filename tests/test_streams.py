@@ -1,6 +1,5 @@
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 
 from worklog.schema import SCHEMAS
@@ -69,5 +68,29 @@ def test_guard_is_the_rule_in_order(spark, log):
         own = [r for r in sorted(got, key=lambda r: r.id) if r.task_id == task]
         assert [r.after for r in own] == ["ready", "in_progress", "in_progress", "review", "completed", "completed", "ready"]
         assert [r.verdict == "allowed" for r in own] == [True, True, False, True, True, False, True]
-    frame = pd.DataFrame([("p", "t", r[0], r[2], r[6]) for r in rows[:4]], columns=["project_id", "task_id", "id", "type", "occurred_at"])
-    assert streams.judge_in_order(frame, None)[1] == "review"
+
+
+def test_guard_waits_for_the_watermark(spark, log):
+    """Events that come a batch late, but within the watermark's delay, are judged in their place."""
+    kinds = ["task.created", "task.claimed", "task.reviewed", "task.completed", "task.reopened", "task.claimed"]
+    rows = [event(n, k, n) for n, k in enumerate(kinds)]
+    end = [event(90, "task.created", 60, task="end")]
+    apart = streams.guard_transitions(streams.read_events(spark, log([rows[0], rows[3]], [rows[1], rows[5]], [rows[4], rows[2]], end), 1), "30 minutes")
+    got = sorted(run(apart, "apart", "append", spark), key=lambda r: r.id)
+    assert [(r.type, r.after, r.verdict) for r in got] == [(k, a, "allowed") for k, a in zip(kinds, ["ready", "in_progress", "review", "completed", "ready", "in_progress"])]
+
+
+def test_guard_knows_owners_reasons_and_prerequisites(spark, log):
+    reason = '{"reason": "why"}'
+    rows = [event(0, "task.claimed"), event(1, "task.claimed", 1), event(2, "task.blocked", 2), event(3, "task.blocked", 3, payload=reason), event(4, "note.added", 4), event(5, "task.claimed", 5, task="u"), event(6, "task.unblocked", 6)]
+    facts = spark.createDataFrame([("p", "u", True, False, 0)], "project_id string, id string, has_incomplete_prerequisite boolean, has_active_session boolean, open_progress long")
+    got = run(streams.guard_transitions(streams.read_events(spark, log(rows)), facts=facts), "facts", "append", spark)
+    assert {r.id: r.verdict for r in got} == {"e000": "allowed", "e001": "TASK_ALREADY_CLAIMED", "e002": "VALIDATION_FAILED", "e003": "allowed", "e005": "DEPENDENCY_INCOMPLETE", "e006": "allowed"}
+
+
+def test_session_guard(spark, log):
+    kinds = ["session.started", "session.paused", "session.paused", "session.resumed", "session.ended", "session.resumed", "session.started"]
+    path = log([event(n, f"{k}", n) for n, k in enumerate(kinds)][::-1])
+    got = sorted(run(streams.guard_sessions(streams.read_events(spark, path)), "sessions", "append", spark), key=lambda r: r.id)
+    assert [r.verdict for r in got] == ["allowed", "allowed", "denied", "allowed", "allowed", "denied", "denied"]
+    assert [r.after for r in got] == ["active", "paused", "paused", "active", "ended", "ended", "ended"]

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklog.functions.expr import clip_json_strings
-
 from worklog.operators.latest import current_session, latest_checkpoints, recent_events
 from worklog.operators.resolve import resolve_current_task
-from worklog.operators.scopes import team_scope_conflicts
+from worklog.operators.scopes import equal_or_all
+
+#: Entries that a list in a bundle has at most; its n_ column counts all. The tables behind the lists are whole.
+LIST_ROWS = 1000
+SLICE = ["project_id", "team_id", "key"]
+CONTEXT = ["project_id", "ctx_id"]
 
 
+def _collected(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[str | Column], limit: int) -> DataFrame:
+    """The keys, the first rows of each in the order of the columns as a list, and n_ with the number of all."""
+    own = df.select(*keys, F.struct(*columns).alias("_row"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_row"))
+    first = own.withColumn("_n", place).filter(F.col("_n") <= limit).groupBy(*keys).agg(F.sort_array(F.collect_list("_row")).alias(name))
+    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}")).join(first, list(keys))
 
-def _per_task(df: DataFrame, name: str, *columns: str | Column) -> DataFrame:
-    return df.groupBy("project_id", "task_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
+def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10, since: Column | None = None, compact: bool = False, limit: int = LIST_ROWS) -> DataFrame:
+    """Per context row: current session and task, latest checkpoint, visible progress and the newest events.
 
-def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10, since: Column | None = None, compact: bool = False) -> DataFrame:
-    """Per context row: current session and task, latest checkpoint, visible progress and the newest events."""
+    Lists have limit entries at most, in their order; n_progress and n_events count all.
+    """
     rows = resolve_current_task(ctx, tables["tasks"], tables["sessions"], tables["worktrees"]).join(current_session(tables["sessions"]), ["project_id", "agent_id"], "left")
     task = tables["tasks"].select("project_id", F.col("id").alias("task_id"), F.struct("id", "display_id", "title", "status", "priority").alias("task"))
     saved = latest_checkpoints(tables["checkpoints"]).select("project_id", "task_id", F.struct("id", "created_at", "done", "remaining").alias("checkpoint"))
@@ -26,67 +38,109 @@ def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10
     log = tables["events"] if since is None else tables["events"].filter(F.col("occurred_at") >= since)
     newest = recent_events(log, "task_id", events)
     payload = [clip_json_strings(F.col("payload_json")).alias("payload_json")] if compact else []
-    for side in (task, saved, _per_task(visible, "progress", "position", "id", "type", "content"), _per_task(newest, "events", "occurred_at", "id", "type", *payload)):
-        rows = rows.join(side, ["project_id", "task_id"], "left")
+    keys = ["project_id", "task_id"]
+    for side in (task, saved, _collected(visible, keys, "progress", ["position", "id", "type", "content"], limit), _collected(newest, keys, "events", ["occurred_at", "id", "type", *payload], limit)):
+        rows = rows.join(side, keys, "left")
     return rows
 
 
-def context_bundle(ctx: DataFrame, tables: dict[str, DataFrame], compact: bool = True, now: Column | None = None, look_back_days: int = 7, events: int = 10) -> DataFrame:
-    """The resume bundle with the task's decisions and the ids of its neighbours in the graph.
+def context_graph(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) round the task_id and the file of each context row (project_id, ctx_id, task_id, perhaps file).
 
-    The compact form has open progress alone, clips long strings and looks back so many days.
+    The edges that touch the task's node or that of the file node with this name, each once a context; the known nodes
+    at their other ends, and the file's own node.
+    """
+    starts = rows.filter("task_id IS NOT NULL").select(*CONTEXT, F.col("task_id").alias("_start")).distinct()
+    own = None
+    if "file" in rows.columns:
+        named = nodes.filter("node_type = 'file'").select("project_id", F.col("name").alias("file"), F.col("id").alias("_start"))
+        own = rows.join(named, ["project_id", "file"]).select(*CONTEXT, "_start").distinct()
+        starts = starts.unionByName(own).distinct()
+    ends = ["source_id", "target_id"]
+    touching = None
+    for here, there in (ends, ends[::-1]):
+        met = edges.withColumn("_start", F.col(here)).join(starts, ["project_id", "_start"]).select(*CONTEXT, *ends, "relation_type", F.col(there).alias("id"))
+        touching = met if touching is None else touching.unionByName(met)
+    seen = touching.select(*CONTEXT, "id")
+    if own is not None:
+        seen = seen.unionByName(own.withColumnRenamed("_start", "id"))
+    found = seen.distinct().join(nodes.select("project_id", "id", "node_type", "name"), ["project_id", "id"])
+    return found.select(*CONTEXT, "id", "node_type", "name"), touching.select(*CONTEXT, *ends, "relation_type").distinct()
+
+
+def context_bundle(ctx: DataFrame, tables: dict[str, DataFrame], compact: bool = True, now: Column | None = None, look_back_days: int = 7, events: int = 10, limit: int = LIST_ROWS) -> DataFrame:
+    """The resume bundle with the task's decisions, and the nodes and edges round the task and the context's file.
+
+    The compact form has open progress alone, clips long strings and looks back so many days. ctx needs a ctx_id, and a
+    column file where neighbours of files are asked for.
     """
     since = now - F.make_dt_interval(days=F.lit(look_back_days)) if compact and now is not None else None
-    rows = resume_bundle(ctx, tables, events, since, compact)
-    decided = _per_task(tables["decisions"], "decisions", "display_id", "title")
-    edges = tables["graph_edges"]
-    ends = edges.select("project_id", F.col("source_id").alias("task_id"), F.col("target_id").alias("n")).unionByName(edges.select("project_id", F.col("target_id").alias("task_id"), F.col("source_id").alias("n"))).distinct()
-    near = ends.groupBy("project_id", "task_id").agg(F.sort_array(F.collect_list("n")).alias("neighbours"))
-    return rows.join(decided, ["project_id", "task_id"], "left").join(near, ["project_id", "task_id"], "left")
+    rows = resume_bundle(ctx, tables, events, since, compact, limit)
+    decided = _collected(tables["decisions"], ["project_id", "task_id"], "decisions", ["display_id", "title"], limit)
+    nodes, edges = context_graph(rows, tables["graph_nodes"], tables["graph_edges"])
+    rows = rows.join(decided, ["project_id", "task_id"], "left").join(_collected(nodes, CONTEXT, "nodes", ["id", "node_type", "name"], limit), CONTEXT, "left")
+    return rows.join(_collected(edges, CONTEXT, "edges", ["source_id", "target_id", "relation_type"], limit), CONTEXT, "left")
 
 
-def team_context(tables: dict[str, DataFrame], view: str = "commander", key: str | None = None, events: int = 50) -> DataFrame:
-    """Per team the members, tasks, inner dependencies, scopes, conflicts, open blockers, checkpoints, recent events and
-    the session to rebuild from.
+def team_lists(tables: dict[str, DataFrame], view: str = "commander", key: str | None = None, events: int = 50) -> dict[str, DataFrame]:
+    """The parts of a team's context as whole tables with project_id, team_id and key in front: members, tasks, inner
+    dependencies, scopes, conflicts, open blockers, progress, latest checkpoints, decisions, hand-offs, the newest events
+    and the session to rebuild from.
 
-    The commander's view takes all tasks of the team, the member's those that the agent owns, the task's that task
-    alone; every list is narrowed alike.
+    A slice is a team (commander), the tasks that an agent owns in a team (member) or a task; key is its id. Every list
+    is narrowed alike: a member's slice has that member, a task's slice the task's owner. Without key all slices are
+    given at once. Tasks of unknown teams are in none.
     """
-    tasks = tables["tasks"].filter("team_id IS NOT NULL")
-    if view == "member":
-        tasks = tasks.filter(F.col("owner_agent_id") == key)
-    elif view == "task":
-        tasks = tasks.filter(F.col("id") == key)
-    elif view != "commander":
+    by = {"commander": "team_id", "member": "owner_agent_id", "task": "id"}
+    if view not in by:
         raise ValueError(f"unknown view {view}")
-    slice_ = tasks.select("project_id", "team_id", F.col("id").alias("task_id"))
-    keys = ["project_id", "team_id"]
-
-    def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.join(slice_, ["project_id", "task_id"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-
-    rows = tables["teams"].select("project_id", F.col("id").alias("team_id"), "name")
-    people = tables["team_members"].groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("agent_id", "role"))).alias("members"))
-    work = tasks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "status"))).alias("tasks"))
-    far = slice_.select("project_id", "team_id", F.col("task_id").alias("prerequisite_task_id"))
-    inner = tables["task_dependencies"].join(slice_, ["project_id", "task_id"]).join(far, ["project_id", "team_id", "prerequisite_task_id"], "left_semi")
-    inner = inner.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("task_id", "prerequisite_task_id", "kind"))).alias("dependencies"))
-    clash = team_scope_conflicts(tables["scopes"], tasks).select("project_id", F.col("task_a").alias("task_id"), "task_b", "pattern_a", "pattern_b")
-    newest = recent_events(tables["events"].join(slice_, ["project_id", "task_id"]), "team_id", events)
-    newest = newest.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("occurred_at", "id", "type"))).alias("events"))
-    parts = [
-        people, work, inner, newest,
-        listed(tables["scopes"], "scopes", "task_id", "pattern"),
-        listed(clash, "conflicts", "task_id", "task_b", "pattern_a", "pattern_b"),
-        listed(tables["progress_items"].filter("type = 'blocker' AND status = 'open'"), "blockers", "task_id", "id", "content"),
-        listed(tables["progress_items"].filter("status <> 'removed'"), "progress", "task_id", "position", "id"),
-        listed(latest_checkpoints(tables["checkpoints"]), "checkpoints", "task_id", "id"),
-        listed(tables["decisions"], "decisions", "task_id", "display_id"),
-        listed(tables["handoffs"].filter("state = 'pending'"), "handoffs", "task_id", "id"),
-    ]
-    of_team = tables["checkpoints"].join(slice_, ["project_id", "task_id"]).filter("session_id IS NOT NULL").groupBy(*keys).agg(F.max_by("session_id", F.struct("created_at", "id")).alias("rebuild_session"))
-    for part in [*parts, of_team]:
-        rows = rows.join(part, keys, "left")
-    return rows if view == "commander" else rows.filter("tasks IS NOT NULL")
-
-
+    known = tables["teams"].select("project_id", F.col("id").alias("team_id"))
+    tasks = tables["tasks"].join(known, ["project_id", "team_id"], "left_semi").withColumn("key", F.col(by[view])).filter("key IS NOT NULL")
+    people = tables["team_members"].join(known, ["project_id", "team_id"], "left_semi")
+    if view == "task":
+        people = people.join(tasks.select(*SLICE, F.col("owner_agent_id").alias("agent_id")), ["project_id", "team_id", "agent_id"])
+    else:
+        people = people.withColumn("key", F.col("team_id" if view == "commander" else "agent_id"))
+    if key is not None:
+        tasks, people = tasks.filter(F.col("key") == key), people.filter(F.col("key") == key)
+    slices = tasks.select(*SLICE, F.col("id").alias("task_id"))
+    inside = lambda df: df.join(slices, ["project_id", "task_id"])
+    far = slices.withColumnRenamed("task_id", "prerequisite_task_id")
+    scopes = inside(tables["scopes"])
+    progress = inside(tables["progress_items"])
+    newest = Window.partitionBy(*SLICE).orderBy(F.desc("occurred_at"), F.desc("id"))
+    log = inside(tables["events"]).withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= events)
+    saved = inside(tables["checkpoints"]).filter("session_id IS NOT NULL").groupBy(*SLICE).agg(F.max_by("session_id", F.struct("created_at", "id")).alias("session_id"))
+    return {
+        "members": people.select(*SLICE, "agent_id", "role"),
+        "tasks": tasks.select(*SLICE, "created_at", "id", "status", "owner_agent_id"),
+        "dependencies": inside(tables["task_dependencies"]).join(far, [*SLICE, "prerequisite_task_id"], "left_semi").select(*SLICE, "task_id", "prerequisite_task_id", "kind"),
+        "scopes": scopes.select(*SLICE, "task_id", "pattern"),
+        "conflicts": equal_or_all(scopes, SLICE).select(*SLICE, F.col("task_a").alias("task_id"), F.col("pattern_a").alias("pattern"), F.col("task_b").alias("other_task_id"), F.col("pattern_b").alias("other_pattern")),
+        "blockers": progress.filter("type = 'blocker' AND status = 'open'").select(*SLICE, "created_at", "id", "task_id", "content"),
+        "progress": progress.select(*SLICE, "task_id", "position", "id", "type", "status", "content"),
+        "checkpoints": inside(latest_checkpoints(tables["checkpoints"])).select(*SLICE, "task_id", "id", "created_at"),
+        "decisions": inside(tables["decisions"]).select(*SLICE, "created_at", "id", "task_id", "display_id", "title"),
+        "handoffs": inside(tables["handoffs"]).select(*SLICE, "created_at", "id", "task_id", "state", "from_agent_id", "to_agent_id"),
+        "events": log.select(*SLICE, "occurred_at", "id", "type", "task_id", "actor_agent_id"),
+        "rebuild": saved.select(*SLICE, "session_id"),
+    }
+
+
+def team_context(tables: dict[str, DataFrame], view: str = "commander", key: str | None = None, events: int = 50, limit: int = LIST_ROWS) -> DataFrame:
+    """A row for each slice of team_lists: name of the team, its lists and rebuild_session.
+
+    A list has limit entries at most, the first in the order of its columns, so that no row grows with a team; n_ and its
+    name counts all of them, and team_lists has them whole.
+    """
+    parts = team_lists(tables, view, key, events)
+    named = tables["teams"].select("project_id", F.col("id").alias("team_id"), "name")
+    if view == "commander":
+        rows = named.withColumn("key", F.col("team_id"))
+        rows = rows if key is None else rows.filter(F.col("key") == key)
+    else:
+        rows = parts["members"].select(*SLICE).unionByName(parts["tasks"].select(*SLICE)).distinct().join(named, ["project_id", "team_id"])
+    for name, part in parts.items():
+        side = part.withColumnRenamed("session_id", "rebuild_session") if name == "rebuild" else _collected(part, SLICE, name, [c for c in part.columns if c not in SLICE], limit)
+        rows = rows.join(side, SLICE, "left")
+    return rows

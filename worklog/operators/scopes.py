@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,19 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def team_scope_conflicts(scopes: DataFrame, tasks: DataFrame) -> DataFrame:
     """project_id, task_a, pattern_a, task_b, pattern_b: scopes of different open tasks with equal patterns, or where
     one is ``**``."""
-    own = active_scopes(scopes, tasks).select("project_id", "task_id", "pattern").distinct()
-    a = own.select("project_id", F.col("task_id").alias("task_a"), F.col("pattern").alias("pattern_a"))
-    b = own.select("project_id", F.col("task_id").alias("task_b"), F.col("pattern").alias("pattern_b"))
-    equal = a.withColumn("pattern_b", F.col("pattern_a")).join(b, ["project_id", "pattern_b"]).select("project_id", "task_a", "pattern_a", "task_b", "pattern_b")
-    everything = a.join(b.filter("pattern_b = '**'"), "project_id").select("project_id", "task_a", "pattern_a", "task_b", "pattern_b")
+    return equal_or_all(active_scopes(scopes, tasks), ["project_id"])
+
+
+def equal_or_all(scopes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys, task_a, pattern_a, task_b, pattern_b: scopes (keys, task_id, pattern) of different tasks within a key
+    with equal patterns, or where one is ``**``."""
+    own = scopes.select(*keys, "task_id", "pattern").distinct()
+    a = own.select(*keys, F.col("task_id").alias("task_a"), F.col("pattern").alias("pattern_a"))
+    b = own.select(*keys, F.col("task_id").alias("task_b"), F.col("pattern").alias("pattern_b"))
+    columns = [*keys, "task_a", "pattern_a", "task_b", "pattern_b"]
+    equal = a.withColumn("pattern_b", F.col("pattern_a")).join(b, [*keys, "pattern_b"]).select(*columns)
+    everything = a.join(b.filter("pattern_b = '**'"), list(keys)).select(*columns)
     first = F.struct("task_a", "pattern_a") < F.struct("task_b", "pattern_b")
     turned = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y)).alias(x)
     pairs = equal.unionByName(everything).filter("task_a <> task_b")
-    return pairs.select("project_id", turned("task_a", "task_b"), turned("pattern_a", "pattern_b"), turned("task_b", "task_a"), turned("pattern_b", "pattern_a")).distinct()
+    return pairs.select(*keys, turned("task_a", "task_b"), turned("pattern_a", "pattern_b"), turned("task_b", "task_a"), turned("pattern_b", "pattern_a")).distinct()

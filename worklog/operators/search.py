@@ -20,6 +20,7 @@ def _plain(char: str) -> str | None:
 #: Letters with accents from Latin to Greek Extended, and the letters they are searched as.
 ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x2000)) if _plain(c))
 PLAIN = "".join(_plain(c) for c in ACCENTED)
+WORD = r"[\p{L}\p{N}\p{M}]+"
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 COLUMNS = ["project_id", "kind", "doc_id", "task_id", "body"]
 
@@ -45,8 +46,11 @@ def union_hits(*dfs: DataFrame) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case, without accents, whether these are part of a letter or marks behind it."""
-    bare = lambda t: F.lower(F.translate(F.regexp_replace(t, r"\p{M}+", ""), ACCENTED, PLAIN))
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0)), bare), lambda t: t != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _bare), lambda t: t != "")
+
+
+def _bare(word: Column) -> Column:
+    return F.lower(F.translate(F.regexp_replace(word, r"\p{M}+", ""), ACCENTED, PLAIN))
 
 
 def build_index(corpus: DataFrame) -> DataFrame:
@@ -146,18 +150,51 @@ def rank(index: DataFrame, leaves: DataFrame, stats: DataFrame) -> DataFrame:
     return scored.groupBy(*keys).agg((-F.sum(part)).alias("score"))
 
 
+def _occurs(asked: Column, at: Column) -> Column:
+    """Whether the terms of a leaf stand in _norm from a place on; the last one of a prefix needs only begin so."""
+    terms = asked["terms"]
+    n = F.size(terms)
+    there = F.slice("_norm", at + 1, n)
+    begins = (F.slice(there, 1, n - 1) == F.slice(terms, 1, n - 1)) & F.get(there, n - 1).startswith(F.get(terms, n - 1))
+    return F.coalesce(F.when(asked["is_prefix"], begins).otherwise(there == terms), F.lit(False))
+
+
 def snippet(hits: DataFrame, corpus: DataFrame, leaves: DataFrame, n: int = 12) -> DataFrame:
-    """Add a snippet of at most n words round the first match, matches in brackets and ... at cut ends; for few rows."""
-    terms = leaves.filter("error IS NULL AND NOT negated").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
-    rows = hits.join(corpus.select("project_id", "kind", "doc_id", "body"), ["project_id", "kind", "doc_id"]).join(terms, "query_id")
-    words = F.filter(F.split("body", r"\s+"), lambda w: w != "")
-    held = lambda w: F.arrays_overlap(tokens(w), F.col("_terms"))
-    rows = rows.withColumn("_w", words).withColumn("_first", F.coalesce(F.array_position(F.transform("_w", held), F.lit(True)), F.lit(1)))
-    start = F.greatest(F.lit(1), F.least(F.col("_first") - n // 3, F.size("_w") - n + 1)).cast("int")
-    rows = rows.withColumn("_s", start)
-    cut = F.array_join(F.transform(F.slice("_w", F.col("_s"), n), lambda w: F.when(held(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ")
-    text = F.concat(F.when(F.col("_s") > 1, "...").otherwise(""), cut, F.when(F.col("_s") + n - 1 < F.size("_w"), "...").otherwise(""))
-    return rows.withColumn("snippet", text).select(*hits.columns, "snippet")
+    """Add a snippet of at most n words, matches in brackets and ... at cut ends; for few rows.
+
+    Words, phrases and prefixes are marked, phrases as one; matches that overlap share their brackets. The window holds
+    most of the different leaves, then comes first; it begins n // 3 words before a match where the text allows. A corpus
+    may have parts, an array of a record's columns: the one with the best window is shown, else body.
+    """
+    wanted = leaves.filter("error IS NULL AND NOT negated").groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("terms", "is_prefix"))).alias("_asked"))
+    parts = F.col("parts") if "parts" in corpus.columns else F.array("body")
+    keys = ["query_id", "project_id", "kind", "doc_id"]
+    texts = corpus.select("project_id", "kind", "doc_id", F.posexplode(parts).alias("_part", "_text"))
+    rows = hits.select(*keys).distinct().join(texts, ["project_id", "kind", "doc_id"]).join(wanted, "query_id")
+    word = lambda p: F.regexp_extract(p, WORD, 0)
+    pieces = F.filter(F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(rf"{WORD}[^\p{{L}}\p{{N}}\p{{M}}]*"), F.lit(0)), lambda p: _bare(word(p)) != "")
+    rows = rows.withColumn("_p", pieces).withColumn("_norm", F.transform("_p", lambda p: _bare(word(p))))
+    places = F.sequence(F.lit(0), F.greatest(F.size("_norm") - 1, F.lit(0)))
+    found = lambda a, leaf: F.transform(F.filter(places, lambda s: _occurs(a, s)), lambda s: F.struct(leaf.alias("leaf"), s.alias("s"), (s + F.size(a["terms"])).alias("e")))
+    rows = rows.withColumn("_found", F.flatten(F.transform("_asked", found)))
+    begin = lambda s: F.greatest(F.lit(0), F.least(s - n // 3, F.size("_norm") - n))
+    held = lambda w: F.size(F.array_distinct(F.transform(F.filter("_found", lambda m: (m["s"] >= w) & (m["e"] <= w + n)), lambda m: m["leaf"])))
+    windows = F.array_distinct(F.transform("_found", lambda m: begin(m["s"])))
+    best = F.array_max(F.transform(windows, lambda w: F.struct(held(w).alias("leaves"), (-w).alias("w"))))
+    rows = rows.withColumn("_best", F.coalesce(best, F.struct(F.lit(0).alias("leaves"), F.lit(0).alias("w")))).withColumn("_w", -F.col("_best.w"))
+    rows = rows.withColumn("_near", F.filter("_found", lambda m: (m["e"] > F.col("_w")) & (m["s"] < F.col("_w") + n)))
+    covered = lambda i: F.exists("_near", lambda m: (m["s"] <= i) & (i < m["e"]))
+    joined = lambda i: F.exists("_near", lambda m: (m["s"] < i) & (i < m["e"]))
+
+    def marked(piece: Column, j: Column) -> Column:
+        i = F.col("_w") + j
+        opens, closes = covered(i) & ((j == 0) | ~joined(i)), covered(i) & ((j == n - 1) | ~joined(i + 1))
+        return F.concat(F.when(opens, "[").otherwise(""), word(piece), F.when(closes, "]").otherwise(""), F.regexp_replace(piece, f"^{WORD}", ""))
+
+    cut = F.regexp_replace(F.array_join(F.transform(F.slice("_p", F.col("_w") + 1, n), marked), ""), r"\s+$", "")
+    text = F.concat(F.when(F.col("_w") > 0, "...").otherwise(""), cut, F.when(F.col("_w") + n < F.size("_p"), "...").otherwise(""))
+    shown = rows.groupBy(*keys).agg(F.max_by(text, F.struct(F.col("_best.leaves"), -F.col("_part"))).alias("snippet"))
+    return hits.join(shown, keys, "left").select(*hits.columns, "snippet")
 
 
 def search(index: DataFrame, stats: DataFrame, queries: DataFrame, tasks: DataFrame, checkpoints: DataFrame | None = None, worktrees: DataFrame | None = None, kinds: Sequence[str] | None = None, status: str | None = None, owner: str | None = None, limit: int = 20) -> DataFrame:

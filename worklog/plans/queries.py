@@ -865,9 +865,29 @@ def _(d: Demo) -> DataFrame:
     return _ended(d, streams.detect_stale(_stream(d)), "stale").select("session_id", text("started_at"), text("last_activity_at"))
 
 
-@query("i4_guard")
+# A reason on every second event, so that cancels are both allowed and refused.
+REASONED = "CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN '{\"reason\":\"r\"}' ELSE payload_json END"
+
+
+@query(
+    "i4_guard",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS STRING) AS task_id, concat('E', lpad(CAST(event_id AS STRING), 10, '0')) AS id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'released' WHEN 'purchase' THEN 'completed' ELSE 'cancelled' END AS act, event_id % 2 = 0 AS reasoned,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE epoch_us(ts) <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events)),
+s AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS STRING) AS id, CAST(NULL AS STRING) AS act, CAST(NULL AS STRING) AS before, CAST(NULL AS STRING) AS after, false AS owned, CAST(NULL AS STRING) AS verdict FROM e
+UNION ALL
+SELECT task_id, n, id, act, before, CASE WHEN verdict <> 'allowed' THEN coalesce(before, 'ready') WHEN act IN ('created', 'released') THEN 'ready' WHEN act = 'claimed' THEN 'in_progress' ELSE act END,
+  CASE WHEN verdict <> 'allowed' THEN owned WHEN act = 'claimed' THEN true WHEN act IN ('released', 'cancelled') THEN false ELSE owned END, verdict
+FROM (SELECT *, CASE act WHEN 'created' THEN CASE WHEN before IS NULL THEN 'allowed' ELSE 'INVALID_TASK_TRANSITION' END
+    WHEN 'claimed' THEN CASE WHEN owned THEN 'TASK_ALREADY_CLAIMED' WHEN before = 'ready' THEN 'allowed' ELSE 'INVALID_TASK_TRANSITION' END
+    WHEN 'released' THEN CASE WHEN before = 'in_progress' THEN 'allowed' ELSE 'INVALID_TASK_TRANSITION' END
+    WHEN 'completed' THEN CASE WHEN before = 'in_progress' THEN 'allowed' ELSE 'INVALID_TASK_TRANSITION' END
+    ELSE CASE WHEN before IN ('completed', 'cancelled') THEN 'INVALID_TASK_TRANSITION' WHEN reasoned THEN 'allowed' ELSE 'VALIDATION_FAILED' END END AS verdict
+  FROM (SELECT e.task_id, e.n, e.id, e.act, e.reasoned, s.owned, CASE WHEN e.act = 'created' THEN s.after ELSE coalesce(s.after, 'ready') END AS before FROM s JOIN e ON e.task_id = s.task_id AND e.n = s.n + 1) x) y)
+SELECT task_id, id, concat('task.', act) AS type, before, after, verdict FROM s WHERE n > 0""",
+)
 def _(d: Demo) -> DataFrame:
-    return _ended(d, streams.guard_transitions(_stream(d)), "guard").select("task_id", "id", "type", "before", "after", "verdict")
+    events = _stream(d).withColumn("payload_json", F.expr(REASONED))
+    return _ended(d, streams.guard_transitions(events, "1 hour"), "guard").select("task_id", "id", "type", "before", "after", "verdict")
 
 
 # Bundles
@@ -879,35 +899,93 @@ def _tables(d: Demo) -> dict[str, DataFrame]:
     return {n: d[f"wl_{n}"] for n in named} | {"checkpoints": lists, "events": d.log}
 
 
+CONTEXTS = "SELECT h.id AS ctx_id, h.project_id, h.from_agent_id AS agent_id, '/' AS cwd, h.task_id AS task_ref, g.name AS file FROM {h} h LEFT JOIN {g} g ON g.project_id = h.project_id AND g.id = concat('part-', substr(h.id, 2))"
+#: The code graph with an edge from each task to the parts that its progress names.
+WORK_EDGES = "SELECT project_id, source_id, target_id, relation_type FROM {edges} UNION ALL SELECT DISTINCT project_id, task_id, concat('part-', substr(content, 6)), 'changed' FROM {items}"
+
+
+def _listed(name: str, *columns: str):
+    """A bundle's list as one text: entries in order, columns of an entry parted by colons."""
+    return F.array_join(F.transform(name, lambda r: F.concat_ws(":", *[r[c].cast("string") for c in columns])), "|").alias(name)
+
+
 @query(
     "l1_resume",
     """WITH t AS (SELECT h.id AS ctx_id, h.task_id, h.project_id FROM wl_handoffs h), e AS (SELECT * FROM wl_events QUALIFY row_number() OVER (PARTITION BY project_id, task_id ORDER BY occurred_at DESC, id DESC) <= 10)
-SELECT t.ctx_id, t.task_id, (SELECT arg_max(c.id, (c.created_at, c.id)) FROM wl_checkpoints c WHERE c.task_id = t.task_id AND c.project_id = t.project_id) AS checkpoint_id, (SELECT count(*) FROM wl_progress_items p WHERE p.task_id = t.task_id AND p.status <> 'removed') AS progress, (SELECT count(*) FROM e WHERE e.task_id = t.task_id AND e.project_id = t.project_id) AS events FROM t""",
+SELECT t.ctx_id, t.task_id, k.status, (SELECT arg_max(c.id, (c.created_at, c.id)) FROM wl_checkpoints c WHERE c.task_id = t.task_id AND c.project_id = t.project_id) AS checkpoint_id,
+ (SELECT string_agg(concat_ws(':', p.position, p.id, p.type, p.content), '|' ORDER BY p.position, p.id) FROM wl_progress_items p WHERE p.task_id = t.task_id AND p.status <> 'removed') AS progress,
+ (SELECT string_agg(concat_ws(':', e.id, e.type), '|' ORDER BY e.occurred_at, e.id) FROM e WHERE e.task_id = t.task_id AND e.project_id = t.project_id) AS events FROM t JOIN wl_tasks k ON k.id = t.task_id""",
 )
 def _(d: Demo) -> DataFrame:
-    ctx = d.handoffs.selectExpr("id AS ctx_id", "project_id", "from_agent_id AS agent_id", "'/' AS cwd", "task_id AS task_ref")
+    ctx = d.spark.sql(CONTEXTS, h=d.handoffs, g=d.graph_nodes)
     rows = bundles.resume_bundle(ctx, _tables(d))
-    return rows.select("ctx_id", "task_id", F.col("checkpoint.id").alias("checkpoint_id"), F.coalesce(F.array_size("progress"), F.lit(0)).cast("long").alias("progress"), F.coalesce(F.array_size("events"), F.lit(0)).cast("long").alias("events"))
+    return rows.select("ctx_id", "task_id", "task.status", F.col("checkpoint.id").alias("checkpoint_id"), _listed("progress", "position", "id", "type", "content"), _listed("events", "id", "type"))
 
 
 @query(
     "l2_context",
-    """WITH t AS (SELECT h.id AS ctx_id, h.task_id, h.project_id FROM wl_handoffs h), e AS (SELECT * FROM wl_events WHERE occurred_at >= TIMESTAMP '2024-01-25' QUALIFY row_number() OVER (PARTITION BY project_id, task_id ORDER BY occurred_at DESC, id DESC) <= 10)
-SELECT t.ctx_id, (SELECT count(*) FROM wl_progress_items p WHERE p.task_id = t.task_id AND p.status = 'open') AS progress, (SELECT count(*) FROM e WHERE e.task_id = t.task_id AND e.project_id = t.project_id) AS events, (SELECT count(*) FROM wl_decisions x WHERE x.task_id = t.task_id AND x.project_id = t.project_id) AS decisions FROM t""",
+    f"""WITH t AS (SELECT c.ctx_id, c.task_ref AS task_id, c.project_id, c.file FROM ({CONTEXTS.format(h='wl_handoffs', g='wl_graph_nodes')}) c), e AS (SELECT * FROM wl_events WHERE occurred_at >= TIMESTAMP '2024-01-25' QUALIFY row_number() OVER (PARTITION BY project_id, task_id ORDER BY occurred_at DESC, id DESC) <= 10),
+w AS ({WORK_EDGES.format(edges='wl_graph_edges', items='wl_progress_items')}), own AS (SELECT t.ctx_id, t.project_id, g.id FROM t JOIN wl_graph_nodes g ON g.project_id = t.project_id AND g.name = t.file AND g.node_type = 'file'),
+starts AS (SELECT ctx_id, project_id, task_id AS id FROM t UNION SELECT ctx_id, project_id, id FROM own),
+near AS (SELECT s.ctx_id, s.project_id, w.source_id, w.target_id, w.relation_type, w.target_id AS there FROM starts s JOIN w ON w.project_id = s.project_id AND w.source_id = s.id UNION SELECT s.ctx_id, s.project_id, w.source_id, w.target_id, w.relation_type, w.source_id FROM starts s JOIN w ON w.project_id = s.project_id AND w.target_id = s.id),
+nodes AS (SELECT x.ctx_id, string_agg(concat_ws(':', g.id, g.node_type, g.name), '|' ORDER BY g.id) AS nodes FROM (SELECT ctx_id, project_id, there AS id FROM near UNION SELECT ctx_id, project_id, id FROM own) x JOIN wl_graph_nodes g ON g.project_id = x.project_id AND g.id = x.id GROUP BY 1),
+edges AS (SELECT ctx_id, string_agg(concat_ws(':', source_id, target_id, relation_type), '|' ORDER BY source_id, target_id, relation_type) AS edges FROM (SELECT DISTINCT ctx_id, source_id, target_id, relation_type FROM near) x GROUP BY 1)
+SELECT t.ctx_id, (SELECT string_agg(concat_ws(':', p.position, p.id, p.type, p.content), '|' ORDER BY p.position, p.id) FROM wl_progress_items p WHERE p.task_id = t.task_id AND p.status = 'open') AS progress,
+ (SELECT string_agg(concat_ws(':', e.id, e.type, e.payload_json), '|' ORDER BY e.occurred_at, e.id) FROM e WHERE e.task_id = t.task_id AND e.project_id = t.project_id) AS events,
+ (SELECT string_agg(concat_ws(':', x.display_id, x.title), '|' ORDER BY x.display_id) FROM wl_decisions x WHERE x.task_id = t.task_id AND x.project_id = t.project_id) AS decisions, nodes, edges FROM t LEFT JOIN nodes USING (ctx_id) LEFT JOIN edges USING (ctx_id)""",
 )
 def _(d: Demo) -> DataFrame:
-    ctx = d.handoffs.selectExpr("id AS ctx_id", "project_id", "from_agent_id AS agent_id", "'/' AS cwd", "task_id AS task_ref")
-    rows = bundles.context_bundle(ctx, _tables(d), now=F.lit(LOG_NOW).cast("timestamp_ntz"))
-    return rows.select("ctx_id", *[F.coalesce(F.array_size(c), F.lit(0)).cast("long").alias(c) for c in ("progress", "events", "decisions")])
+    tables = _tables(d) | {"graph_edges": d.spark.sql(WORK_EDGES, edges=d.graph_edges, items=d.progress_items)}
+    rows = bundles.context_bundle(d.spark.sql(CONTEXTS, h=d.handoffs, g=d.graph_nodes), tables, now=F.lit(LOG_NOW).cast("timestamp_ntz"))
+    lists = {"progress": ("position", "id", "type", "content"), "events": ("id", "type", "payload_json"), "decisions": ("display_id", "title"), "nodes": ("id", "node_type", "name"), "edges": ("source_id", "target_id", "relation_type")}
+    return rows.select("ctx_id", *[_listed(name, *columns) for name, columns in lists.items()])
 
 
-@query(
-    "l3_team_context",
-    """SELECT m.id AS team_id, (SELECT count(*) FROM wl_team_members x WHERE x.team_id = m.id AND x.project_id = m.project_id) AS members, (SELECT count(*) FROM wl_tasks x WHERE x.team_id = m.id AND x.project_id = m.project_id) AS tasks,
- (SELECT count(*) FROM wl_task_dependencies x JOIN wl_tasks a ON a.id = x.task_id JOIN wl_tasks b ON b.id = x.prerequisite_task_id WHERE a.team_id = m.id AND b.team_id = m.id AND x.project_id = m.project_id) AS dependencies, (SELECT count(*) FROM wl_scopes x JOIN wl_tasks a ON a.id = x.task_id WHERE a.team_id = m.id AND x.project_id = m.project_id) AS scopes,
- (SELECT count(*) FROM wl_progress_items x JOIN wl_tasks a ON a.id = x.task_id WHERE a.team_id = m.id AND x.type = 'blocker' AND x.status = 'open') AS blockers, least(50, (SELECT count(*) FROM wl_events x JOIN wl_tasks a ON a.id = x.task_id AND a.project_id = x.project_id WHERE a.team_id = m.id)) AS events,
- (SELECT arg_max(x.session_id, (x.created_at, x.id)) FROM wl_checkpoints x JOIN wl_tasks a ON a.id = x.task_id WHERE a.team_id = m.id AND x.session_id IS NOT NULL) AS rebuild_session FROM wl_teams m""",
-)
+TEAM_LISTS = {
+    "tasks": ("t", "t.created_at, t.id, t.status, t.owner_agent_id", "t"),
+    "dependencies": ("t", "x.task_id, x.prerequisite_task_id, x.kind", "wl_task_dependencies x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id JOIN t b ON b.id = x.prerequisite_task_id AND b.team_id = t.team_id AND b.key = t.key AND b.project_id = t.project_id"),
+    "scopes": ("t", "x.task_id, x.pattern", "wl_scopes x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id"),
+    "conflicts": ("a", "a.task_id, a.pattern, b.task_id, b.pattern", "s a JOIN s b ON a.project_id = b.project_id AND a.team_id = b.team_id AND a.key = b.key AND a.task_id < b.task_id AND (a.pattern = b.pattern OR a.pattern = '**' OR b.pattern = '**')"),
+    "blockers": ("t", "x.created_at, x.id, x.task_id, x.content", "(SELECT * FROM wl_progress_items WHERE type = 'blocker' AND status = 'open') x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id"),
+    "progress": ("t", "x.task_id, x.position, x.id, x.type, x.status, x.content", "wl_progress_items x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id"),
+    "checkpoints": ("t", "x.task_id, x.id, x.created_at", "(SELECT * FROM wl_checkpoints QUALIFY row_number() OVER (PARTITION BY project_id, task_id ORDER BY created_at DESC, id DESC) = 1) x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id"),
+    "decisions": ("t", "x.created_at, x.id, x.task_id, x.display_id, x.title", "wl_decisions x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id"),
+    "handoffs": ("t", "x.created_at, x.id, x.task_id, x.state, x.from_agent_id, x.to_agent_id", "wl_handoffs x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id"),
+    "events": ("x", "x.occurred_at, x.id, x.type, x.task_id, x.actor_agent_id", "(SELECT t.team_id, t.key, x.* FROM wl_events x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id QUALIFY row_number() OVER (PARTITION BY t.project_id, t.team_id, t.key ORDER BY x.occurred_at DESC, x.id DESC) <= 50) x"),
+    "rebuild": ("x", "x.session_id", "(SELECT t.team_id, t.key, arg_max(c.session_id, (c.created_at, c.id)) AS session_id FROM wl_checkpoints c JOIN t ON t.id = c.task_id AND t.project_id = c.project_id WHERE c.session_id IS NOT NULL GROUP BY 1, 2) x"),
+}
+
+
+def _team_sql(view: str) -> str:
+    key = {"commander": "team_id", "member": "owner_agent_id", "task": "id"}[view]
+    people = {"commander": "wl_team_members m", "member": "(SELECT *, agent_id AS key FROM wl_team_members) m", "task": "wl_team_members m JOIN t ON t.project_id = m.project_id AND t.team_id = m.team_id AND t.owner_agent_id = m.agent_id"}[view]
+    of_member = {"commander": "m.team_id", "member": "m.key", "task": "t.key"}[view]
+    parts = [f"SELECT m.team_id, {of_member} AS key, 'members' AS list, concat_ws('|', m.agent_id, m.role) AS item FROM {people}"]
+    for name, (own, columns, rows) in TEAM_LISTS.items():
+        parts.append(f"SELECT {own}.team_id, {own}.key, '{name}', concat_ws('|', {columns}) FROM {rows}")
+    with_tasks = f"WITH t AS (SELECT *, {key} AS key FROM wl_tasks WHERE team_id IN (SELECT id FROM wl_teams) AND {key} IS NOT NULL), s AS (SELECT DISTINCT t.project_id, t.team_id, t.key, x.task_id, x.pattern FROM wl_scopes x JOIN t ON t.id = x.task_id AND t.project_id = x.project_id)"
+    return f"{with_tasks} {' UNION ALL '.join(parts)}"
+
+
+def _team_items(d: Demo, view: str) -> DataFrame:
+    """All entries of all lists of all slices of a view, each as a text."""
+    lists = []
+    for name, df in bundles.team_lists(_tables(d), view).items():
+        columns = [F.col(c).cast("string") for c in df.columns if c not in bundles.SLICE]
+        lists.append(df.select("team_id", "key", F.lit(name).alias("list"), F.concat_ws("|", *columns).alias("item")))
+    return search.union_hits(*lists)
+
+
+@query("l3_team_context", _team_sql("commander"))
+def _(d: Demo) -> DataFrame:
+    return _team_items(d, "commander")
+
+
+@query("l3_member_context", _team_sql("member"))
+def _(d: Demo) -> DataFrame:
+    return _team_items(d, "member")
+
+
+@query("l3_task_context", _team_sql("task"))
 def _(d: Demo) -> DataFrame:
-    rows = bundles.team_context(_tables(d))
-    return rows.select("team_id", *[F.coalesce(F.array_size(c), F.lit(0)).cast("long").alias(c) for c in ("members", "tasks", "dependencies", "scopes", "blockers", "events")], "rebuild_session")
+    return _team_items(d, "task")

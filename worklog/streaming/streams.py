@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from worklog.functions.expr import lookup
-from worklog.schema import LEGACY_EVENTS, SCHEMAS
+from worklog.operators.transitions import DENIED, evaluate_transitions
+from worklog.schema import ACTION_EVENTS, LEGACY_EVENTS, SCHEMAS, SESSION_MOVES
 
 
 def read_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -56,50 +58,116 @@ def detect_stale(stream: DataFrame, after: str = "2 hours", watermark: str = "0
     return rows.select("project_id", "session_id", "started_at", "last_activity_at", F.col("session_window.end").alias("stale_at"))
 
 
-# The moves of the guard, as action -> states that it may start from and the state that it leads to.
-GUARD_MOVES = {
-    "task.claimed": (("ready",), "in_progress"),
-    "task.released": (("in_progress", "blocked", "review"), "ready"),
-    "task.started": (("ready", "planned", "in_progress"), "in_progress"),
-    "task.blocked": (("in_progress", "ready", "planned", "review"), "blocked"),
-    "task.unblocked": (("blocked", "planned"), "in_progress"),
-    "task.reviewed": (("in_progress",), "review"),
-    "task.completed": (("review", "in_progress"), "completed"),
-    "task.cancelled": (("planned", "ready", "in_progress", "blocked", "review"), "cancelled"),
-    "task.reopened": (("completed", "cancelled"), "ready"),
-}
-GUARD_OUTPUT = "project_id string, task_id string, id string, type string, before string, after string, verdict string"
+# The state that a session's event leads to; started begins a session.
+SESSION_EVENTS = {"session.paused": "paused", "session.resumed": "active", "session.ended": "ended", "session.abandoned": "abandoned", "session.stale": "stale"}
+#: What a task's fate depends on besides its status, in the order of a case's name.
+FLAGS = ["has_owner", "reasoned", "has_incomplete_prerequisite", "has_active_session", "pending"]
+STATUSES = ["planned", "ready", "in_progress", "blocked", "review", "completed", "cancelled"]
+GUARD_OUTPUT = "string, id string, type string, before string, after string, verdict string"
 
+Judge = Callable[[list, dict], tuple[str | None, str | None, str]]
 
-def judge_in_order(rows: pd.DataFrame, status: str | None, initial: str = "ready") -> tuple[list[tuple], str | None]:
-    """Verdicts of one task's events in order of time and id, and the status they lead to.
 
-    A task can be created once; other actions on a task that is not known yet take it to be in its initial status.
+def task_rules(spark: SparkSession, strict: bool = False) -> dict[str, tuple[str | None, str | None, str | None]]:
+    """What evaluate_transitions says in every case: action, status and flags -> new status, owner, denial.
+
+    Nine actions in seven states under five flags are 2,016 cases, whatever the data, so they are collected.
     """
-    out = []
-    for r in rows.sort_values(["occurred_at", "id"]).itertuples():
-        before = status or initial
-        if r.type == "task.created":
-            allowed, after = status is None, initial if status is None else before
-        else:
-            starts, end = GUARD_MOVES.get(r.type, ((), before))
-            allowed = before in starts
-            after = end if allowed else before
-        out.append((r.project_id, r.task_id, r.id, r.type, before, after, "allowed" if allowed else "INVALID_TASK_TRANSITION"))
-        status = after
-    return out, status
-
-
-def guard_transitions(stream: DataFrame, watermark: str = "0 seconds", initial: str = "ready") -> DataFrame:
-    """A verdict for each task event, by the task's status so far, which is all the state a task has.
-
-    Events of a task that arrive in one batch are taken in order of time and id.
+    every = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    cases = spark.range(1).withColumn("project_id", F.lit("")).withColumn("action", every(ACTION_EVENTS)).withColumn("status", every(STATUSES))
+    for flag in FLAGS:
+        cases = cases.withColumn(flag, every([False, True]))
+    cases = cases.withColumn("id", F.concat_ws("|", "action", "status", *[F.col(f).cast("int").cast("string") for f in FLAGS]))
+    asked = cases.select("project_id", "id", "action", F.lit("").alias("actor"), F.when(F.col("reasoned"), "reason").alias("reason"))
+    facts = cases.select("project_id", "id", "status", "has_owner", F.col("pending").cast("long").alias("open_progress"), "has_active_session", "has_incomplete_prerequisite")
+    return {r.id: (r.new_status, r.owner, r.denial) for r in evaluate_transitions(asked, facts, strict).collect()}
+
+
+def _judge_task(rules: dict, initial: str) -> Judge:
+    actions = {event: action for action, event in ACTION_EVENTS.items()}
+
+    def judge(event: list, memory: dict) -> tuple[str | None, str | None, str]:
+        kind, flags = event[0], event[1:]
+        before = memory.get("status")
+        if kind == "task.created":
+            memory.setdefault("status", initial)
+            return before, memory["status"], "allowed" if before is None else DENIED
+        before = before or initial
+        case = "|".join([actions[kind], before, *[str(int(f)) for f in (memory.get("owned", False), *flags)]])
+        after, owner, denial = rules[case]
+        if owner in ("actor", "clear"):
+            memory["owned"] = owner == "actor"
+        memory["status"] = after or before
+        return before, memory["status"], denial or "allowed"
+
+    return judge
+
+
+def _judge_session(event: list, memory: dict) -> tuple[str | None, str | None, str]:
+    before = memory.get("status")
+    if event[0] == "session.started":
+        memory.setdefault("status", "active")
+        return before, memory["status"], "allowed" if before is None else "denied"
+    before = before or "active"
+    target = SESSION_EVENTS[event[0]]
+    allowed = target in SESSION_MOVES.get(before, [])
+    memory["status"] = target if allowed else before
+    return before, memory["status"], "allowed" if allowed else "denied"
+
+
+def _guarded(events: DataFrame, key: str, details: Sequence[str], judge: Judge) -> DataFrame:
+    """Verdicts in order of event time and id, whatever batches the events come in.
+
+    An event waits in its key's state until the watermark has reached it, and those that come behind the watermark are
+    dropped by Spark as late. A state is what judge remembers and the events that wait: those of a key within the
+    watermark's delay and one batch, so maxFilesPerTrigger bounds it. The memory of a key stays.
     """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, status = judge_in_order(pd.concat(list(parts)), state.get[0] if state.exists else None, initial)
-        state.update((status,))
-        yield pd.DataFrame(rows, columns=["project_id", "task_id", "id", "type", "before", "after", "verdict"])
-
-    events = _timed(stream.filter("task_id IS NOT NULL").withColumn("type", lookup(F.col("type"), LEGACY_EVENTS)), watermark)
-    return events.groupBy("project_id", "task_id").applyInPandasWithState(step, GUARD_OUTPUT, "status string", "append", GroupStateTimeout.NoTimeout)
+    columns = ["_at", "id", "type", *details]
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
+        for part in parts:
+            waiting += part[columns].astype(object).values.tolist()
+        reached = state.getCurrentWatermarkMs()
+        out, later = [], []
+        for row in sorted(waiting, key=lambda r: (r[0], r[1])):
+            if row[0] > reached * 1000:
+                later.append(row)
+            else:
+                out.append((*name, row[1], row[2], *judge(row[2:], memory)))
+        state.update((json.dumps([memory, later]),))
+        if later:
+            state.setTimeoutTimestamp(max(-(-later[0][0] // 1000) - 1, reached + 1))
+        yield pd.DataFrame(out, columns=["project_id", key, "id", "type", "before", "after", "verdict"])
+
+    timed = events.withColumn("_at", F.unix_micros("occurred_at"))
+    return timed.groupBy("project_id", key).applyInPandasWithState(step, f"project_id string, {key} {GUARD_OUTPUT}", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def guard_transitions(stream: DataFrame, watermark: str = "0 seconds", initial: str = "ready", facts: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """A verdict for each task action by the rules of evaluate_transitions: allowed, or the code of the denial.
+
+    Status and owner are those that the task's events so far have led to; a task that was not created is in its initial
+    status. Prerequisites, active sessions and open progress come from facts (as of task_facts) and count as none without
+    them; a cancel's or block's reason comes from the payload. A task can be created once. Other events are no actions
+    and have no verdict.
+    """
+    spark = stream.sparkSession
+    actions = stream.filter("task_id IS NOT NULL").withColumn("type", lookup(F.col("type"), LEGACY_EVENTS)).filter(F.col("type").isin("task.created", *ACTION_EVENTS.values()))
+    reason = F.coalesce(F.try_variant_get(F.try_parse_json("payload_json"), "$.reason", "string"), F.lit(""))
+    actions = _timed(actions, watermark).withColumn("reasoned", F.length(F.trim(reason)) > 0)
+    if facts is None:
+        actions = actions.withColumns({f: F.lit(False) for f in FLAGS[2:]})
+    else:
+        known = facts.select("project_id", F.col("id").alias("task_id"), "has_incomplete_prerequisite", "has_active_session", (F.col("open_progress") > 0).alias("pending"))
+        actions = actions.join(known, ["project_id", "task_id"], "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in FLAGS[2:]})
+    return _guarded(actions.select("project_id", "task_id", "id", "type", "occurred_at", *FLAGS[1:]), "task_id", FLAGS[1:], _judge_task(task_rules(spark, strict), initial))
+
+
+def guard_sessions(stream: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+    """A verdict for each session event by the allowed pairs of session states: allowed or denied.
+
+    A session can be started once; one that was not is taken to be active.
+    """
+    moves = stream.filter("session_id IS NOT NULL").filter(F.col("type").isin("session.started", *SESSION_EVENTS))
+    return _guarded(_timed(moves, watermark).select("project_id", "session_id", "id", "type", "occurred_at"), "session_id", [], _judge_session)
