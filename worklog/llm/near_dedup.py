@@ -110,7 +110,10 @@ def _mark(text: Column) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """class and shingles, its set, of wanted classes (class, least), from the text of each one's least document."""
+    """class and shingles, its set, of wanted classes (class, least), from the text of each one's least document.
+
+    Their number grows with the documents, so the texts come by a merge join at every size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 0):
@@ -118,7 +121,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int
             keep = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"]).filter(keep)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("_text")).join(wanted, "least")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("_text")).join(wanted.hint("merge"), "least")
     # Where rows repeat an identifier, a class may be met twice, with the same set.
     return texts.select("_text", "class").mapInArrow(run, "class binary, shingles binary").dropDuplicates(["class"])
 
