@@ -27,6 +27,18 @@ COLUMNS = {
 }
 
 
+PARTS = {
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op13_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_columns_of_searches(spark, name):
+    assert ", ".join(f"{c} {t}" for c, t in queries.queries()[name](spark, SF).dtypes) == PARTS[name]
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -222,15 +222,16 @@ def _within_blocks(members: DataFrame) -> DataFrame:
     return members.select("band", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "class", "component")
 
 
-def _across_blocks(rows: DataFrame, group: str) -> DataFrame:
+def _across_blocks(rows: DataFrame, group: str, block_rows: int | None = None) -> DataFrame:
     """The pairs of different components in each group of rows (group, class, n, component) as tasks of two blocks: blocks of
     the rows outside the group's largest component are compared with each other and with those of that component. Groups
     of one component are left out."""
+    size = block_rows or BLOCK_ROWS
     parts = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"))
     sizes = parts.groupBy(group).agg(
         F.max_by(F.struct("component", "held", "shingles"), F.struct("held", "component")).alias("main"), F.sum("held").alias("held"), F.sum("shingles").alias("shingles")
     ).filter("main.held < held")
-    blocks = lambda held, shingles: F.greatest(F.ceil(held / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES))
+    blocks = lambda held, shingles: F.greatest(F.ceil(held / size), F.ceil(shingles / BLOCK_SHINGLES))
     sizes = sizes.select(
         group, F.col("main.component").alias("main"), blocks(F.col("main.held"), F.col("main.shingles")).alias("many"),
         blocks(F.col("held") - F.col("main.held"), F.col("shingles") - F.col("main.shingles")).alias("others"),

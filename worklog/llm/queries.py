@@ -19,6 +19,9 @@ MODULES = {
     "op8_near_dedup": "near_dedup",
     "op9_quality": "quality",
     "op10_token_store": "token_store",
+    "op11_hard_negatives": "hard_negatives",
+    "op12_simhash": "simhash",
+    "op13_lexical_search": "lexical_search",
 }
 
 
