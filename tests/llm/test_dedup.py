@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from worklog.llm import exact_dedup, line_dedup
@@ -87,10 +88,36 @@ def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-@pytest.mark.parametrize("salts", [3, None])
-def test_exact_groups_match_brute_force(spark, salts):
+def test_copies_are_settled_by_comparing_whole_texts(spark, monkeypatch):
+    data = cases.rows() + [(500 + i, f"copy {i % 5}", "a") for i in range(40)]
+    monkeypatch.setattr(exact_dedup, "_sha", lambda norm: F.lit("one hash for all"))
+    got = exact_dedup.duplicate_groups(cases.frame(spark, data)).collect()
+    groups = defaultdict(list)
+    for i, text, _ in data:
+        groups[normal(text)].append(i)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, min((x for x in ids if x is not None), default=None), len(ids)) for ids in groups.values() for i in ids)
+
+
+def test_a_hot_text_is_dealt_to_several_ranges(spark):
+    data = [(i, "hot  text" if i % 3 else f"other {i % 30}", "a") for i in range(3000)]
+    docs = cases.frame(spark, data)
+    hashes, texts = exact_dedup._hot(docs, "doc_id", "text", 150)
+    assert [r["_ranges"] for r in hashes.collect()] == [14] and [(r["_keep"], r["_all"]) for r in texts.collect()] == [(1, 2000)]
+    got = exact_dedup.duplicate_groups(docs, copies=150).collect()
+    assert Counter((r.keep_id, r.group_size) for r in got) == Counter({(1, 2000): 2000} | {(3 * k, 100): 100 for k in range(10)})
+    assert sorted(r.doc_id for r in got if r.kept) == [0, 1, *range(3, 30, 3)]
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs, copies=150).collect()) == [0, 1, *range(3, 30, 3)]
+
+
+def test_texts_are_moved_once(spark):
+    plan = exact_dedup.duplicate_groups(cases.frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("copies", [1, 2, None])
+def test_exact_groups_match_brute_force(spark, copies):
     data = cases.rows()
-    got = exact_dedup.duplicate_groups(cases.frame(spark, data), salts=salts).collect()
+    got = exact_dedup.duplicate_groups(cases.frame(spark, data), copies=copies).collect()
     groups = defaultdict(list)
     for i, text, _ in data:
         groups[hashlib.sha256(normal(text).encode()).hexdigest()].append(i)
