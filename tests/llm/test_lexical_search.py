@@ -69,7 +69,7 @@ def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch, block, heavy):
     terms, held = (np.array([x for c in counts for x in own(c)]) for own in (lambda c: [rank[t] for t in c], lambda c: list(c.values())))
     project = np.random.default_rng(1).standard_normal((len(order), 8)).astype(np.float32)
     arrays = ls.make_shard(np.arange(800), norms, np.array([len(c) for c in counts]), terms, held, weight, project)
-    shard = ls.Shard({c: a.astype(ls.TYPES[c]) for c, a in arrays.items()}, len(order))
+    shard = ls.Shard({c: a.astype(ls.types_of(len(order))[c]) for c, a in arrays.items()}, len(order))
     scored = []
     whole = shard.scores
     shard.scores = lambda docs, w: scored.append(len(docs)) or whole(docs, w)

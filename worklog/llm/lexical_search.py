@@ -28,8 +28,8 @@ from . import common
 
 #: Query terms (repeats over queries included) that are searched for in one go: they go to every task.
 GROUP_TERMS = 1 << 18
-#: Documents and postings of a shard, documents of a block on average, terms from which a document is scored in any case.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS, HEAVY = 4096, 1 << 20, 32, 1024
+#: Documents and postings of a shard, shards of a file, documents of a block on average, terms from which a document is scored in any case.
+SHARD_DOCS, SHARD_POSTINGS, FILE_SHARDS, BLOCK_DOCS, HEAVY = 2048, 1 << 18, 4, 32, 1024
 #: Dimensions of the projection, and the unit in which maxima are kept, rounded up.
 DIMENSIONS, UNIT, SEED = 16, 16, 13
 #: What stands for a missing identifier: it comes last among equal scores.
@@ -40,7 +40,12 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 SHARD = "docs binary, ends binary, terms binary, impacts binary, lists binary, postings binary, list_blocks binary, block_ends binary, summary_ends binary, summary_terms binary, summary_most binary"
-TYPES = {"docs": "<i8", "ends": "<i8", "terms": "<i4", "impacts": "<i4", "lists": "<i8", "postings": "<u2", "list_blocks": "<i8", "block_ends": "<i4", "summary_ends": "<i8", "summary_terms": "<i4", "summary_most": "<u2"}
+#: Types of a shard's arrays; term is the smallest that holds all terms of the group.
+TYPES = {"docs": "<i8", "ends": "<i8", "terms": "term", "impacts": "<i4", "lists": "<i8", "postings": "<u2", "list_blocks": "<i8", "block_ends": "<i4", "summary_ends": "<i8", "summary_terms": "term", "summary_most": "<u2"}
+
+
+def types_of(n_terms: int) -> dict[str, str]:
+    return {c: ("<u2" if n_terms <= 1 << 16 else "<i4") if t == "term" else t for c, t in TYPES.items()}
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -88,7 +93,7 @@ def build_shards(counted: DataFrame, documents: int, total: int, rank: np.ndarra
             ids, norms, sizes, terms, counts = (np.concatenate(x) for x in zip(*held, strict=True))
             shard = make_shard(ids, norms, sizes, rank[terms], counts, weight, project)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([shard[c].astype(t).tobytes()], pa.binary()) for c, t in TYPES.items()], list(TYPES))
+            return pa.RecordBatch.from_arrays([pa.array([shard[c].astype(t).tobytes()], pa.binary()) for c, t in types_of(len(rank)).items()], list(TYPES))
 
         for batch in batches:
             at = 0
@@ -229,7 +234,7 @@ def best_of_shards(shards: DataFrame, queries: list[tuple[int, np.ndarray]], wei
         own = np.zeros(len(weight), np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = Shard({c: np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in TYPES.items()}, len(weight))
+                shard = Shard({c: np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in types_of(len(weight)).items()}, len(weight))
                 for q, (_, terms) in enumerate(queries):
                     own[terms] = weight[terms]
                     best[q] = shard.search(terms, weight[terms], own, best[q], k)
@@ -286,7 +291,9 @@ def _search_group(docs: DataFrame, queries: list[tuple[int, list[bytes]]], k: in
     rank = np.empty(len(vocabulary), np.int64)
     rank[order] = np.arange(len(vocabulary))
     weight = np.floor(1000 * np.log((2 * totals.documents + 2) / (2 * held[order] + 1))).astype(np.int64)
-    shards = common.stored(build_shards(counted, totals.documents, totals.total, rank, weight, SHARD_DOCS, SHARD_POSTINGS), "index-shards")
+    built, path = build_shards(counted, totals.documents, totals.total, rank, weight, SHARD_DOCS, SHARD_POSTINGS), common.shared_folder(docs.sparkSession, "index-shards")
+    built.write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)  # so that no task has to take many shards at once
+    shards = docs.sparkSession.read.schema(built.schema).parquet(path)
     place = {t: rank[i] for i, t in enumerate(vocabulary)}
     return best_of_shards(shards, [(n, np.sort(np.array([place[t] for t in terms], np.int64))) for n, terms in queries], weight, k)
 
