@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklog.functions.expr import lookup
+from worklog.operators.folds import positioned, states_before
 from worklog.operators.listing import normalise_event_types
 from worklog.operators.resolve import resolve_refs
-from worklog.schema import ACTION_EVENTS, LEGACY_EVENTS, PROGRESS_MOVES, SESSION_MOVES, TERMINAL
+from worklog.schema import ACTION_EVENTS, ENUMS, LEGACY_EVENTS, PROGRESS_MOVES, SESSION_MOVES, TERMINAL
 
 DENIED = "INVALID_TASK_TRANSITION"
+#: Status and whether there is an owner: what the requests of one batch change of a task's facts.
+STATES = [(status, owned) for status in ENUMS["task_status"] for owned in (False, True)]
+#: The columns that order several requests for one row; request is unique.
+TURN = ["at", "request"]
 
 
 def _rules(strict: bool) -> list[tuple[Column, str | Column, str]]:
@@ -52,7 +57,10 @@ def evaluate_transitions(requests: DataFrame, facts: DataFrame, strict: bool = F
     owner is the actor, clear or keep. Exactly one of new_status and denial is null. Tasks that are not known are
     denied as RESOURCE_NOT_FOUND.
     """
-    rows = requests.join(facts, ["project_id", "id"], "left")
+    return _judge(requests.join(facts, ["project_id", "id"], "left"), requests.columns, strict)
+
+
+def _judge(rows: DataFrame, columns: Sequence[str], strict: bool) -> DataFrame:
     status = owner = denial = None
     for condition, says, what in _rules(strict):
         says = F.lit(says) if isinstance(says, str) else says
@@ -65,11 +73,56 @@ def evaluate_transitions(requests: DataFrame, facts: DataFrame, strict: bool = F
     unknown = F.col("status").isNull()
     warned = (F.col("action") == "complete") & (F.col("open_progress") > 0)
     return rows.select(
-        *requests.columns, F.col("status").alias("old_status"), F.when(~unknown, status).alias("new_status"), F.when(~unknown, owner).alias("owner"),
+        *columns, F.col("status").alias("old_status"), F.when(~unknown, status).alias("new_status"), F.when(~unknown, owner).alias("owner"),
         F.when(unknown, "RESOURCE_NOT_FOUND").otherwise(denial.otherwise(DENIED)).alias("denial"), F.when(~unknown & status.isNotNull() & warned, "open progress items remain").alias("warning"),
     )
 
 
+def _state_of(status: Column, owned: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in ENUMS["task_status"]]), status).cast("int") * 2 - 2 + owned.cast("int")
+
+
+def _state_maps(spark: SparkSession, strict: bool) -> DataFrame:
+    """For each action and case of the facts that stay, the state that follows each of STATES: nine times sixteen rows."""
+    every = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    cases = spark.range(1).select(every(ACTION_EVENTS).alias("action"))
+    for flag in ("_reasoned", "has_incomplete_prerequisite", "has_active_session", "_pending"):
+        cases = cases.withColumn(flag, every([False, True]))
+    cases = cases.withColumn("_state", every(range(len(STATES))))
+    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_state"))
+    cases = cases.withColumns({"status": at([s for s, _ in STATES]), "has_owner": at([o for _, o in STATES])})
+    cases = cases.withColumns({"reason": F.when(F.col("_reasoned"), "reason"), "open_progress": F.col("_pending").cast("long")})
+    keep = ["action", "_reasoned", "has_incomplete_prerequisite", "has_active_session", "_pending", "_state", "has_owner"]
+    judged = _judge(cases, keep, strict)
+    owned = F.when(F.col("owner") == "actor", True).when(F.col("owner") == "clear", False).otherwise(F.col("has_owner"))
+    after = F.when(F.col("new_status").isNull(), F.col("_state")).otherwise(_state_of(F.col("new_status"), owned))
+    lists = judged.groupBy(*keep[:5]).agg(F.sort_array(F.collect_list(F.struct("_state", after.alias("to")))).alias("_all"))
+    return lists.select(*keep[:5], F.col("_all.to").alias("_map"))
+
+
+def evaluate_in_order(requests: DataFrame, facts: DataFrame, strict: bool = False) -> DataFrame:
+    """Judge requests (project_id, id, action, actor, reason, at, request) of which a task may have many, in order of at and request.
+
+    Each finds the status and the owner that those before it have left; the other facts stay as they are. The rules and
+    columns are those of evaluate_transitions, old_status being the status just before. Denied requests and unknown
+    actions change nothing. A request without a time comes first; request has to tell a task's requests apart.
+    """
+    keys = ["project_id", "id"]
+    reasoned = F.length(F.trim(F.coalesce("reason", F.lit("")))) > 0
+    known = facts.select(*keys, "status", "has_owner", "open_progress", "has_active_session", "has_incomplete_prerequisite")
+    rows = requests.join(known, keys, "left").withColumns({"_reasoned": reasoned, "_pending": F.col("open_progress") > 0})
+    rows = positioned(rows, keys, TURN)
+    maps = F.broadcast(_state_maps(requests.sparkSession, strict))
+    same = F.array(*[F.lit(s) for s in range(len(STATES))])
+    case = ["action", "_reasoned", "has_incomplete_prerequisite", "has_active_session", "_pending"]
+    items = rows.filter("status IS NOT NULL").join(maps, case, "left").select(*keys, "_pos", F.coalesce("_map", same).alias("_map"))
+    start = facts.select(*keys, _state_of(F.col("status"), F.col("has_owner")).alias("_state"))
+    before = states_before(items, keys, start, len(STATES))
+    met = rows.join(before, [*keys, "_pos"], "left")
+    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_state"))
+    return _judge(met.withColumns({"status": at([s for s, _ in STATES]), "has_owner": at([o for _, o in STATES])}), requests.columns, strict)
+
+
 def initial_status(new: DataFrame, deps: DataFrame, tasks: DataFrame) -> DataFrame:
     """new (project_id, id, requested) with status or denial.
 
@@ -102,22 +155,40 @@ def evaluate_progress_moves(requests: DataFrame, items: DataFrame) -> DataFrame:
     return _judged(requests, items, "status", PROGRESS_MOVES)
 
 
-def _with_new(df: DataFrame, verdicts: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Join new_status (and more) of the changed rows; of several for one row the last by new_status counts."""
-    side = verdicts.filter("new_status IS NOT NULL").groupBy("project_id", "id").agg(F.max("new_status").alias("_new"), *[F.max(c).alias(f"_{c}") for c in extra])
+def _turn(verdicts: DataFrame) -> Column:
+    """What orders several verdicts for one row: their turn where they have one, else their own values."""
+    return F.struct(*[c for c in TURN if c in verdicts.columns] or sorted(set(verdicts.columns) - {"project_id", "id"}))
+
+
+def _with_new(df: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Join _new, the status that the last of a row's verdicts leads to."""
+    side = verdicts.filter("new_status IS NOT NULL").groupBy("project_id", "id").agg(F.max_by("new_status", _turn(verdicts)).alias("_new"))
     return df.join(side, ["project_id", "id"], "left")
 
 
 def apply_task_status(tasks: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
-    """Tasks after the verdicts: the first start stays, completed_at is there for completed ones alone."""
-    rows = _with_new(tasks, verdicts, ["owner", "actor"])
+    """Tasks after the verdicts, in their order (at, request) where a task has several.
+
+    The first start stays, completed_at is there for completed ones alone, and the owner is that of the last verdict that
+    sets or clears it. Verdicts that are not from evaluate_in_order may be one for each task only.
+    """
+    turn = _turn(verdicts)
+    owning = F.col("owner").isin("actor", "clear")
+    side = verdicts.filter("new_status IS NOT NULL").groupBy("project_id", "id").agg(
+        F.max_by("new_status", turn).alias("_new"), F.bool_or(F.col("new_status") == "in_progress").alias("_begun"), F.bool_or(owning).alias("_owning"),
+        F.max_by(F.when(F.col("owner") == "actor", F.struct("actor")), F.when(owning, turn)).alias("_owner"), F.count(F.lit(1)).alias("_verdicts"),
+    )
+    if not set(TURN) <= set(verdicts.columns):
+        several = F.raise_error(F.concat(F.lit("several verdicts without an order for task "), "id"))
+        side = side.withColumn("_new", F.when(F.col("_verdicts") > 1, several).otherwise(F.col("_new")))
+    rows = tasks.join(side, ["project_id", "id"], "left")
     moved, new = F.col("_new").isNotNull(), F.col("_new")
     return rows.withColumns(
         {
             "status": F.coalesce(new, "status"),
-            "started_at": F.when(moved & (new == "in_progress"), F.coalesce("started_at", now)).otherwise(F.col("started_at")),
+            "started_at": F.when(F.col("_begun"), F.coalesce("started_at", now)).otherwise(F.col("started_at")),
             "completed_at": F.when(moved, F.when(new == "completed", now)).otherwise(F.col("completed_at")),
-            "owner_agent_id": F.when(F.col("_owner") == "actor", F.col("_actor")).when(F.col("_owner") == "clear", None).otherwise(F.col("owner_agent_id")),
+            "owner_agent_id": F.when(F.col("_owning"), F.col("_owner.actor")).otherwise(F.col("owner_agent_id")),
             "updated_at": F.when(moved, now).otherwise(F.col("updated_at")),
         }
     ).select(*tasks.columns)
@@ -155,10 +226,15 @@ def supersede_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def emit_events(verdicts: DataFrame, now: Column) -> DataFrame:
-    """An event for each applied change: its type, the task, and before, after and reason as JSON."""
+    """An event for each applied change: its type, the task, and before, after and reason as JSON.
+
+    The identifier is a hash of the request: task, action, actor, reason and, where there are such, its turn.
+    """
+    asked = ["project_id", "id", "action", "actor", "reason", *[c for c in TURN if c in verdicts.columns]]
+    name = F.sha2(F.to_json(F.struct(*asked)).cast("binary"), 256)
     payload = F.to_json(F.struct(F.col("old_status").alias("beforeStatus"), F.col("new_status").alias("afterStatus"), "reason"))
     return verdicts.filter("new_status IS NOT NULL").select(
-        F.concat_ws("-", "id", "action", F.date_format(now, "yyyyMMddHHmmss")).alias("id"), "project_id", lookup(F.col("action"), ACTION_EVENTS).alias("type"), F.lit("task").alias("aggregate_type"),
+        F.concat_ws("-", F.date_format(now, "yyyyMMddHHmmss"), F.left(name, F.lit(32))).alias("id"), "project_id", lookup(F.col("action"), ACTION_EVENTS).alias("type"), F.lit("task").alias("aggregate_type"),
         F.col("id").alias("aggregate_id"), payload.alias("payload_json"), now.alias("occurred_at"), F.col("actor").alias("actor_agent_id"), F.lit(None).cast("string").alias("session_id"), F.col("id").alias("task_id"),
     )
 
@@ -203,23 +279,32 @@ def supersede_decisions(decisions: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def apply_handoff_moves(requests: DataFrame, handoffs: DataFrame, facts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(handoffs, outcomes) after requests (project_id, id, target, actor, claim).
+    """(handoffs, outcomes) after requests (project_id, id, target, actor, claim, and at and request to order them).
 
-    Accepting with claim takes the task for the actor by the task rules; where that is denied the hand-off stays as it
-    is and the outcome has the denial.
+    Accepting with claim takes the task for the actor by the task rules, as those before it have left the task; where that
+    is denied the hand-off stays as it is and the outcome has the denial. Of several moves of one hand-off the last that is
+    not denied counts. Without at and request, requests are ordered by actor and target.
     """
+    turn = [c for c in TURN if c in requests.columns]
     tasks_of = handoffs.select("project_id", F.col("id").alias("_handoff"), F.col("task_id"))
-    asked = requests.withColumnRenamed("id", "_handoff").join(tasks_of, ["project_id", "_handoff"], "left")
-    claims = asked.filter("claim AND target = 'accepted'").select("project_id", F.col("task_id").alias("id"), F.lit("claim").alias("action"), "actor", F.lit(None).cast("string").alias("reason"), "_handoff")
-    judged = evaluate_transitions(claims, facts).select("project_id", "_handoff", "denial", F.lit(True).alias("_claimed"))
-    outcomes = asked.join(judged, ["project_id", "_handoff"], "left").withColumn("denial", F.when(F.col("task_id").isNull(), "RESOURCE_NOT_FOUND").otherwise(F.col("denial")))
-    outcomes = outcomes.select("project_id", F.col("_handoff").alias("id"), "target", "actor", "denial")
-    side = outcomes.filter("denial IS NULL").groupBy("project_id", "id").agg(F.max("target").alias("_new"))
+    asked = requests.withColumnRenamed("id", "_handoff")
+    if len(turn) < len(TURN):
+        asked = asked.withColumns({"at": F.lit(None).cast("timestamp_ntz"), "request": F.concat_ws("|", "actor", "target", F.col("claim").cast("string"))})
+    asked = asked.join(tasks_of, ["project_id", "_handoff"], "left")
+    claims = asked.filter("claim AND target = 'accepted'").select(
+        "project_id", F.col("task_id").alias("id"), F.lit("claim").alias("action"), "actor", F.lit(None).cast("string").alias("reason"), "at", F.struct("request", "_handoff").alias("request")
+    )
+    judged = evaluate_in_order(claims, facts).select("project_id", "at", F.col("request.request").alias("request"), F.col("request._handoff").alias("_handoff"), "denial")
+    same = asked["project_id"].eqNullSafe(judged["project_id"]) & asked["_handoff"].eqNullSafe(judged["_handoff"]) & asked["request"].eqNullSafe(judged["request"]) & asked["at"].eqNullSafe(judged["at"]) & asked["claim"] & (asked["target"] == "accepted")
+    met = asked.join(judged.dropDuplicates(["project_id", "_handoff", "request", "at"]), same, "left")
+    denial = F.when(asked["task_id"].isNull(), "RESOURCE_NOT_FOUND").otherwise(judged["denial"])
+    outcomes = met.select(asked["project_id"], asked["_handoff"].alias("id"), "target", "actor", asked["at"], asked["request"], denial.alias("denial"))
+    side = outcomes.filter("denial IS NULL").groupBy("project_id", "id").agg(F.max_by("target", F.struct(*TURN)).alias("_new"))
     at = lambda state, old: F.when(F.col("_new") == state, now).otherwise(F.col(old))
     moved = handoffs.join(side, ["project_id", "id"], "left").withColumns(
         {"state": F.coalesce("_new", "state"), "accepted_at": at("accepted", "accepted_at"), "declined_at": at("declined", "declined_at"), "updated_at": F.when(F.col("_new").isNotNull(), now).otherwise(F.col("updated_at"))}
     )
-    return moved.select(*handoffs.columns), outcomes
+    return moved.select(*handoffs.columns), outcomes.select("project_id", "id", "target", "actor", *turn, "denial")
 
 
 def known_event_types() -> list[str]:

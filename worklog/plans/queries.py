@@ -597,6 +597,55 @@ def _(d: Demo) -> DataFrame:
     return transitions.emit_events(_verdicts(d), F.lit(NOW).cast("timestamp_ntz")).select("task_id", "type", "payload_json")
 
 
+ORDERED_ASKED = "SELECT project_id, task_id AS id, CASE number % 9 WHEN 0 THEN 'claim' WHEN 1 THEN 'release' WHEN 2 THEN 'start' WHEN 3 THEN 'block' WHEN 4 THEN 'unblock' WHEN 5 THEN 'review' WHEN 6 THEN 'complete' WHEN 7 THEN 'cancel' ELSE 'reopen' END AS action, concat('A', lpad(CAST(number % 50 AS STRING), 8, '0')) AS actor, CASE WHEN number % 2 = 0 THEN 'because' END AS reason, created_at AS asked_at, id AS request FROM (SELECT *, CAST(split_part(content, ' ', 2) AS BIGINT) AS number FROM"
+#: Each request of a task finds what the one before it has left.
+ORDERED = f"""WITH RECURSIVE f AS MATERIALIZED ({FACTS}), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY asked_at, request) AS k FROM ({ORDERED_ASKED} wl_progress_items) x) y),
+w AS (SELECT project_id, id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS old_status, status, has_owner, CAST(NULL AS VARCHAR) AS v FROM f UNION ALL
+  SELECT project_id, id, k, status, CASE WHEN v IS NULL OR v LIKE '!%' THEN status ELSE v END, CASE WHEN v IS NULL OR v LIKE '!%' THEN has_owner WHEN action = 'claim' THEN true WHEN action IN ('release', 'cancel', 'reopen') THEN false ELSE has_owner END, v
+  FROM (SELECT r.project_id, r.id, r.k, r.action, w.status, w.has_owner, CASE r.action
+    WHEN 'claim' THEN CASE WHEN w.status = 'ready' AND NOT w.has_owner AND NOT f.has_incomplete_prerequisite THEN 'in_progress' WHEN w.has_owner THEN '!TASK_ALREADY_CLAIMED' WHEN f.has_incomplete_prerequisite THEN '!DEPENDENCY_INCOMPLETE' END
+    WHEN 'release' THEN CASE WHEN f.has_active_session THEN '!STATE_CONFLICT' WHEN w.status IN ('in_progress', 'blocked', 'review') THEN CASE WHEN f.has_incomplete_prerequisite THEN 'planned' ELSE 'ready' END END
+    WHEN 'start' THEN CASE WHEN w.status = 'in_progress' OR w.status IN ('ready', 'planned') AND NOT f.has_incomplete_prerequisite THEN 'in_progress' WHEN f.has_incomplete_prerequisite THEN '!DEPENDENCY_INCOMPLETE' END
+    WHEN 'block' THEN CASE WHEN r.reason IS NULL THEN '!VALIDATION_FAILED' WHEN w.status IN ('in_progress', 'ready', 'planned', 'review') THEN 'blocked' END
+    WHEN 'unblock' THEN CASE WHEN w.status IN ('blocked', 'planned') THEN CASE WHEN f.has_incomplete_prerequisite THEN '!DEPENDENCY_INCOMPLETE' WHEN w.has_owner THEN 'in_progress' ELSE 'ready' END END
+    WHEN 'review' THEN CASE WHEN w.status = 'in_progress' THEN 'review' END
+    WHEN 'complete' THEN CASE WHEN w.status IN ('review', 'in_progress') THEN 'completed' END
+    WHEN 'cancel' THEN CASE WHEN w.status NOT IN ('completed', 'cancelled') THEN CASE WHEN r.reason IS NULL THEN '!VALIDATION_FAILED' ELSE 'cancelled' END END
+    ELSE CASE WHEN w.status IN ('completed', 'cancelled') THEN CASE WHEN f.has_incomplete_prerequisite THEN 'planned' ELSE 'ready' END END END AS v
+    FROM w JOIN r ON r.project_id = w.project_id AND r.id = w.id AND r.k = w.k + 1 JOIN f ON f.project_id = w.project_id AND f.id = w.id) y),
+o AS (SELECT r.*, w.old_status, w.status, CASE WHEN w.v NOT LIKE '!%' THEN w.v END AS new_status, CASE WHEN w.v IS NULL THEN 'INVALID_TASK_TRANSITION' WHEN w.v LIKE '!%' THEN substr(w.v, 2) END AS denial,
+  CASE WHEN w.v NOT LIKE '!%' THEN CASE r.action WHEN 'claim' THEN 'actor' WHEN 'release' THEN 'clear' WHEN 'cancel' THEN 'clear' WHEN 'reopen' THEN 'clear' ELSE 'keep' END END AS owner FROM r JOIN w USING (project_id, id, k))"""
+
+
+def _ordered(d: Demo) -> DataFrame:
+    asked = d.spark.sql(f"{ORDERED_ASKED} {{p}}) x", p=d.progress_items).withColumnRenamed("asked_at", "at")
+    return transitions.evaluate_in_order(asked, _facts(d))
+
+
+@query("h1_ordered_transitions", f"{ORDERED} SELECT project_id, id, request, action, old_status, new_status, denial, owner FROM o")
+def _(d: Demo) -> DataFrame:
+    return _ordered(d).select("project_id", "id", "request", "action", "old_status", "new_status", "denial", "owner")
+
+
+@query(
+    "h5_apply_ordered",
+    f"""{ORDERED}, l AS (SELECT project_id, id, max(k) AS last, max(k) FILTER (WHERE owner IN ('actor', 'clear')) AS owning, bool_or(new_status = 'in_progress') AS begun FROM o WHERE new_status IS NOT NULL GROUP BY ALL)
+SELECT t.id, coalesce(e.new_status, t.status) AS status, CASE WHEN l.begun THEN coalesce(t.started_at, TIMESTAMP '2001-09-01') ELSE t.started_at END AS started_at, CASE WHEN l.last IS NULL THEN t.completed_at WHEN e.new_status = 'completed' THEN TIMESTAMP '2001-09-01' END AS completed_at,
+  CASE WHEN l.owning IS NULL THEN t.owner_agent_id WHEN g.owner = 'actor' THEN g.actor END AS owner_agent_id
+FROM wl_tasks t LEFT JOIN l ON l.project_id = t.project_id AND l.id = t.id LEFT JOIN o e ON e.project_id = l.project_id AND e.id = l.id AND e.k = l.last LEFT JOIN o g ON g.project_id = l.project_id AND g.id = l.id AND g.k = l.owning""",
+)
+def _(d: Demo) -> DataFrame:
+    return transitions.apply_task_status(d.tasks, _ordered(d), F.lit(NOW).cast("timestamp_ntz")).select("id", "status", "started_at", "completed_at", "owner_agent_id")
+
+
+@query("h8_ordered_events", f"{ORDERED} SELECT project_id, id AS task_id, count(*) AS events, count(*) AS identifiers, min(concat(action, old_status, new_status)) AS least FROM o WHERE new_status IS NOT NULL GROUP BY ALL")
+def _(d: Demo) -> DataFrame:
+    events = transitions.emit_events(_ordered(d), F.lit(NOW).cast("timestamp_ntz"))
+    actions = F.create_map(*[F.lit(x) for action, event in transitions.ACTION_EVENTS.items() for x in (event, action)])
+    said = F.concat(actions[F.col("type")], F.get_json_object("payload_json", "$.beforeStatus"), F.get_json_object("payload_json", "$.afterStatus"))
+    return events.groupBy("project_id", "task_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("identifiers"), F.min(said).alias("least"))
+
+
 REPLAY = """SELECT project_id, task_id, arg_max(CASE WHEN type IN ('task.created', 'task.released', 'task.releaseed') THEN 'ready' WHEN type = 'task.claimed' THEN 'in_progress' WHEN type IN ('task.completed', 'task.completeed') THEN 'completed' ELSE 'cancelled' END, (occurred_at, id)) AS status FROM wl_events GROUP BY ALL"""
 
 
@@ -639,6 +688,20 @@ def _(d: Demo) -> DataFrame:
     return transitions.apply_handoff_moves(asked, d.handoffs, _facts(d), F.lit(NOW).cast("timestamp_ntz"))[0].select("id", "state", "accepted_at")
 
 
+@query(
+    "h12_ordered_handoffs",
+    f"""WITH f AS ({FACTS}), r AS (SELECT h.project_id, h.id, h.task_id, CAST(k AS BIGINT) AS k, CASE WHEN k = 4 AND CAST(substr(h.id, 2) AS INT) % 2 = 0 THEN 'declined' ELSE 'accepted' END AS target, k < 4 AS claim FROM wl_handoffs h CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) n)
+SELECT r.id, r.k, r.target, CASE WHEN r.claim THEN CASE WHEN f.status = 'ready' AND NOT f.has_owner AND NOT f.has_incomplete_prerequisite THEN CASE WHEN r.k > 1 THEN 'TASK_ALREADY_CLAIMED' END WHEN f.has_owner THEN 'TASK_ALREADY_CLAIMED' WHEN f.has_incomplete_prerequisite THEN 'DEPENDENCY_INCOMPLETE' ELSE 'INVALID_TASK_TRANSITION' END END AS denial,
+  CASE WHEN CAST(substr(r.id, 2) AS INT) % 2 = 0 THEN 'declined' ELSE 'accepted' END AS state FROM r JOIN f ON f.id = r.task_id AND f.project_id = r.project_id""",
+)
+def _(d: Demo) -> DataFrame:
+    number = F.substring("id", 2, 9).cast("int")
+    rows = d.handoffs.select("project_id", "id", number.alias("n"), F.explode(F.array(*[F.lit(k) for k in (4, 2, 3, 1)])).alias("k"))
+    asked = rows.select("project_id", "id", F.when((F.col("k") == 4) & (F.col("n") % 2 == 0), "declined").otherwise("accepted").alias("target"), F.concat(F.lit("A"), F.col("k").cast("string")).alias("actor"), (F.col("k") < 4).alias("claim"), F.lit(NOW).cast("timestamp_ntz").alias("at"), F.col("k").cast("long").alias("request"))
+    moved, outcomes = transitions.apply_handoff_moves(asked, d.handoffs, _facts(d), F.lit(NOW).cast("timestamp_ntz"))
+    return outcomes.join(moved.select("project_id", "id", "state"), ["project_id", "id"]).select("id", F.col("request").alias("k"), "target", "denial", "state")
+
+
 # Sets
 
 

@@ -134,4 +134,5 @@ def with_views(query: str) -> str:
     body = query.strip()
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+    recursive = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + (",\n" + body[5 + len(recursive) :] if body.upper().startswith("WITH ") else "\n" + body)
