@@ -13,6 +13,8 @@ from worklog.sources.shared import stored
 MERGE_EVERY = 8
 #: Edges that a round goes at most, and ways for each edge that are worth it.
 HOPS, WAYS = 8, 10
+#: Rounds after which levels are taken as they are.
+LEVEL_ROUNDS = 32
 
 
 def dependency_summary(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -54,50 +56,139 @@ def demote_on_new_dependency(tasks: DataFrame, new_edges: DataFrame) -> DataFram
     return tasks.join(hit, ["project_id", "id"], "left").withColumn("status", F.when(demoted, "planned").otherwise(F.col("status"))).select(*tasks.columns)
 
 
-def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+def would_cycle(edges: DataFrame, candidates: DataFrame, walked: list[int] | None = None) -> DataFrame:
     """Add verdict to candidate edges (project_id, task_id, prerequisite_task_id): self_dependency, cycle or ok.
 
-    A candidate closes a cycle if its prerequisite already reaches its task. All kinds of edge count. A frontier of
-    (start, task) pairs, one for all candidates with that prerequisite, walks the edges until it is empty, however long
-    the ways are. Candidates whose task nothing leads to or whose prerequisite leads nowhere are ok at once; a start
-    whose candidates are all closed goes no further; pairs seen before are left out. Each round goes up to ``HOPS``
-    edges, as long as those ways are not many more than the edges.
+    A candidate closes a cycle if its prerequisite already reaches its task. All kinds of edge count, and each candidate is
+    judged by the edges alone; see would_cycle_in_order for candidates that see those before them.
+
+    1. Candidates whose task nothing leads to or whose prerequisite leads nowhere are ok.
+    2. Tasks get levels: an edge leads to a lower level, but for some exceptions if the edges have cycles of their own or
+       very long ways. So a prerequisite reaches its task only from a higher level, or if it reaches an exception; the
+       others are ok.
+    3. For what is left a frontier of (start, task) pairs, one for all candidates with that prerequisite, walks the edges
+       until it is empty. Pairs below the levels of all the start's open goals, pairs seen before, and starts whose
+       candidates are all closed go no further. Each round goes up to ``HOPS`` edges, as long as those ways are not many
+       more than the edges.
+
+    walked, if given, takes the number of pairs of each round.
     """
     spark = edges.sparkSession
     pair = ["project_id", "task_id", "prerequisite_task_id"]
     step = stored(edges.select("project_id", F.col("task_id").alias("_at"), F.col("prerequisite_task_id").alias("_next")).distinct(), "steps")
     pairs = candidates.select(*pair).distinct().filter("task_id <> prerequisite_task_id")
     asked = pairs.select("project_id", F.col("prerequisite_task_id").alias("_start"), F.col("task_id").alias("_goal"))
-    met = asked.join(step.select("project_id", F.col("_next").alias("_goal")), ["project_id", "_goal"], "left_semi")
-    live = stored(met.join(step.select("project_id", F.col("_at").alias("_start")), ["project_id", "_start"], "left_semi"), "live-candidates")
     ways = _ways(step)
-    frontier = stored(live.select("project_id", "_start", F.col("_start").alias("_at"), F.lit(False).alias("_hit")).distinct(), "frontier")
-    seen, hits = [frontier], []
+    levels = _levels(step, ways)
+    # A task that no edge touches has no level: nothing leads to it and it leads nowhere.
+    met = asked.join(levels.select("project_id", F.col("_at").alias("_start"), F.col("_level").alias("_from"), F.col("_odd").alias("_odd")), ["project_id", "_start"])
+    met = met.join(levels.select("project_id", F.col("_at").alias("_goal"), F.col("_level").alias("_to")), ["project_id", "_goal"])
+    live = stored(met.filter("_from > _to OR _odd").select("project_id", "_start", "_goal", "_to"), "live-candidates")
+    frontier = stored(live.groupBy("project_id", "_start").agg(F.min("_to").alias("_lowest")).select("project_id", "_start", F.col("_start").alias("_at"), F.lit(False).alias("_hit"), "_lowest"), "frontier")
+    seen, hits = [frontier.drop("_lowest")], []
     goals = live.select("project_id", "_start", F.col("_goal").alias("_at"), F.lit(True).alias("_hit"))
     while not frontier.isEmpty():
-        ahead = frontier.join(ways, ["project_id", "_at"]).select("project_id", "_start", F.col("_next").alias("_at")).distinct()
-        fresh = ahead.join(reduce(DataFrame.unionByName, seen).drop("_hit"), ["project_id", "_start", "_at"], "left_anti")
+        ahead = frontier.join(ways, ["project_id", "_at"]).select("project_id", "_start", F.col("_next").alias("_at"), "_lowest").distinct()
+        near = ahead.join(levels, ["project_id", "_at"]).filter("_level >= _lowest OR _odd").select("project_id", "_start", "_at")
+        fresh = near.join(reduce(DataFrame.unionByName, seen).drop("_hit"), ["project_id", "_start", "_at"], "left_anti")
         found = stored(fresh.join(goals, ["project_id", "_start", "_at"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))), "frontier")
+        if walked is not None:
+            walked.append(found.count())
         seen.append(found)
         hits.append(found.filter("_hit").select("project_id", "_start", F.col("_at").alias("_goal")))
         if len(seen) > MERGE_EVERY:
             seen, hits = [stored(reduce(DataFrame.unionByName, seen), "seen")], [stored(reduce(DataFrame.unionByName, hits), "closed")]
         waiting = live.join(reduce(DataFrame.unionByName, hits), ["project_id", "_start", "_goal"], "left_anti")
-        frontier = found.join(waiting.select("project_id", "_start").distinct(), ["project_id", "_start"], "left_semi")
-    empty = spark.createDataFrame([], live.schema)
+        frontier = found.join(waiting.groupBy("project_id", "_start").agg(F.min("_to").alias("_lowest")), ["project_id", "_start"])
+    empty = spark.createDataFrame([], live.drop("_to").schema)
     closing = reduce(DataFrame.unionByName, hits, empty).select("project_id", F.col("_goal").alias("task_id"), F.col("_start").alias("prerequisite_task_id"), F.lit("cycle").alias("_v")).distinct()
     verdict = F.when(F.col("task_id") == F.col("prerequisite_task_id"), "self_dependency").otherwise(F.coalesce("_v", F.lit("ok")))
     return candidates.join(closing, pair, "left").withColumn("verdict", verdict).select(*candidates.columns, "verdict")
 
 
 def _ways(step: DataFrame) -> DataFrame:
-    """The ways of at most so many edges, doubled while they are at most ``WAYS`` times as many as the edges."""
-    ways, hops, n = step, 1, step.count()
+    """The ways of at most so many edges and the length of each, doubled while they are at most ``WAYS`` times as many as the edges."""
+    ways, hops, n = step.withColumn("_length", F.lit(1)), 1, step.count()
     while hops < HOPS and n:
-        onward = ways.select("project_id", F.col("_at").alias("_next"), F.col("_next").alias("_far"))
-        longer = ways.unionByName(ways.join(onward, ["project_id", "_next"]).select("project_id", "_at", F.col("_far").alias("_next"))).distinct()
-        longer, hops = stored(longer, "ways"), 2 * hops
+        onward = ways.select("project_id", F.col("_at").alias("_next"), F.col("_next").alias("_far"), F.col("_length").alias("_more"))
+        longer = ways.unionByName(ways.join(onward, ["project_id", "_next"]).select("project_id", "_at", F.col("_far").alias("_next"), (F.col("_length") + F.col("_more")).alias("_length")))
+        longer, hops = stored(longer.groupBy("project_id", "_at", "_next").agg(F.max("_length").alias("_length")), "ways"), 2 * hops
         if longer.count() > WAYS * n:
             break
         ways = longer
     return ways
+
+
+def _levels(step: DataFrame, ways: DataFrame) -> DataFrame:
+    """project_id, _at, _level and _odd of each end of an edge: whether it reaches, or is at, an edge that does not lead to a lower level.
+
+    A level is the length of the longest way from there. Tasks whose level still grows when as many grew as the round
+    before are on cycles or lead to some, and after ``LEVEL_ROUNDS`` rounds on very long ways: edges among them stay exceptions.
+    """
+    ends = step.select("project_id", F.explode(F.array("_at", "_next")).alias("_at")).distinct()
+    levels, grown, last = stored(ends.withColumns({"_level": F.lit(0), "_grew": F.lit(True)}), "levels"), None, None
+    for _ in range(LEVEL_ROUNDS):
+        lower = levels.filter("_grew").select("project_id", F.col("_at").alias("_next"), "_level")
+        above = ways.join(lower, ["project_id", "_next"]).groupBy("project_id", "_at").agg(F.max(F.col("_level") + F.col("_length")).alias("_new"))
+        higher = F.coalesce(F.col("_new") > F.col("_level"), F.lit(False))
+        levels = stored(levels.join(above, ["project_id", "_at"], "left").select("project_id", "_at", F.when(higher, F.col("_new")).otherwise(F.col("_level")).alias("_level"), higher.alias("_grew")), "levels")
+        grown = levels.filter("_grew").count()
+        if not grown or grown == last:
+            break
+        last = grown
+    levels = levels.drop("_grew")
+    if not grown:
+        return levels.withColumn("_odd", F.lit(False))
+    side = lambda end, name: levels.select("project_id", F.col("_at").alias(end), F.col("_level").alias(name))
+    flat = step.join(side("_at", "_above"), ["project_id", "_at"]).join(side("_next", "_below"), ["project_id", "_next"]).filter("_above <= _below")
+    odd = frontier = stored(flat.select("project_id", "_at").distinct(), "odd")
+    back = ways.select("project_id", F.col("_next").alias("_at"), F.col("_at").alias("_before"))
+    while not frontier.isEmpty():
+        frontier = stored(frontier.join(back, ["project_id", "_at"]).select("project_id", F.col("_before").alias("_at")).distinct().join(odd, ["project_id", "_at"], "left_anti"), "odd-frontier")
+        odd = stored(odd.unionByName(frontier), "odd")
+    return stored(levels.join(odd.withColumn("_odd", F.lit(True)), ["project_id", "_at"], "left").withColumn("_odd", F.coalesce("_odd", F.lit(False))), "levels")
+
+
+def would_cycle_in_order(edges: DataFrame, candidates: DataFrame, order: str) -> DataFrame:
+    """Add verdict to candidates as if they were added one by one, in the order of a column: each sees those accepted before it.
+
+    Candidates with equal places in the order do not see each other; one that repeats an edge is judged like the first.
+
+    An edge that is on no cycle of edges and candidates together decides nothing, so only those on some cycle are looked
+    at. Each round walks from every open candidate over the edges before it: one that gets to its task over accepted
+    edges alone closes a cycle, and one that does not get there even over open ones is ok. A round settles at least the
+    first open candidate of each cycle.
+    """
+    pair = ["project_id", "task_id", "prerequisite_task_id"]
+    both = edges.select(*pair).unionByName(candidates.select(*pair)).filter("task_id <> prerequisite_task_id").distinct()
+    inside = stored(would_cycle(both, both).filter("verdict = 'cycle'").select(*pair), "edges-on-cycles")
+    none = F.lit(None).cast(candidates.schema[order].dataType)
+    old = edges.select(*pair).distinct().join(inside, pair, "left_semi").withColumns({"_turn": none, "_open": F.lit(False)})
+    waiting = stored(candidates.select(*pair, F.col(order).alias("_turn")).distinct().join(inside, pair, "left_semi"), "open-candidates")
+    accepted, closing = [old], []
+    while not waiting.isEmpty():
+        steps = stored(reduce(DataFrame.unionByName, accepted).unionByName(waiting.withColumn("_open", F.lit(True))), "ordered-steps")
+        reached = _reached(steps, waiting)
+        judged = stored(waiting.join(reached, [*pair, "_turn"], "left"), "judged")
+        closing.append(judged.filter("NOT _over_open").select(*pair, "_turn"))
+        accepted.append(judged.filter("_over_open IS NULL").select(*pair, "_turn", F.lit(False).alias("_open")))
+        waiting = judged.filter("_over_open").select(*pair, "_turn")
+    closed = reduce(DataFrame.unionByName, closing, edges.sparkSession.createDataFrame([], waiting.schema)).withColumns({order: F.col("_turn"), "_v": F.lit("cycle")}).drop("_turn").distinct()
+    verdict = F.when(F.col("task_id") == F.col("prerequisite_task_id"), "self_dependency").otherwise(F.coalesce("_v", F.lit("ok")))
+    return candidates.join(closed, [*pair, order], "left").withColumn("verdict", verdict).select(*candidates.columns, "verdict")
+
+
+def _reached(steps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates whose prerequisite reaches their task over steps before them, and whether only _over_open ones."""
+    key = ["project_id", "task_id", "prerequisite_task_id", "_turn"]
+    onward = steps.select("project_id", F.col("task_id").alias("_at"), F.col("prerequisite_task_id").alias("_next"), F.col("_turn").alias("_when"), "_open")
+    frontier = stored(candidates.select(*key, F.col("prerequisite_task_id").alias("_at"), F.lit(False).alias("_over_open")), "ordered-frontier")
+    seen = frontier
+    while not frontier.isEmpty():
+        ahead = frontier.join(onward, ["project_id", "_at"]).filter("_when IS NULL OR _when < _turn")
+        ahead = ahead.groupBy(*key, F.col("_next").alias("_at")).agg(F.min(F.col("_over_open") | F.col("_open")).alias("_over_open"))
+        before = seen.groupBy(*key, "_at").agg(F.min("_over_open").alias("_was"))
+        better = ahead.join(before, [*key, "_at"], "left").filter("_was IS NULL OR (_was AND NOT _over_open)").drop("_was")
+        frontier = stored(better, "ordered-frontier")
+        seen = stored(seen.unionByName(frontier), "ordered-seen")
+    return seen.filter("_at = task_id").groupBy(*key).agg(F.min("_over_open").alias("_over_open"))

@@ -457,6 +457,28 @@ def _(d: Demo) -> DataFrame:
     return deps.would_cycle(e, back.unionByName(e.select(*back.columns)).unionByName(own))
 
 
+#: Each customer's orders are a chain; a third of its links and a link from its first order to its last are asked for, in a mixed order.
+CHAINS = "SELECT project_id, id AS task_id, before AS prerequisite_task_id, number, CASE WHEN number % 3 = 0 THEN number * 7919 % 10007 + number / CAST(1000000000 AS DOUBLE) END AS turn FROM (SELECT id, project_id, number, lag(id) OVER (PARTITION BY customer_id ORDER BY created_at, id) AS before FROM"
+BACK = "SELECT min(project_id) AS project_id, min_by(id, struct(created_at, id)) AS task_id, max_by(id, struct(created_at, id)) AS prerequisite_task_id, CAST(count(*) * 1009 % 10007 AS DOUBLE) + 0.5 AS turn FROM"
+
+
+@query(
+    "f1_in_order",
+    f"""WITH c AS ({CHAINS} wl_tasks) x WHERE before IS NOT NULL), t AS (SELECT id, customer_id FROM wl_tasks),
+f AS (SELECT c.*, t.customer_id FROM c JOIN t ON t.id = c.task_id),
+b AS (SELECT customer_id, min(project_id) AS project_id, arg_min(id, (created_at, id)) AS task_id, arg_max(id, (created_at, id)) AS prerequisite_task_id, CAST(count(*) * 1009 % 10007 AS DOUBLE) + 0.5 AS turn FROM wl_tasks GROUP BY 1 HAVING count(*) > 1),
+m AS (SELECT customer_id, max(turn) AS last FROM f WHERE turn IS NOT NULL GROUP BY 1)
+SELECT b.project_id, b.task_id, b.prerequisite_task_id, CASE WHEN coalesce(m.last, 0) < b.turn THEN 'cycle' ELSE 'ok' END AS verdict FROM b LEFT JOIN m USING (customer_id)
+UNION ALL SELECT f.project_id, f.task_id, f.prerequisite_task_id, CASE WHEN f.turn = m.last AND b.turn < f.turn THEN 'cycle' ELSE 'ok' END FROM f JOIN b USING (customer_id) JOIN m USING (customer_id) WHERE f.turn IS NOT NULL""",
+)
+def _(d: Demo) -> DataFrame:
+    links = d.spark.sql(f"{CHAINS} {{t}}) x WHERE before IS NOT NULL", t=d.tasks)
+    back = d.spark.sql(f"{BACK} {{t}} GROUP BY customer_id HAVING count(*) > 1", t=d.tasks)
+    columns = ["project_id", "task_id", "prerequisite_task_id"]
+    asked = links.filter("turn IS NOT NULL").select(*columns, "turn").unionByName(back)
+    return deps.would_cycle_in_order(links.filter("turn IS NULL").select(*columns), asked, "turn").select(*columns, "verdict")
+
+
 @query("f2_incomplete", "SELECT d.project_id, d.task_id, d.prerequisite_task_id, q.status FROM wl_task_dependencies d JOIN wl_tasks q ON q.id = d.prerequisite_task_id AND q.project_id = d.project_id WHERE d.kind = 'strong' AND q.status NOT IN ('completed', 'cancelled')")
 def _(d: Demo) -> DataFrame:
     return deps.incomplete_prerequisites(d.task_dependencies, d.tasks)
