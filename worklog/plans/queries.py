@@ -519,6 +519,28 @@ def _(d: Demo) -> DataFrame:
     return graph.focus_subgraph(d.graph_nodes, d.graph_edges, "part-7", 2)[1].select("source_id", "target_id", "relation_type")
 
 
+#: Two projects, one with the dependencies alone.
+TWO_GRAPHS = "SELECT source_id, target_id, project_id, relation_type FROM {0} UNION ALL SELECT source_id, target_id, 'P1', relation_type FROM {0} WHERE relation_type = 'depends_on'"
+#: By id, by the end of several names, without a node, by name, without steps.
+FOCI = "SELECT * FROM VALUES ('P0', 'part-7', 2), ('P0', '/10', 1), ('P0', 'no such node', 1), ('P1', 'no such node', 3), ('P1', 'supplier-3', 1), ('P0', 'supplier-5', 0) AS f(project_id, focus, depth)"
+
+
+@query(
+    "f7_foci",
+    f"""WITH n AS (SELECT id, name, project_id FROM wl_graph_nodes UNION ALL SELECT id, name, 'P1' FROM wl_graph_nodes), e AS ({TWO_GRAPHS.format("wl_graph_edges")}),
+u AS (SELECT project_id, source_id AS a, target_id AS b FROM e UNION SELECT project_id, target_id, source_id FROM e), f AS ({FOCI.replace("FROM VALUES", "FROM (VALUES").replace(" AS f(", ") AS f(")}),
+s AS (SELECT f.project_id, focus, depth, min(id) AS id FROM f JOIN n ON n.project_id = f.project_id AND (n.id = focus OR ends_with(n.name, focus)) GROUP BY ALL),
+one AS (SELECT project_id, focus, depth, id FROM s UNION SELECT s.project_id, focus, depth, b FROM s JOIN u ON u.project_id = s.project_id AND u.a = s.id WHERE depth > 0),
+two AS (SELECT * FROM one UNION SELECT one.project_id, focus, depth, b FROM one JOIN u ON u.project_id = one.project_id AND u.a = one.id WHERE depth > 1)
+SELECT e.project_id, x.focus, x.depth, e.source_id, e.target_id, e.relation_type FROM e JOIN two x ON x.project_id = e.project_id AND x.id = e.source_id JOIN two y ON y.project_id = e.project_id AND y.id = e.target_id AND y.focus = x.focus AND y.depth = x.depth
+UNION ALL SELECT e.project_id, f.focus, f.depth, e.source_id, e.target_id, e.relation_type FROM e JOIN f ON f.project_id = e.project_id WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.project_id = f.project_id AND s.focus = f.focus)""",
+)
+def _(d: Demo) -> DataFrame:
+    nodes = d.graph_nodes.unionByName(d.graph_nodes.withColumn("project_id", F.lit("P1")))
+    edges = d.spark.sql(TWO_GRAPHS.format("{e}"), e=d.graph_edges)
+    return graph.focus_subgraphs(nodes, edges, d.spark.sql(FOCI))[1].select("project_id", "focus", "depth", "source_id", "target_id", "relation_type")
+
+
 @query("f8_module_graph", "WITH m AS (SELECT id, concat(split_part(name, '/', 1), '/', split_part(name, '/', 2)) AS module FROM wl_graph_nodes) SELECT DISTINCT s.module AS source, t.module AS target, e.relation_type FROM wl_graph_edges e JOIN m s ON s.id = e.source_id JOIN m t ON t.id = e.target_id WHERE s.module <> t.module")
 def _(d: Demo) -> DataFrame:
     return graph.module_graph(d.graph_nodes, d.graph_edges)[1].select("source", "target", "relation_type")
