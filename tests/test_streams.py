@@ -26,8 +26,10 @@ def log(spark, tmp_path):
 
 
 def run(df, name, mode, spark):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    with streams.keyed_state(spark):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert q.exception() is None
     return spark.table(name).collect()
 
 
@@ -41,6 +43,42 @@ def test_ingest(spark, log, tmp_path):
     assert {r.id for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {"e003", "e004"}
 
 
+def test_ingest_accounts_for_every_row(spark, log, tmp_path):
+    """Good, rejected, doubled and late rows are all rows; a batch that is written again adds nothing."""
+    first = [event(n, minutes=100 + n) for n in range(5)] + [event(2, minutes=102), event(7, payload="{bad"), (None, *event(8)[1:])]
+    path = log(first, [event(50, minutes=1), event(1, minutes=101), event(9, minutes=300)], [event(51, minutes=2), event(10, minutes=301)])
+    out, state, bad = (str(tmp_path / x) for x in ("out", "cp", "bad"))
+    (q,) = streams.ingest_events(streams.read_events(spark, path, 1), out, state, bad, "1 hour")
+    q.awaitTermination(120)
+    report = streams.ingest_report(q)
+    assert report == {"source": 13, "rejected": 2, "duplicate": 2, "late": 2, "good": 7} or report == {"source": 13, "rejected": 2, "duplicate": 2, "late": 1, "good": 8}
+    count = lambda p: spark.read.parquet(p).count()
+    assert (count(out), count(bad)) == (report["good"], report["rejected"])
+    for n in (tmp_path / "cp" / "commits").glob("[0-9]*"):
+        n.unlink()  # as if the query had been killed before its batches were marked as done
+    for f in (tmp_path / "cp" / "commits").glob(".*"):
+        f.unlink()
+    (q,) = streams.ingest_events(streams.read_events(spark, path, 1), out, state, bad, "1 hour")
+    q.awaitTermination(120)
+    assert (count(out), count(bad)) == (report["good"], report["rejected"])
+
+
+def test_live_counts_at_every_trigger(spark, log, tmp_path):
+    rows = [event(n, minutes=37 * n, kind=["task.started", "task.blocked"][n % 2]) for n in range(80)]
+    parts = [rows[:30], rows[10:20] + rows[30:60], rows[60:]]
+    out, state, given, want = str(tmp_path / "out"), str(tmp_path / "cp"), [], {}
+    for part in parts:
+        spark.createDataFrame(part, SCHEMAS["events"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "live"))
+        path = str(tmp_path / "live")
+        streams.upsert_counts(streams.running_event_counts(streams.read_events(spark, path), watermark="10 days"), out, state).awaitTermination(120)
+        given += part
+        want = {}
+        for r in given:
+            key = (r[2], r[6].replace(minute=0))
+            want[key] = want.get(key, 0) + 1
+        assert {(r.type, r.start): r.events for r in spark.read.parquet(out).collect()} == want
+
+
 def test_counts_are_those_of_a_batch(spark, log):
     rows = [event(n, minutes=7 * n, kind=["task.started", "task.blocked"][n % 2]) for n in range(40)]
     path = log(rows[:20], rows[20:])
@@ -55,6 +93,7 @@ def test_counts_are_those_of_a_batch(spark, log):
 def test_stale_sessions(spark, log):
     path = log([event(1, minutes=0), event(2, minutes=60), event(3, minutes=0, session="r")], [event(4, minutes=600, session="q")], [event(5, minutes=601, session="q")])
     got = run(streams.detect_stale(streams.read_events(spark, path, 1)), "stale", "append", spark)
+    assert {(r.agent_id, r.task_id) for r in got} == {("a", "t")}
     assert {(r.session_id, r.last_activity_at, r.stale_at) for r in got} == {("s", START + timedelta(minutes=60), START + timedelta(minutes=180)), ("r", START, START + timedelta(minutes=120))}
 
 
@@ -94,3 +133,20 @@ def test_session_guard(spark, log):
     got = sorted(run(streams.guard_sessions(streams.read_events(spark, path)), "sessions", "append", spark), key=lambda r: r.id)
     assert [r.verdict for r in got] == ["allowed", "allowed", "denied", "allowed", "allowed", "denied", "denied"]
     assert [r.after for r in got] == ["active", "paused", "paused", "active", "ended", "ended", "ended"]
+
+
+def state_rows(spark, path):
+    return spark.read.format("statestore").option("stateVarName", "known").load(path).count()
+
+
+def test_silent_tasks_are_forgotten(spark, log, tmp_path):
+    """State of a task goes when it has been silent for long, and the task begins anew."""
+    day = 24 * 60
+    path = log([event(0, "task.claimed", 0), event(1, "task.claimed", 1, task="u")], [event(2, "task.claimed", 2 * day, task="v")], [event(3, "task.claimed", 4 * day), event(4, "task.started", 4 * day, task="w")], [event(5, "task.started", 5 * day, task="x")])
+    for keep, verdict, held in ((day * 60_000, "allowed", 3), (None, "TASK_ALREADY_CLAIMED", 5)):
+        guard = streams.guard_transitions(streams.read_events(spark, path, 1), keep_ms=keep)
+        with streams.keyed_state(spark):
+            q = guard.writeStream.format("memory").queryName(f"kept{bool(keep)}").option("checkpointLocation", str(tmp_path / f"cp{bool(keep)}")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+            assert {r.id: r.verdict for r in spark.table(f"kept{bool(keep)}").collect()}["e003"] == verdict
+            assert state_rows(spark, str(tmp_path / f"cp{bool(keep)}")) <= held

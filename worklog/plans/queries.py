@@ -945,7 +945,8 @@ def _stream(d: Demo) -> DataFrame:
 def _ended(d: Demo, df: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there and read what it wrote."""
     out, state = shared_folder(d.spark, name), shared_folder(d.spark, f"{name}-state")
-    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    with streams.keyed_state(d.spark):
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).outputMode("append").start().awaitTermination()
     return d.spark.read.schema(df.schema).parquet(out)
 
 
@@ -962,6 +963,20 @@ def _(d: Demo) -> DataFrame:
     return _ended(d, streams.running_event_counts(_stream(d)), "counts").withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
 
 
+@query("i1_report", "SELECT count(*) AS source, count(*) FILTER (WHERE event_id % 100 = 0) AS rejected, CAST(0 AS BIGINT) AS duplicate, CAST(0 AS BIGINT) AS late, count(*) FILTER (WHERE event_id % 100 <> 0) AS good FROM events")
+def _(d: Demo) -> DataFrame:
+    (q,) = streams.ingest_events(_stream(d), shared_folder(d.spark, "ingested"), shared_folder(d.spark, "ingest-state"), shared_folder(d.spark, "rejected"))
+    q.awaitTermination()
+    return d.spark.createDataFrame([streams.ingest_report(q)], "source long, rejected long, duplicate long, late long, good long")
+
+
+@query("i2_live_counts", f"SELECT concat('P', CAST(user_id % 5 AS STRING)) AS project_id, {EVENT_TYPES} AS type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, count(*) AS events FROM events GROUP BY ALL")
+def _(d: Demo) -> DataFrame:
+    out, state = shared_folder(d.spark, "live-counts"), shared_folder(d.spark, "live-counts-state")
+    streams.upsert_counts(streams.running_event_counts(_stream(d)), out, state).awaitTermination()
+    return d.spark.read.parquet(out).select("project_id", "type", F.date_format("start", "yyyy-MM-dd HH").alias("start"), "events")
+
+
 @query(
     "i3_stale_sessions",
     """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
