@@ -34,6 +34,8 @@ from .rolling import mixed, word_hashes
 ROWS, MISS, SKETCH_BITS, SLACK = 5, 1e-7, 512, 6.5
 #: Classes and shingles in a block, and the likeliest partners that a class picks.
 BLOCK_ROWS, BLOCK_SHINGLES, NEAREST = 256, 1 << 20, 3
+#: Classes that are few enough to go to every task, a few megabytes, so that the texts stay where they are.
+FEW = 1 << 17
 SEED = 20
 
 
@@ -109,10 +111,10 @@ def _mark(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, few: bool = False) -> DataFrame:
     """class and shingles, its set, of wanted classes (class, least), from the text of each one's least document.
 
-    Their number grows with the documents, so the texts come by a merge join at every size.
+    Their number grows with the documents, so the texts come by a merge join at every size, unless they are known to be few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int
             keep = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"]).filter(keep)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("_text")).join(wanted.hint("merge"), "least")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(wanted) if few else wanted.hint("merge"), "least")
     # Where rows repeat an identifier, a class may be met twice, with the same set.
     return texts.select("_text", "class").mapInArrow(run, "class binary, shingles binary").dropDuplicates(["class"])
 
@@ -343,8 +345,9 @@ def _class_groups(docs: DataFrame, digests: DataFrame, id_col: str, text_col: st
         rows = clusters.join(labels.withColumnRenamed("node", "class"), "class", "left").join(classes.select("class", "n"), "class").select("cluster", "class", "n", component)
         tasks = _across_blocks(rows, "cluster").join(sketches.select("class", "odd"), "class")
         lacking = common.stored(clusters.join(sets, "class", "left_anti").join(classes.select("class", "least"), "class"), "wanted")
-        if not lacking.isEmpty():  # classes that met their partners in other blocks only
-            sets = sets.unionByName(common.stored(_sets(docs, lacking, id_col, text_col, k), "sets"))
+        n = lacking.count()
+        if n:  # classes that met their partners in other blocks only
+            sets = sets.unionByName(common.stored(_sets(docs, lacking, id_col, text_col, k, few=n <= FEW), "sets"))
         more = common.stored(_links_of_tasks(tasks.join(sets, "class"), percent), "links")
         labels = common.stored(components(links.unionByName(more)), "labels")
 
