@@ -5,10 +5,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worklog.sources.shared import stored
+from worklog.sources.shared import remove, scratch, stored
 
 
 def _plain(char: str) -> str | None:
@@ -45,19 +45,92 @@ def union_hits(*dfs: DataFrame) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, in lower case, without accents, whether these are part of a letter or marks behind it."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _bare), lambda t: t != "")
+    """Runs of letters and digits, in lower case, without accents, whether these are part of a letter or marks behind it.
+
+    Marks are part of runs and letters stay letters, so the whole text is made plain at once.
+    """
+    return F.regexp_extract_all(_bare(text), F.lit(WORD), F.lit(0))
 
 
 def _bare(word: Column) -> Column:
     return F.lower(F.translate(F.regexp_replace(word, r"\p{M}+", ""), ACCENTED, PLAIN))
 
 
+def _tokenised(corpus: DataFrame) -> DataFrame:
+    return corpus.select("project_id", "kind", "doc_id", "task_id", tokens(F.coalesce("body", F.lit(""))).alias("_t"))
+
+
+def _postings(tokenised: DataFrame) -> DataFrame:
+    opened = tokenised.select("project_id", "kind", "doc_id", "task_id", F.size("_t").alias("doc_len"), F.posexplode("_t").alias("_pos", "term"))
+    return opened.groupBy("project_id", "kind", "doc_id", "task_id", "term", "doc_len").agg(F.sort_array(F.collect_list("_pos")).alias("positions"))
+
+
 def build_index(corpus: DataFrame) -> DataFrame:
     """project_id, kind, doc_id, task_id, term, positions, doc_len: a posting for each term of each record."""
-    rows = corpus.select("project_id", "kind", "doc_id", "task_id", tokens(F.coalesce("body", F.lit(""))).alias("_t"))
-    opened = rows.select("project_id", "kind", "doc_id", "task_id", F.size("_t").alias("doc_len"), F.posexplode("_t").alias("_pos", "term"))
-    return opened.groupBy("project_id", "kind", "doc_id", "task_id", "term", "doc_len").agg(F.sort_array(F.collect_list("_pos")).alias("positions"))
+    return _postings(_tokenised(corpus))
+
+
+class StoredIndex:
+    """An index as two tables below a path: postings by buckets of terms, documents (each record, its length and the buckets
+    of its terms) by buckets of records. A refresh writes only the buckets that changed records have or had."""
+
+    DOC = ["project_id", "kind", "doc_id"]
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _bucket(self, *columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
+
+    def write(self, corpus: DataFrame) -> StoredIndex:
+        """Write the whole index anew. The corpus is taken apart once."""
+        with scratch(self.spark):
+            for name, df in self._parts(stored(_tokenised(corpus), "tokenised")).items():
+                df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return self
+
+    def _parts(self, tokenised: DataFrame) -> dict[str, DataFrame]:
+        terms = F.array_sort(F.array_distinct(F.transform("_t", lambda t: F.pmod(F.xxhash64(t), F.lit(self.buckets)).cast("int"))))
+        documents = tokenised.select(*self.DOC, "task_id", F.size("_t").alias("doc_len"), terms.alias("term_buckets"), self._bucket(*self.DOC).alias("bucket"))
+        return {"postings": _postings(tokenised).withColumn("bucket", self._bucket("term")), "documents": documents}
+
+    @property
+    def postings(self) -> DataFrame:
+        """What build_index gives."""
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/documents")
+
+    def stats(self) -> DataFrame:
+        """What index_stats gives, from the stored lengths."""
+        return self.documents.groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+
+    def postings_of(self, leaves: DataFrame) -> DataFrame:
+        """The postings that leaves of queries can meet: of the buckets of their terms, or of all where one has a prefix."""
+        asked = leaves.filter("error IS NULL").select("is_prefix", F.explode("terms").alias("term")).select("is_prefix", self._bucket("term").alias("bucket")).distinct().collect()
+        return self.postings if any(r.is_prefix for r in asked) else self.postings.filter(F.col("bucket").isin(sorted({r.bucket for r in asked})))
+
+    def refresh(self, changed: DataFrame) -> None:
+        """Replace the records that changed has, by project, kind and identifier; a null body removes one.
+
+        What a bucket will hold is written aside first and then put in its place, so a refresh that was broken off can be
+        run again.
+        """
+        with scratch(self.spark):
+            keys = stored(changed.select(*self.DOC).distinct(), "changed-records")
+            new = self._parts(stored(_tokenised(changed.filter("body IS NOT NULL")), "tokenised"))
+            old = self.documents.join(keys.withColumn("bucket", self._bucket(*self.DOC)), [*self.DOC, "bucket"], "left_semi")
+            terms = old.select(F.explode("term_buckets").alias("bucket")).union(new["postings"].select("bucket")).distinct()
+            records = keys.select(self._bucket(*self.DOC).alias("bucket")).distinct()
+            for name, touched in (("postings", terms), ("documents", records)):
+                numbers = sorted(r.bucket for r in touched.collect())
+                kept = self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("bucket").isin(numbers)).join(keys, self.DOC, "left_anti")
+                after = stored(kept.unionByName(new[name]), name)
+                after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+                for bucket in {*numbers} - {r.bucket for r in after.select("bucket").distinct().collect()}:
+                    remove(self.spark, f"{self.path}/{name}/bucket={bucket}")
 
 
 def refresh_index(index: DataFrame, changed: DataFrame) -> DataFrame:
@@ -102,17 +175,19 @@ def match_leaves(index: DataFrame, leaves: DataFrame) -> DataFrame:
     """query_id, leaf, kind, doc_id, project_id, task_id, doc_len, hits: how often each leaf occurs in each record.
 
     Each term of a leaf is joined to the postings; the positions, shifted back by the term's place, meet in those where
-    the phrase starts. A prefix is joined to the terms of the dictionary that begin with it.
+    the phrase starts. A prefix is joined to the terms of the dictionary that begin with it,
+    whose number alone, and not that of all terms, tells how many rows go on.
     """
     keys = ["query_id", "leaf", "project_id", "kind", "doc_id", "task_id", "doc_len"]
     asked = leaves.filter("error IS NULL").select("query_id", "leaf", "is_prefix", F.size("terms").alias("_n"), F.posexplode("terms").alias("_place", "_term"))
     last = F.col("is_prefix") & (F.col("_place") == F.col("_n") - 1)
     exact = asked.filter(~last).select("query_id", "leaf", "_n", "_place", F.col("_term").alias("term"))
     prefix = asked.filter(last).withColumn("_len", F.length("_term"))
-    # Terms share the first letter with the prefix they begin with, so the dictionary is joined on it.
-    terms = index.select("term").distinct().withColumn("_first", F.left("term", F.lit(1)))
-    opened = prefix.withColumn("_first", F.left("_term", F.lit(1))).join(terms, "_first").filter(F.left("term", F.col("_len")) == F.col("_term")).select("query_id", "leaf", "_n", "_place", "term")
-    wanted = exact.unionByName(opened)
+    wanted, lengths = exact, [r["_len"] for r in prefix.select("_len").distinct().collect()]
+    if lengths:  # terms of the dictionary, cut to the lengths that are asked for, are equal to their prefixes
+        cut = index.select("term").distinct().select("term", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len")).filter(F.char_length("term") >= F.col("_len"))
+        begun = cut.withColumn("_term", F.left("term", F.col("_len"))).join(prefix, ["_term", "_len"])
+        wanted = exact.unionByName(begun.select("query_id", "leaf", "_n", "_place", "term"))
     found = index.join(wanted, "term").select(*keys, "_n", "_place", F.transform("positions", lambda p: p - F.col("_place")).alias("_at"))
     merged = found.groupBy(*keys, "_n", "_place").agg(F.array_distinct(F.flatten(F.collect_list("_at"))).alias("_at"))
     meet = merged.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_places"), F.collect_list("_at").alias("_all")).filter("_places = _n")

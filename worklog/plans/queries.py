@@ -860,7 +860,8 @@ ASK = [(1, "the"), (2, "of the"), (3, '"and attion"'), (4, "and NOT the"), (5, "
 
 def _search(d: Demo):
     corpus = d.spark.sql(CORPUS, documents=d["documents"], benchmark=d["benchmark"], conversations=d["conversations"], pages=d["pages"])
-    return corpus, stored(search.build_index(corpus), "search-index"), search.index_stats(corpus), d.spark.createDataFrame(ASK, "query_id long, text string")
+    index = search.StoredIndex(d.spark, shared_folder(d.spark, "search-index"), 16).write(corpus)
+    return corpus, index.postings, index.stats(), d.spark.createDataFrame(ASK, "query_id long, text string")
 
 
 ACCENTS = "lower(strip_accents(unnest(regexp_extract_all(body, '[\\p{L}\\p{N}\\p{M}]+'))))"
@@ -893,6 +894,20 @@ def _(d: Demo) -> DataFrame:
     return index.select("kind", "doc_id", "term", F.array_join(F.col("positions").cast("array<string>"), "|").alias("positions"))
 
 
+@query(
+    "g2_refresh",
+    f"""WITH {TOKENS}, m AS (SELECT kind, doc_id, CAST(doc_id AS BIGINT) % 10 AS r FROM c)
+SELECT k.kind, k.doc_id, term, string_agg(pos, '|' ORDER BY pos) AS positions FROM k JOIN m USING (kind, doc_id) WHERE r > 1 GROUP BY ALL
+UNION ALL SELECT kind, doc_id, 'changed', '0' FROM m WHERE r = 1 UNION ALL SELECT kind, doc_id, 'record', '1' FROM m WHERE r = 1""",
+)
+def _(d: Demo) -> DataFrame:
+    corpus = d.spark.sql(CORPUS, documents=d["documents"], benchmark=d["benchmark"], conversations=d["conversations"], pages=d["pages"])
+    index = search.StoredIndex(d.spark, shared_folder(d.spark, "search-index"), 16).write(corpus)
+    last = F.col("doc_id").cast("long") % 10
+    index.refresh(corpus.filter(last < 2).withColumn("body", F.when(last == 1, "Chängéd record")))
+    return index.postings.select("kind", "doc_id", "term", F.array_join(F.col("positions").cast("array<string>"), "|").alias("positions"))
+
+
 RANKED = f"""WITH {TOKENS}, len AS (SELECT c.kind, c.doc_id, (SELECT count(*) FROM k WHERE k.kind = c.kind AND k.doc_id = c.doc_id) AS n FROM c), st AS (SELECT kind, count(*) AS docs, avg(n) AS avglen FROM len GROUP BY 1),
 m AS (SELECT 1 AS query_id, 0 AS leaf, 0 AS g, false AS neg, kind, doc_id, count(*) AS f FROM k WHERE term = 'the' GROUP BY ALL
  UNION ALL SELECT 2, 0, 0, false, kind, doc_id, count(*) FROM k WHERE term = 'of' GROUP BY ALL UNION ALL SELECT 2, 1, 0, false, kind, doc_id, count(*) FROM k WHERE term = 'the' GROUP BY ALL

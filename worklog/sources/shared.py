@@ -8,11 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_scopes: list[list[str]] = []
+#: The scopes that the running thread is in; others have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("_scopes", default=())
 
 
 def shared_folder(spark: SparkSession, name: str, outlive: bool = False) -> str:
@@ -29,8 +31,9 @@ def shared_folder(spark: SparkSession, name: str, outlive: bool = False) -> str:
             atexit.register(shutil.rmtree, _own["base"], True)
         base = f"file://{_own['base']}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if len(_scopes) > outlive:
-        _scopes[-1 - outlive].append(path)
+    scopes = _scopes.get()
+    if len(scopes) > outlive:
+        scopes[-1 - outlive].append(path)
     return path
 
 
@@ -38,11 +41,11 @@ def shared_folder(spark: SparkSession, name: str, outlive: bool = False) -> str:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove at the end the folders that shared_folder gives within; results that read them have to be written before."""
     paths: list[str] = []
-    _scopes.append(paths)
+    before = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        _scopes[:] = [s for s in _scopes if s is not paths]
+        _scopes.reset(before)
         for path in paths:
             remove(spark, path)
 
