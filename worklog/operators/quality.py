@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from worklog.schema import ENUMS, SCHEMAS
@@ -115,3 +115,27 @@ def health_report(checks: dict[str, tuple[str, DataFrame, Column]], examples: in
     bad = F.count_if(F.col("status").isin("warning", "error"))
     overall = out.agg(bad.alias("count")).select(F.lit("overall").alias("check_name"), F.when(F.col("count") > 0, "issues_found").otherwise("healthy").alias("status"), "count", F.array().cast("array<string>").alias("examples"))
     return out.unionByName(overall)
+
+
+def row_health(tables: dict[str, DataFrame], checks: dict[str, tuple[str, str, Column]], examples: int = 5, id_col: str = "id") -> DataFrame:
+    """health_report of conditions on rows: checks are (severity, table, condition that a sound row meets).
+
+    Each table is gone through once, however many checks it has: the rows that break any go on, each with its checks, to
+    the few examples, and what passes by is counted on the way (DataFrame.observe). What comes to the driver is a number
+    and a few identifiers for each check. A condition that is null counts as broken.
+    """
+    found = {}
+    for table in dict.fromkeys(t for _, t, _ in checks.values()):
+        rules = {n: ok for n, (_, t, ok) in checks.items() if t == table}
+        broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]))
+        seen = Observation()
+        rows = tables[table].select(F.col(id_col).cast("string").alias("id"), broken.alias("_broken"))
+        counted = rows.observe(seen, *[F.count_if(F.array_contains("_broken", n)).alias(f"n{i}") for i, n in enumerate(rules)])
+        order = Window.partitionBy("check_name").orderBy("id")
+        few = counted.select("id", F.explode("_broken").alias("check_name")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= examples).orderBy("check_name", "_r").collect()
+        for i, name in enumerate(rules):
+            found[name] = (seen.get[f"n{i}"], [r.id for r in few if r.check_name == name])
+    out = [(name, severity if found[name][0] else "ok", *found[name]) for name, (severity, _, _) in checks.items()]
+    bad = sum(status in ("warning", "error") for _, status, _, _ in out)
+    out.append(("overall", "issues_found" if bad else "healthy", bad, []))
+    return next(iter(tables.values())).sparkSession.createDataFrame(out, "check_name string, status string, count long, examples array<string>")

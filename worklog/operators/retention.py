@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklog.sources.shared import exists, move, remove
+
 CHILDREN = ["checkpoints", "progress_items", "scopes", "decisions", "handoffs"]
 
 
@@ -42,9 +46,46 @@ def _unlinked(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return rows.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*df.columns)
 
 
-def write_archive(archived: dict[str, DataFrame], folder: str) -> None:
+def write_archive(archived: dict[str, DataFrame], folder: str, run: str | None = None) -> None:
+    """Archived rows, below each table's name in the folder, as the part of a run; without a name each call is a run.
+
+    A run that is written again takes its own place.
+    """
+    run = run or uuid.uuid4().hex
     for name, df in archived.items():
-        df.write.mode("append").partitionBy("project_id").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").partitionBy("project_id").parquet(f"{folder}/{name}/run={run}")
+
+
+def retire(spark: SparkSession, paths: dict[str, str], folder: str, run: str, now: Column, days: int) -> None:
+    """archive_completed over stored tables: what is archived goes below the folder, as write_archive's, and the tables at
+    the paths keep the rest.
+
+    Both sides are staged first and marked as whole. Then archives are moved to their place, and only then the tables are
+    put in the place of the old ones, which stay below _runs until all are there. Each step sees what is done already: a
+    run that was killed anywhere is finished by the same call, and one that is done changes nothing.
+    """
+    own = f"{folder}/_runs/{run}"
+    if exists(spark, f"{own}/done"):
+        return
+    if not exists(spark, f"{own}/staged"):
+        for side, tables in zip(("kept", "archived"), archive_completed({n: spark.read.parquet(p) for n, p in paths.items()}, now, days), strict=True):
+            for name, df in tables.items():
+                df.write.mode("overwrite").parquet(f"{own}/{side}/{name}")
+        _mark(spark, f"{own}/staged")
+    for name in paths:
+        if exists(spark, f"{own}/archived/{name}"):
+            move(spark, f"{own}/archived/{name}", f"{folder}/{name}/run={run}")
+    for name, path in paths.items():
+        if exists(spark, f"{own}/kept/{name}"):
+            if exists(spark, path):
+                move(spark, path, f"{own}/old/{name}")
+            move(spark, f"{own}/kept/{name}", path)
+    _mark(spark, f"{own}/done")
+    remove(spark, f"{own}/old")
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    spark.range(1).write.mode("overwrite").parquet(path)
 
 
 def prune_registry(registered: DataFrame, observed: DataFrame, sessions: DataFrame, checkpoints: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -817,6 +817,26 @@ def _(d: Demo) -> DataFrame:
     return quality.health_report(checks).withColumn("examples", joined("examples"))
 
 
+@query(
+    "k7_row_health",
+    """WITH c AS (SELECT 'progress_content' AS check_name, 'error' AS status, id FROM wl_progress_items WHERE content LIKE 'part 1%' UNION ALL SELECT 'progress_percentage', 'warning', id FROM wl_progress_items WHERE percentage > 100 UNION ALL SELECT 'progress_source', 'info', id FROM wl_progress_items WHERE source_session_id LIKE '%7-1'
+  UNION ALL SELECT 'task_owner', 'info', id FROM wl_tasks WHERE owner_agent_id IS NULL UNION ALL SELECT 'task_times', 'warning', id FROM wl_tasks WHERE status = 'completed' AND completed_at < created_at + INTERVAL '3' DAY UNION ALL SELECT 'session_end', 'error', id FROM wl_sessions WHERE state = 'ended' AND ended_at IS NULL),
+n AS (SELECT check_name, status, count(*) AS count, array_to_string(list_sort(list(id))[1:5], '|') AS examples FROM c GROUP BY ALL)
+SELECT * FROM n UNION ALL SELECT 'session_end', 'ok', 0, '' UNION ALL SELECT 'overall', 'issues_found', (SELECT count(*) FROM n WHERE status <> 'info'), ''""",
+)
+def _(d: Demo) -> DataFrame:
+    named = {"progress_items": d.progress_items, "tasks": d.tasks, "sessions": d.sessions}
+    checks = {
+        "progress_content": ("error", "progress_items", ~F.col("content").startswith("part 1")),
+        "progress_percentage": ("warning", "progress_items", quality.in_range("percentage", 0, 100)),
+        "progress_source": ("info", "progress_items", ~F.col("source_session_id").endswith("7-1")),
+        "task_owner": ("info", "tasks", F.col("owner_agent_id").isNotNull()),
+        "task_times": ("warning", "tasks", (F.col("status") != "completed") | (F.col("completed_at") >= F.col("created_at") + F.expr("INTERVAL 3 DAY"))),
+        "session_end": ("error", "sessions", (F.col("state") != "ended") | F.col("ended_at").isNotNull()),
+    }
+    return quality.row_health(named, checks).withColumn("examples", joined("examples"))
+
+
 GONE = "(SELECT id FROM wl_tasks WHERE status = 'completed' AND updated_at < TIMESTAMP '2001-09-01' - INTERVAL 1000 DAY)"
 
 
@@ -845,6 +865,31 @@ def _(d: Demo) -> DataFrame:
     return out
 
 
+CHILD_TABLES = ("checkpoints", "progress_items", "scopes", "decisions", "handoffs")
+RETIRED = (
+    f"SELECT 'archived' AS side, 'tasks' AS t, id, parent_task_id AS link FROM wl_tasks WHERE id IN {GONE} UNION ALL SELECT 'archived', 'task_dependencies', id, task_id FROM wl_task_dependencies WHERE task_id IN {GONE} OR prerequisite_task_id IN {GONE}"
+    + "".join(f" UNION ALL SELECT 'archived', '{n}', id, task_id FROM wl_{n} WHERE task_id IN {GONE} UNION ALL SELECT 'kept', '{n}', id, task_id FROM wl_{n} WHERE task_id NOT IN {GONE}" for n in CHILD_TABLES)
+    + f" UNION ALL SELECT 'kept', 'tasks', id, parent_task_id FROM wl_tasks WHERE id NOT IN {GONE} UNION ALL SELECT 'kept', 'task_dependencies', id, task_id FROM wl_task_dependencies WHERE task_id NOT IN {GONE} AND prerequisite_task_id NOT IN {GONE}"
+    + "".join(f" UNION ALL SELECT 'kept', '{n}', id, CASE WHEN NOT EXISTS (SELECT 1 FROM wl_tasks t WHERE t.id IN {GONE} AND t.id = s.task_id AND t.project_id = s.project_id) THEN task_id END FROM wl_{n} s" for n in ("sessions", "worktrees"))
+)
+
+
+@query("a8_retired", RETIRED)
+def _(d: Demo) -> DataFrame:
+    """All nine tables, written, retired twice under one name, and read back."""
+    base, folder = shared_folder(d.spark, "live-tables"), shared_folder(d.spark, "archive")
+    names = ("tasks", "task_dependencies", *CHILD_TABLES, "sessions", "worktrees")
+    paths = {n: f"{base}/{n}" for n in names}
+    for n, path in paths.items():
+        d[f"wl_{n}"].write.parquet(path)
+    for _ in range(2):
+        retention.retire(d.spark, paths, folder, "one", F.lit(NOW).cast("timestamp_ntz"), 1000)
+    link = lambda n: F.col("parent_task_id" if n == "tasks" else "task_id").alias("link")
+    parts = [d.spark.read.parquet(p).select(F.lit("kept").alias("side"), F.lit(n).alias("t"), "id", link(n)) for n, p in paths.items()]
+    parts += [d.spark.read.parquet(f"{folder}/{n}").select(F.lit("archived").alias("side"), F.lit(n).alias("t"), "id", link(n)) for n in names[:-2]]
+    return search.union_hits(*parts)
+
+
 @query("k9_prune", f"WITH o AS ({OBSERVED} wl_worktrees), s AS (SELECT id, normalized_path FROM wl_worktrees WHERE normalized_path NOT IN (SELECT normalized_path FROM o)) SELECT id, CASE WHEN worktree_id NOT IN (SELECT id FROM s) THEN worktree_id END AS worktree_id FROM wl_sessions UNION ALL SELECT concat('prune-', id), normalized_path FROM s")
 def _(d: Demo) -> DataFrame:
     observed = d.spark.sql(f"{OBSERVED} {{w}}", w=d.worktrees)

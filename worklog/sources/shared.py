@@ -50,11 +50,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def _at(spark: SparkSession, path: str):  # noqa: ANN202
+    """A path and the file system that it is in, whatever store that is."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder, whatever store it is in; none that is not there is no fault."""
-    jvm = spark.sparkContext._jvm
-    own = jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+    """Remove a folder; none that is not there is no fault."""
+    own, files = _at(spark, path)
+    files.delete(own, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    own, files = _at(spark, path)
+    return files.exists(own)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another place in the same store, where nothing is yet."""
+    (own, files), (target, _) = _at(spark, path), _at(spark, to)
+    files.mkdirs(target.getParent())
+    if files.exists(target) or not files.rename(own, target):
+        raise OSError(f"{path} can't be moved to {to}")
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None, outlive: bool = False) -> DataFrame:
