@@ -12,7 +12,7 @@ from worklog.operators.latest import current_session, latest_checkpoints, recent
 from worklog.operators.resolve import resolve_current_task
 from worklog.operators.scopes import equal_or_all
 
-#: Entries that a list in a bundle has at most; its n_ column counts all. The tables behind the lists are whole.
+#: Entries that a list in a bundle has at most; its n_ column counts all. bundle_lists and context_graph have them whole.
 LIST_ROWS = 1000
 SLICE = ["project_id", "team_id", "key"]
 CONTEXT = ["project_id", "ctx_id"]
@@ -26,6 +26,27 @@ def _collected(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[
     return own.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}")).join(first, list(keys))
 
 
+def _lists(tables: dict[str, DataFrame], events: int, since: Column | None, compact: bool) -> dict[str, DataFrame]:
+    """The rows behind a bundle's progress and events, by project_id and task_id."""
+    visible = tables["progress_items"].filter("status = 'open'" if compact else "status <> 'removed'")
+    log = tables["events"] if since is None else tables["events"].filter(F.col("occurred_at") >= since)
+    payload = [clip_json_strings(F.col("payload_json")).alias("payload_json")] if compact else []
+    newest = recent_events(log, "task_id", events)
+    keys = ["project_id", "task_id"]
+    return {"progress": visible.select(*keys, "position", "id", "type", "content"), "events": newest.select(*keys, "occurred_at", "id", "type", *payload)}
+
+
+def bundle_lists(rows: DataFrame, tables: dict[str, DataFrame], events: int = 10, since: Column | None = None, compact: bool = False) -> dict[str, DataFrame]:
+    """progress, events and decisions of each context row (project_id, ctx_id, task_id), whole, as tables with its project_id and ctx_id.
+
+    They have all that the lists of resume_bundle and context_bundle have, without their limit; the nodes and edges of
+    context_bundle are those of context_graph.
+    """
+    of = rows.filter("task_id IS NOT NULL").select(*CONTEXT, "task_id").distinct()
+    lists = _lists(tables, events, since, compact) | {"decisions": tables["decisions"].select("project_id", "task_id", "display_id", "title")}
+    return {name: of.join(df, ["project_id", "task_id"]).drop("task_id") for name, df in lists.items()}
+
+
 def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10, since: Column | None = None, compact: bool = False, limit: int = LIST_ROWS) -> DataFrame:
     """Per context row: current session and task, latest checkpoint, visible progress and the newest events.
 
@@ -34,12 +55,9 @@ def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10
     rows = resolve_current_task(ctx, tables["tasks"], tables["sessions"], tables["worktrees"]).join(current_session(tables["sessions"]), ["project_id", "agent_id"], "left")
     task = tables["tasks"].select("project_id", F.col("id").alias("task_id"), F.struct("id", "display_id", "title", "status", "priority").alias("task"))
     saved = latest_checkpoints(tables["checkpoints"]).select("project_id", "task_id", F.struct("id", "created_at", "done", "remaining").alias("checkpoint"))
-    visible = tables["progress_items"].filter("status = 'open'" if compact else "status <> 'removed'")
-    log = tables["events"] if since is None else tables["events"].filter(F.col("occurred_at") >= since)
-    newest = recent_events(log, "task_id", events)
-    payload = [clip_json_strings(F.col("payload_json")).alias("payload_json")] if compact else []
     keys = ["project_id", "task_id"]
-    for side in (task, saved, _collected(visible, keys, "progress", ["position", "id", "type", "content"], limit), _collected(newest, keys, "events", ["occurred_at", "id", "type", *payload], limit)):
+    whole = [_collected(df, keys, name, [c for c in df.columns if c not in keys], limit) for name, df in _lists(tables, events, since, compact).items()]
+    for side in (task, saved, *whole):
         rows = rows.join(side, keys, "left")
     return rows
 

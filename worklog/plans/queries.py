@@ -1072,6 +1072,32 @@ def _(d: Demo) -> DataFrame:
     return _ended(d, streams.guard_transitions(events, "1 hour"), "guard").select("task_id", "id", "type", "before", "after", "verdict")
 
 
+SESSION_TYPES = "CASE {0} WHEN 'signup' THEN 'session.started' WHEN 'view' THEN 'session.paused' WHEN 'click' THEN 'session.resumed' WHEN 'purchase' THEN CASE WHEN {1} % 3 = 0 THEN 'session.ended' ELSE 'session.stale' END ELSE 'note.added' END"
+
+
+@query(
+    "i4_sessions",
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS n FROM (
+  SELECT CAST(user_id AS STRING) AS session_id, concat('E', lpad(CAST(event_id AS STRING), 10, '0')) AS id, {SESSION_TYPES.format("event_type", "event_id")} AS type, ts FROM events WHERE event_type <> 'error' AND epoch_us(ts) <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events WHERE event_type <> 'error')) x),
+s AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS STRING) AS id, CAST(NULL AS STRING) AS type, CAST(NULL AS STRING) AS before, CAST(NULL AS STRING) AS after, CAST(NULL AS STRING) AS verdict FROM e
+UNION ALL
+SELECT session_id, n, id, type, before, CASE WHEN verdict = 'denied' THEN coalesce(before, 'active') WHEN type IN ('session.started', 'session.resumed') THEN 'active' ELSE substr(type, 9) END, verdict
+FROM (SELECT *, CASE WHEN type = 'session.started' THEN CASE WHEN before IS NULL THEN 'allowed' ELSE 'denied' END
+    WHEN type = 'session.paused' THEN CASE WHEN before = 'active' THEN 'allowed' ELSE 'denied' END
+    WHEN type = 'session.resumed' THEN CASE WHEN before IN ('paused', 'stale') THEN 'allowed' ELSE 'denied' END
+    WHEN type = 'session.ended' THEN CASE WHEN before IN ('active', 'paused', 'stale') THEN 'allowed' ELSE 'denied' END
+    ELSE CASE WHEN before = 'active' THEN 'allowed' ELSE 'denied' END END AS verdict
+  FROM (SELECT e.session_id, e.n, e.id, e.type, CASE WHEN e.type = 'session.started' THEN s.after ELSE coalesce(s.after, 'active') END AS before FROM s JOIN e ON e.session_id = s.session_id AND e.n = s.n + 1) x) y)
+SELECT session_id, id, type, before, after, verdict FROM s WHERE n > 0""",
+)
+def _(d: Demo) -> DataFrame:
+    source = d.spark.readStream.schema(d["events"].schema).parquet(f"{d.sf_dir}/events.parquet*")
+    moves = source.selectExpr(
+        "concat('E', lpad(CAST(event_id AS STRING), 10, '0')) AS id", "'P0' AS project_id", f"{SESSION_TYPES.format('event_type', 'event_id')} AS type", "ts AS occurred_at", "CAST(user_id AS STRING) AS session_id"
+    )
+    return _ended(d, streams.guard_sessions(moves, "1 hour"), "session-guard").select("session_id", "id", "type", "before", "after", "verdict")
+
+
 # Bundles
 
 
@@ -1104,6 +1130,19 @@ def _(d: Demo) -> DataFrame:
     return rows.select("ctx_id", "task_id", "task.status", F.col("checkpoint.id").alias("checkpoint_id"), _listed("progress", "position", "id", "type", "content"), _listed("events", "id", "type"))
 
 
+@query(
+    "l1_whole_lists",
+    """WITH t AS (SELECT id AS ctx_id, task_id, project_id FROM wl_handoffs), e AS (SELECT * FROM wl_events QUALIFY row_number() OVER (PARTITION BY project_id, task_id ORDER BY occurred_at DESC, id DESC) <= 10)
+SELECT 'progress' AS list, t.ctx_id, p.id, CAST(p.position AS VARCHAR) AS place FROM t JOIN wl_progress_items p ON p.project_id = t.project_id AND p.task_id = t.task_id WHERE p.status <> 'removed'
+UNION ALL SELECT 'events', t.ctx_id, e.id, e.type FROM t JOIN e ON e.project_id = t.project_id AND e.task_id = t.task_id
+UNION ALL SELECT 'decisions', t.ctx_id, d.display_id, d.title FROM t JOIN wl_decisions d ON d.project_id = t.project_id AND d.task_id = t.task_id""",
+)
+def _(d: Demo) -> DataFrame:
+    lists = bundles.bundle_lists(d.handoffs.select("project_id", F.col("id").alias("ctx_id"), "task_id"), _tables(d))
+    shown = {"progress": ("id", F.col("position").cast("string")), "events": ("id", F.col("type")), "decisions": ("display_id", F.col("title"))}
+    return search.union_hits(*[lists[n].select(F.lit(n).alias("list"), "ctx_id", F.col(i).alias("id"), place.alias("place")) for n, (i, place) in shown.items()])
+
+
 @query(
     "l2_context",
     f"""WITH t AS (SELECT c.ctx_id, c.task_ref AS task_id, c.project_id, c.file FROM ({CONTEXTS.format(h='wl_handoffs', g='wl_graph_nodes')}) c), e AS (SELECT * FROM wl_events WHERE occurred_at >= TIMESTAMP '2024-01-25' QUALIFY row_number() OVER (PARTITION BY project_id, task_id ORDER BY occurred_at DESC, id DESC) <= 10),
