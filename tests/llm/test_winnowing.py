@@ -34,8 +34,8 @@ def test_long_shared_runs_are_found():
         assert set(a) & set(b)
 
 
-def want(data, k=12, w=69):
-    own = winnowing.Winnower(k, w)
+def want(data):
+    own = winnowing.Winnower(winnowing.K, winnowing.W)
     order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
     out = []
     for n, (i, text, _) in enumerate(order):
