@@ -52,6 +52,13 @@ def _(d: Demo) -> DataFrame:
     return listing.project_fields(d.agents, ["id", "project_id", "name", "status", "nothing"]).filter("project_id = 'P2'")
 
 
+@query("a1_stored_entity", "SELECT id, type, occurred_at, task_id FROM wl_events WHERE project_id = 'P1'")
+def _(d: Demo) -> DataFrame:
+    path = shared_folder(d.spark, "stored-events")
+    d.log.write.partitionBy("type").parquet(path)
+    return tables.read_entity(d.spark, path, "events", "P1").select("id", "type", "occurred_at", "task_id")
+
+
 REPORT = "concat(CASE number % 6 WHEN 0 THEN ' M' WHEN 1 THEN 'A ' WHEN 2 THEN '??' WHEN 3 THEN ' D' WHEN 4 THEN 'R ' ELSE 'MM' END, ' src/', CAST(number AS STRING), CASE WHEN number % 6 = 4 THEN ' -> lib/x' ELSE '' END, chr(10), 'A  docs/', CAST(number % 100 AS STRING), chr(10), ' M docs/', CAST(number % 100 AS STRING))"
 
 
@@ -552,6 +559,22 @@ def _(d: Demo) -> DataFrame:
     return graph.extract_imports(files, graph.HREF).select(F.col("path").cast("long").alias("page_id"), "target")
 
 
+#: A Rust and a script file for each part, with imports that name other parts; chr(39) and chr(34) are quotes.
+SOURCES = """SELECT 'P0' AS project_id, concat('src/part', CAST(p_partkey AS STRING), '.rs') AS path,
+  concat('pub mod m', CAST(p_size AS STRING), ';', chr(10), '  use crate::a::b', CAST(p_partkey % 7 AS STRING), '::Thing;', chr(10), '// use crate::no', chr(10), 'mod m', CAST(p_size AS STRING), ';', chr(10)) AS content FROM {part}
+UNION ALL SELECT 'P0', concat('web/part', CAST(p_partkey AS STRING), CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.jsx' ELSE '.txt' END),
+  concat('import y from ', chr(39), './lib', CAST(p_size AS STRING), '.ts', chr(39), chr(10), 'const z = require(', chr(34), 'util', CAST(p_partkey % 5 AS STRING), chr(34), ')') FROM {part}"""
+
+
+@query(
+    "f9_source_imports",
+    """SELECT concat('src/part', p_partkey, '.rs') AS path, unnest([concat('m', p_size, '.rs'), concat('m', p_size, '/mod.rs'), concat('src/a/b', p_partkey % 7, '/Thing.rs')]) AS target FROM part
+UNION ALL SELECT concat('web/part', p_partkey, CASE p_partkey % 3 WHEN 0 THEN '.ts' ELSE '.jsx' END), unnest([concat('./lib', p_size, '.ts'), concat('util', p_partkey % 5)]) FROM part WHERE p_partkey % 3 < 2""",
+)
+def _(d: Demo) -> DataFrame:
+    return graph.extract_imports(d.spark.sql(SOURCES, part=d["part"])).select("path", "target")
+
+
 @query(
     "f10_resolve_imports",
     """SELECT DISTINCT concat('src/part/', CAST(l_partkey AS STRING), '.rs') AS source_id, CASE WHEN l_suppkey % 2 = 0 THEN concat('src/supp/', CAST(l_suppkey AS STRING), '.rs') ELSE concat('src/supp/', CAST(l_suppkey AS STRING), '/mod.rs') END AS target_id
