@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklog.sources.shared import stored
@@ -107,12 +108,22 @@ def would_cycle(edges: DataFrame, candidates: DataFrame, walked: list[int] | Non
 
 
 def _ways(step: DataFrame) -> DataFrame:
-    """The ways of at most so many edges and the length of each, doubled while they are at most ``WAYS`` times as many as the edges."""
-    ways, hops, n = step.withColumn("_length", F.lit(1)), 1, step.count()
+    """The ways of a few edges and the length of each."""
+    return _doubled(step.withColumn("_length", F.lit(1)), lambda own, onward: own + onward, F.max)
+
+
+def _doubled(ways: DataFrame, along: Callable[[Column, Column], Column], best: Callable[[Column], Column]) -> DataFrame:
+    """Ways of at most ``HOPS`` edges, doubled while they are at most ``WAYS`` times as many as the edges they begin as.
+
+    along gives the value of two ways, one after the other; best chooses among the values of ways with the same ends.
+    """
+    hops, n = 1, ways.count()
+    values = [c for c in ways.columns if c not in ("project_id", "_at", "_next")]
     while hops < HOPS and n:
-        onward = ways.select("project_id", F.col("_at").alias("_next"), F.col("_next").alias("_far"), F.col("_length").alias("_more"))
-        longer = ways.unionByName(ways.join(onward, ["project_id", "_next"]).select("project_id", "_at", F.col("_far").alias("_next"), (F.col("_length") + F.col("_more")).alias("_length")))
-        longer, hops = stored(longer.groupBy("project_id", "_at", "_next").agg(F.max("_length").alias("_length")), "ways"), 2 * hops
+        onward = ways.select("project_id", F.col("_at").alias("_next"), F.col("_next").alias("_far"), *[F.col(c).alias(f"{c}_onward") for c in values])
+        twice = ways.join(onward, ["project_id", "_next"]).select("project_id", "_at", F.col("_far").alias("_next"), *[along(F.col(c), F.col(f"{c}_onward")).alias(c) for c in values])
+        longer = stored(ways.unionByName(twice).groupBy("project_id", "_at", "_next").agg(*[best(F.col(c)).alias(c) for c in values]), "ways")
+        hops *= 2
         if longer.count() > WAYS * n:
             break
         ways = longer
@@ -179,16 +190,28 @@ def would_cycle_in_order(edges: DataFrame, candidates: DataFrame, order: str) ->
 
 
 def _reached(steps: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates whose prerequisite reaches their task over steps before them, and whether only _over_open ones."""
+    """The candidates whose prerequisite reaches their task over steps before them, and whether only _over_open ones.
+
+    A way is open to all candidates after its last turn. Of all ways between two ends, the least last turn counts
+    (``_any``), and that of ways without open steps (``_sure``); so ways of several steps are gone at once. An edge that is
+    there from the start has place 0, one that has a turn place 1, and what is never there place 2.
+    """
     key = ["project_id", "task_id", "prerequisite_task_id", "_turn"]
-    onward = steps.select("project_id", F.col("task_id").alias("_at"), F.col("prerequisite_task_id").alias("_next"), F.col("_turn").alias("_when"), "_open")
+    place = lambda n, turn: F.struct(n.cast("int").alias("place"), turn.alias("turn"))
+    since = place(F.col("_turn").isNotNull(), F.col("_turn"))
+    never = place(F.lit(2), F.lit(None).cast(steps.schema["_turn"].dataType))
+    single = steps.select("project_id", F.col("task_id").alias("_at"), F.col("prerequisite_task_id").alias("_next"), since.alias("_any"), F.when(F.col("_open"), never).otherwise(since).alias("_sure"))
+    ways = _doubled(stored(single.groupBy("project_id", "_at", "_next").agg(F.min("_any").alias("_any"), F.min("_sure").alias("_sure")), "ordered-ways"), F.greatest, F.min)
+    own = place(F.lit(1), F.col("_turn"))
     frontier = stored(candidates.select(*key, F.col("prerequisite_task_id").alias("_at"), F.lit(False).alias("_over_open")), "ordered-frontier")
-    seen = frontier
+    seen = [frontier]
     while not frontier.isEmpty():
-        ahead = frontier.join(onward, ["project_id", "_at"]).filter("_when IS NULL OR _when < _turn")
-        ahead = ahead.groupBy(*key, F.col("_next").alias("_at")).agg(F.min(F.col("_over_open") | F.col("_open")).alias("_over_open"))
-        before = seen.groupBy(*key, "_at").agg(F.min("_over_open").alias("_was"))
+        ahead = frontier.join(ways, ["project_id", "_at"]).filter(F.col("_any") < own)
+        ahead = ahead.groupBy(*key, F.col("_next").alias("_at")).agg(F.min(F.col("_over_open") | (F.col("_sure") >= own)).alias("_over_open"))
+        before = reduce(DataFrame.unionByName, seen).groupBy(*key, "_at").agg(F.min("_over_open").alias("_was"))
         better = ahead.join(before, [*key, "_at"], "left").filter("_was IS NULL OR (_was AND NOT _over_open)").drop("_was")
         frontier = stored(better, "ordered-frontier")
-        seen = stored(seen.unionByName(frontier), "ordered-seen")
-    return seen.filter("_at = task_id").groupBy(*key).agg(F.min("_over_open").alias("_over_open"))
+        seen.append(frontier)
+        if len(seen) > MERGE_EVERY:
+            seen = [stored(reduce(DataFrame.unionByName, seen), "ordered-seen")]
+    return reduce(DataFrame.unionByName, seen).filter("_at = task_id").groupBy(*key).agg(F.min("_over_open").alias("_over_open"))
