@@ -113,6 +113,19 @@ def test_urls_of_one_verdict(spark, urls, want):
     assert [r.verdict for r in url_filter.judge(pages).collect()] == want
 
 
+def test_hosts_not_seen_in_training(spark):
+    rnd = random.Random(9)
+    page = lambda site: f"http://{rnd.choice(['www.', 'm.', ''])}{site}.example.{rnd.choice(['com', 'net'])}/{rnd.choice(['en', 'it'])}/{rnd.randrange(9999)}"
+    plain = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randrange(5, 10))) for _ in range(40)]
+    bad = [f"{a}-{b}" for a, b in [("free", "bets"), ("casino", "win"), ("adult", "x"), ("spam", "farm")]]
+    seen = [page(rnd.choice(plain[:30])) for _ in range(600)] + [page(rnd.choice(bad[:2])) for _ in range(30)]
+    new = [page(rnd.choice(plain[30:])) for _ in range(200)] + [page(rnd.choice(bad[2:])) for _ in range(100)]
+    labelled = spark.createDataFrame([(u, int(i >= 600)) for i, u in enumerate(seen)], "url string, blocked int")
+    pages = spark.createDataFrame(list(enumerate(new)), "page_id long, url string")
+    blocked = {r.page_id for r in url_filter.judge(pages, labelled, rules=[]).collect() if r.verdict == "block"}
+    assert sum(i >= 200 for i in blocked) >= 80 and sum(i < 200 for i in blocked) <= 10
+
+
 def test_features(spark):
     got = url_filter.with_features(spark.createDataFrame([("http://a-b.c.net/d/e1.html?x=1&y=2#z=3",), ("",), (None,)], "url string")).collect()
     r = got[0]

@@ -81,7 +81,8 @@ def train(labelled: DataFrame, max_rows: int = TRAINING_ROWS):
     """Trees fitted on rows (url, blocked 0 or 1), the suffix statistics, and the share of blocked rows.
 
     The statistics and the share are those of all rows. The trees are fitted on about max_rows different URLs, drawn by a
-    hash, each with its number of copies as weight; they are None if a class is missing there.
+    hash, each weighted by its number of copies, and the classes so that both weigh the same: blocked URLs are rare, and
+    hosts not seen before would else hardly ever be blocked. They are None if a class is missing there.
     """
     all_rows = labelled.select("url", F.col("blocked").cast("double").alias("blocked"))
     whole = all_rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("url").alias("urls"), F.avg("blocked").alias("blocked")).first()
@@ -94,8 +95,9 @@ def train(labelled: DataFrame, max_rows: int = TRAINING_ROWS):
     rows = common.stored(with_features(single).sortWithinPartitions("url", "blocked"), "training-urls")
     if rows.select("blocked").distinct().count() < 2:
         return None, suffixes, whole.blocked
-    ready = _assembled(rows, suffixes).select("features", "blocked", "copies").coalesce(4)
-    trees = GBTClassifier(featuresCol="features", labelCol="blocked", weightCol="copies", maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
+    even = F.col("copies") / F.when(F.col("blocked") == 1, 2 * whole.blocked).otherwise(2 * (1 - whole.blocked))
+    ready = _assembled(rows, suffixes).select("features", "blocked", "copies", even.alias("weight")).coalesce(4)
+    trees = GBTClassifier(featuresCol="features", labelCol="blocked", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
     return trees.fit(ready), suffixes, whole.blocked
 
 
@@ -107,16 +109,15 @@ def _assembled(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row of pages: id_col, host, path, rule, verdict (allow or block).
 
-    Without labelled rows (url, blocked) the pages label themselves: a rule's verdict, else blocked where the host has a
-    seed word, else not. Null URLs and those without :// have an empty host and path, which no rule fits. If the
+    Without labelled rows (url, blocked) the pages label themselves: blocked where the host has a seed word, else not.
+    What rules say is no label, because they name hosts and paths, of which the features know nothing. Null URLs and those without :// have an empty host and path, which no rule fits. If the
     training rows have one verdict alone, it is everyone's; without any, allow. Only the two columns are read; repeated
     rows are judged alike; an empty table gives an empty result.
     """
     own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"))
     if labelled is None:
-        _, says = matching_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
         seeded = F.greatest(*[F.contains(host_of(F.col("url")), F.lit(w)) for w in SEED_WORDS])
-        labelled = own.filter("url IS NOT NULL").select("url", F.coalesce(says == "block", seeded).cast("int").alias("blocked"))
+        labelled = own.filter("url IS NOT NULL").select("url", seeded.cast("int").alias("blocked"))
     trees, suffixes, blocked = train(labelled)
     featured = with_features(own)
     if trees is None:
