@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ PLAIN = "".join(_plain(c) for c in ACCENTED)
 WORD = r"[\p{L}\p{N}\p{M}]+"
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 COLUMNS = ["project_id", "kind", "doc_id", "task_id", "body"]
+RECORD = COLUMNS[:-1]
 
 
 def search_corpus(tasks: DataFrame, progress: DataFrame, checkpoints: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -60,44 +62,91 @@ def _tokenised(corpus: DataFrame) -> DataFrame:
     return corpus.select("project_id", "kind", "doc_id", "task_id", tokens(F.coalesce("body", F.lit(""))).alias("_t"))
 
 
-def _postings(tokenised: DataFrame) -> DataFrame:
-    opened = tokenised.select("project_id", "kind", "doc_id", "task_id", F.size("_t").alias("doc_len"), F.posexplode("_t").alias("_pos", "term"))
-    return opened.groupBy("project_id", "kind", "doc_id", "task_id", "term", "doc_len").agg(F.sort_array(F.collect_list("_pos")).alias("positions"))
+def _in_runs(rows: DataFrame, column: str, key: str, made: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """Add name: for each run of neighbours of an array with an equal key, what made gives of the first one and of the run.
+
+    The key's last part alone may differ within a run; the array is sorted, so a run is all that there is of a key.
+    """
+    n, at = F.size(column), lambda i: F.get(F.col(column), i)
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i)[key] != at(i - 1)[key]))
+    rows = rows.withColumn("_starts", F.when(n > 0, first).otherwise(F.array().cast("array<int>")))
+    run = lambda i, k: F.slice(column, i + 1, F.coalesce(F.get("_starts", k + 1), n) - i)
+    return rows.withColumn(name, F.transform("_starts", lambda i, k: made(at(i), run(i, k)))).drop("_starts")
+
+
+def _grouped(tokenised: DataFrame, bucket: Callable[[Column], Column]) -> DataFrame:
+    """RECORD, doc_len, bucket, terms: the terms of each record in a bucket, each with its positions.
+
+    Tokens are sorted and grouped within their record, so they don't move; only records that a corpus has in several rows
+    of one length are put together.
+    """
+    place = lambda t, i: F.struct(F.struct(bucket(t).alias("bucket"), t.alias("term")).alias("key"), i.alias("pos"))
+    rows = tokenised.select(*RECORD, F.size("_t").alias("doc_len"), F.sort_array(F.transform("_t", place)).alias("_s"))
+    rows = _in_runs(rows, "_s", "key", lambda first, run: F.struct(first["key"]["bucket"].alias("bucket"), F.struct(first["key"]["term"].alias("term"), run["pos"].alias("positions")).alias("posting")), "_p").drop("_s")
+    rows = _in_runs(rows, "_p", "bucket", lambda first, run: F.struct(first["bucket"].alias("bucket"), run["posting"].alias("terms")), "_b").drop("_p")
+    # Outer, or else a filter on the size of the array would work it out twice.
+    return rows.select(*RECORD, "doc_len", F.explode_outer("_b").alias("_b")).select(*RECORD, "doc_len", "_b.bucket", "_b.terms").filter("terms IS NOT NULL")
+
+
+def _merged(grouped: DataFrame) -> DataFrame:
+    """Rows of _grouped of the same record and length as one."""
+    opened = grouped.select(*RECORD, "doc_len", "bucket", F.inline("terms"))
+    postings = opened.groupBy(*RECORD, "doc_len", "bucket", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return postings.groupBy(*RECORD, "doc_len", "bucket").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("terms"))
+
+
+def _term_lists(tokenised: DataFrame, bucket: Callable[[Column], Column]) -> DataFrame:
+    """What _grouped gives, with a record's rows put together where a corpus has several."""
+    twice = stored(tokenised.groupBy(*RECORD).count().filter("count > 1").select(*RECORD), "doubled-records")
+    if twice.isEmpty():
+        return _grouped(tokenised, bucket)
+    same = reduce(lambda a, b: a & b, [tokenised[c].eqNullSafe(twice[c]) for c in RECORD])
+    return _grouped(tokenised.join(twice, same, "left_anti"), bucket).unionByName(_merged(_grouped(tokenised.join(twice, same, "left_semi"), bucket)))
+
+
+def _opened(lists: DataFrame) -> DataFrame:
+    """A row for each posting of _term_lists."""
+    others = [c for c in lists.columns if c not in (*RECORD, "doc_len", "terms")]
+    return lists.select(*RECORD, "doc_len", *others, F.explode_outer("terms").alias("_p")).select(*RECORD, "_p.term", "doc_len", "_p.positions", *others)
 
 
 def build_index(corpus: DataFrame) -> DataFrame:
     """project_id, kind, doc_id, task_id, term, positions, doc_len: a posting for each term of each record."""
-    return _postings(_tokenised(corpus))
+    return _opened(_term_lists(_tokenised(corpus), lambda t: F.lit(0))).drop("bucket")
 
 
 class StoredIndex:
-    """An index as two tables below a path: postings by buckets of terms, documents (each record, its length and the buckets
-    of its terms) by buckets of records. A refresh writes only the buckets that changed records have or had."""
+    """An index as two tables below a path: postings by buckets of terms (a record's of one bucket in one row), documents
+    (each record, its length and the buckets of its terms) by buckets of records. A refresh writes only the buckets that
+    changed records have or had."""
 
     DOC = ["project_id", "kind", "doc_id"]
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
 
-    def _bucket(self, *columns: str) -> Column:
+    def _bucket(self, *columns: Column | str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
 
     def write(self, corpus: DataFrame) -> StoredIndex:
         """Write the whole index anew. The corpus is taken apart once."""
         with scratch(self.spark):
             for name, df in self._parts(stored(_tokenised(corpus), "tokenised")).items():
-                df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+                df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
         return self
 
     def _parts(self, tokenised: DataFrame) -> dict[str, DataFrame]:
-        terms = F.array_sort(F.array_distinct(F.transform("_t", lambda t: F.pmod(F.xxhash64(t), F.lit(self.buckets)).cast("int"))))
+        terms = F.array_sort(F.array_distinct(F.transform("_t", lambda t: self._bucket(t))))
         documents = tokenised.select(*self.DOC, "task_id", F.size("_t").alias("doc_len"), terms.alias("term_buckets"), self._bucket(*self.DOC).alias("bucket"))
-        return {"postings": _postings(tokenised).withColumn("bucket", self._bucket("term")), "documents": documents}
+        return {"postings": _term_lists(tokenised, self._bucket), "documents": documents}
+
+    def _lists(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
 
     @property
     def postings(self) -> DataFrame:
         """What build_index gives."""
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return _opened(self._lists())
 
     @property
     def documents(self) -> DataFrame:
@@ -110,7 +159,7 @@ class StoredIndex:
     def postings_of(self, leaves: DataFrame) -> DataFrame:
         """The postings that leaves of queries can meet: of the buckets of their terms, or of all where one has a prefix."""
         asked = leaves.filter("error IS NULL").select("is_prefix", F.explode("terms").alias("term")).select("is_prefix", self._bucket("term").alias("bucket")).distinct().collect()
-        return self.postings if any(r.is_prefix for r in asked) else self.postings.filter(F.col("bucket").isin(sorted({r.bucket for r in asked})))
+        return self.postings if any(r.is_prefix for r in asked) else _opened(self._lists().filter(F.col("bucket").isin(sorted({r.bucket for r in asked}))))
 
     def refresh(self, changed: DataFrame) -> None:
         """Replace the records that changed has, by project, kind and identifier; a null body removes one.
@@ -128,7 +177,7 @@ class StoredIndex:
                 numbers = sorted(r.bucket for r in touched.collect())
                 kept = self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("bucket").isin(numbers)).join(keys, self.DOC, "left_anti")
                 after = stored(kept.unionByName(new[name]), name)
-                after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+                after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
                 for bucket in {*numbers} - {r.bucket for r in after.select("bucket").distinct().collect()}:
                     remove(self.spark, f"{self.path}/{name}/bucket={bucket}")
 
@@ -176,7 +225,8 @@ def match_leaves(index: DataFrame, leaves: DataFrame) -> DataFrame:
 
     Each term of a leaf is joined to the postings; the positions, shifted back by the term's place, meet in those where
     the phrase starts. A prefix is joined to the terms of the dictionary that begin with it,
-    whose number alone, and not that of all terms, tells how many rows go on.
+    whose number alone, and not that of all terms, tells how many rows go on. The terms that are wanted are stored, so
+    Spark knows how few they are and leaves the postings where they are.
     """
     keys = ["query_id", "leaf", "project_id", "kind", "doc_id", "task_id", "doc_len"]
     asked = leaves.filter("error IS NULL").select("query_id", "leaf", "is_prefix", F.size("terms").alias("_n"), F.posexplode("terms").alias("_place", "_term"))
@@ -185,10 +235,11 @@ def match_leaves(index: DataFrame, leaves: DataFrame) -> DataFrame:
     prefix = asked.filter(last).withColumn("_len", F.length("_term"))
     wanted, lengths = exact, [r["_len"] for r in prefix.select("_len").distinct().collect()]
     if lengths:  # terms of the dictionary, cut to the lengths that are asked for, are equal to their prefixes
-        cut = index.select("term").distinct().select("term", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len")).filter(F.char_length("term") >= F.col("_len"))
+        prefix = stored(prefix, "prefixes")
+        cut = index.select("term", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len")).filter(F.char_length("term") >= F.col("_len"))
         begun = cut.withColumn("_term", F.left("term", F.col("_len"))).join(prefix, ["_term", "_len"])
-        wanted = exact.unionByName(begun.select("query_id", "leaf", "_n", "_place", "term"))
-    found = index.join(wanted, "term").select(*keys, "_n", "_place", F.transform("positions", lambda p: p - F.col("_place")).alias("_at"))
+        wanted = exact.unionByName(begun.select("query_id", "leaf", "_n", "_place", "term").distinct())
+    found = index.join(stored(wanted, "wanted-terms"), "term").select(*keys, "_n", "_place", F.transform("positions", lambda p: p - F.col("_place")).alias("_at"))
     merged = found.groupBy(*keys, "_n", "_place").agg(F.array_distinct(F.flatten(F.collect_list("_at"))).alias("_at"))
     meet = merged.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_places"), F.collect_list("_at").alias("_all")).filter("_places = _n")
     starts = F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all"), F.lit(1))), F.element_at("_all", 1), lambda a, b: F.array_intersect(a, b))
