@@ -292,11 +292,12 @@ def snippet(hits: DataFrame, corpus: DataFrame, leaves: DataFrame, n: int = 12)
     most of the different leaves, then comes first; it begins n // 3 words before a match where the text allows. A corpus
     may have parts, an array of a record's columns: the one with the best window is shown, else body.
     """
+    hits = stored(hits, "shown-hits")  # few, so the texts stay where they are, and the search runs once
     wanted = leaves.filter("error IS NULL AND NOT negated").groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("terms", "is_prefix"))).alias("_asked"))
     parts = F.col("parts") if "parts" in corpus.columns else F.array("body")
     keys = ["query_id", "project_id", "kind", "doc_id"]
     texts = corpus.select("project_id", "kind", "doc_id", F.posexplode(parts).alias("_part", "_text"))
-    rows = hits.select(*keys).distinct().join(texts, ["project_id", "kind", "doc_id"]).join(wanted, "query_id")
+    rows = stored(hits.select(*keys).distinct().join(texts, ["project_id", "kind", "doc_id"]), "shown-texts").join(wanted, "query_id")
     word = lambda p: F.regexp_extract(p, WORD, 0)
     pieces = F.filter(F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(rf"{WORD}[^\p{{L}}\p{{N}}\p{{M}}]*"), F.lit(0)), lambda p: _bare(word(p)) != "")
     rows = rows.withColumn("_p", pieces).withColumn("_norm", F.transform("_p", lambda p: _bare(word(p))))
@@ -335,12 +336,15 @@ def search(index: DataFrame, stats: DataFrame, queries: DataFrame, tasks: DataFr
         owning = owning.filter(F.col("task_status") == status)
     if owner:
         owning = owning.filter(F.col("owner_agent_id") == owner)
-    hits = scored.join(owning, ["project_id", "task_id"], "inner" if status or owner else "left")
-    if kinds:
-        hits = hits.filter(F.col("kind").isin(list(kinds)))
+    hits = scored.filter(F.col("kind").isin(list(kinds))) if kinds else scored
+    if status or owner:
+        hits = hits.join(owning, ["project_id", "task_id"])
     order = [F.col("score"), F.col("kind"), F.col("project_id"), F.col("doc_id")]
     by_kind = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(*order))).filter(F.col("_r") <= limit)
-    best = by_kind.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= limit).drop("_r", "owner_agent_id")
+    best = by_kind.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= limit).drop("_r")
+    if not (status or owner):  # only the hits that are shown look for their tasks
+        best = stored(best, "best-hits").join(owning, ["project_id", "task_id"], "left").select("project_id", "task_id", *[c for c in best.columns if c not in ("project_id", "task_id", "rank")], *owning.columns[2:], "rank")
+    best = best.drop("owner_agent_id")
     branch = F.lit(None).cast("string")
     if checkpoints is not None:
         own = checkpoints.select("project_id", F.lit("checkpoint").alias("kind"), F.col("id").alias("doc_id"), F.col("branch").alias("_b1"))
