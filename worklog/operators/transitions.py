@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklog.functions.expr import lookup
+from worklog.operators import folds
 from worklog.operators.folds import positioned, states_before
 from worklog.operators.listing import normalise_event_types
 from worklog.operators.resolve import resolve_refs
 from worklog.schema import ACTION_EVENTS, ENUMS, LEGACY_EVENTS, PROGRESS_MOVES, SESSION_MOVES, TERMINAL
+from worklog.sources.shared import stored
 
 DENIED = "INVALID_TASK_TRANSITION"
 #: Status and whether there is an owner: what the requests of one batch change of a task's facts.
@@ -106,21 +109,57 @@ def evaluate_in_order(requests: DataFrame, facts: DataFrame, strict: bool = Fals
     Each finds the status and the owner that those before it have left; the other facts stay as they are. The rules and
     columns are those of evaluate_transitions, old_status being the status just before. Denied requests and unknown
     actions change nothing. A request without a time comes first; request has to tell a task's requests apart.
+
+    The requests of a task are folded as one list where it has at most 2 ** BITS of them, so they move once, to their
+    task's facts; those of other tasks get numbers over all ranges and are folded by lists of lists.
     """
     keys = ["project_id", "id"]
+    many = stored(requests.groupBy(*keys).count().filter(F.col("count") > 1 << folds.BITS).select(*keys), "tasks-with-many-requests")
+    if many.isEmpty():
+        return _evaluate_lists(requests, facts, strict)
+    own = reduce(lambda a, b: a & b, [requests[k].eqNullSafe(many[k]) for k in keys])
+    return _evaluate_lists(requests.join(many, own, "left_anti"), facts, strict).unionByName(_evaluate_numbered(requests.join(many, own, "left_semi"), facts, strict))
+
+
+def _cases(requests: DataFrame, facts: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame, Column]:
+    """Requests with their task's facts, the maps of all cases, and the map that changes nothing."""
+    keys = ["project_id", "id"]
     reasoned = F.length(F.trim(F.coalesce("reason", F.lit("")))) > 0
     known = facts.select(*keys, "status", "has_owner", "open_progress", "has_active_session", "has_incomplete_prerequisite")
     rows = requests.join(known, keys, "left").withColumns({"_reasoned": reasoned, "_pending": F.col("open_progress") > 0})
+    return rows, F.broadcast(_state_maps(requests.sparkSession, strict)), F.array(*[F.lit(s) for s in range(len(STATES))])
+
+
+CASE = ["action", "_reasoned", "has_incomplete_prerequisite", "has_active_session", "_pending"]
+
+
+def _evaluate_lists(requests: DataFrame, facts: DataFrame, strict: bool) -> DataFrame:
+    keys, own = ["project_id", "id"], ["open_progress", "has_active_session", "has_incomplete_prerequisite"]
+    rows, maps, same = _cases(requests, facts, strict)
+    item = F.struct(*TURN, *[c for c in requests.columns if c not in (*keys, *TURN)], F.coalesce("_map", same).alias("_map"))
+    begin = _state_of(F.col("status"), F.col("has_owner"))
+    lists = rows.join(maps, CASE, "left").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_list"), F.first(begin).alias("_begin"), *[F.first(c).alias(c) for c in own])
+    held = F.struct(F.col("_begin").alias("now"), F.array().cast("array<int>").alias("seen"))
+    step = lambda held, item: F.struct(F.get(item["_map"], held["now"]).alias("now"), F.concat(held["seen"], F.array(held["now"])).alias("seen"))
+    before = lists.withColumn("_seen", F.aggregate("_list", held, step, lambda held: held["seen"]))
+    met = before.select(*keys, *own, "_seen", F.posexplode("_list").alias("_n", "_item")).select(*[F.col(k).alias(k) for k in keys], *own, "_item.*", F.get("_seen", F.col("_n")).alias("_state"))
+    return _judge(_as_found(met), requests.columns, strict)
+
+
+def _evaluate_numbered(requests: DataFrame, facts: DataFrame, strict: bool) -> DataFrame:
+    keys = ["project_id", "id"]
+    rows, maps, same = _cases(requests, facts, strict)
     rows = positioned(rows, keys, TURN)
-    maps = F.broadcast(_state_maps(requests.sparkSession, strict))
-    same = F.array(*[F.lit(s) for s in range(len(STATES))])
-    case = ["action", "_reasoned", "has_incomplete_prerequisite", "has_active_session", "_pending"]
-    items = rows.filter("status IS NOT NULL").join(maps, case, "left").select(*keys, "_pos", F.coalesce("_map", same).alias("_map"))
+    items = rows.filter("status IS NOT NULL").join(maps, CASE, "left").select(*keys, "_pos", F.coalesce("_map", same).alias("_map"))
     start = facts.select(*keys, _state_of(F.col("status"), F.col("has_owner")).alias("_state"))
     before = states_before(items, keys, start, len(STATES))
-    met = rows.join(before, [*keys, "_pos"], "left")
+    return _judge(_as_found(rows.join(before, [*keys, "_pos"], "left")), requests.columns, strict)
+
+
+def _as_found(met: DataFrame) -> DataFrame:
+    """Rows with the status and the owner's presence that their _state stands for."""
     at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_state"))
-    return _judge(met.withColumns({"status": at([s for s, _ in STATES]), "has_owner": at([o for _, o in STATES])}), requests.columns, strict)
+    return met.withColumns({"status": at([s for s, _ in STATES]), "has_owner": at([o for _, o in STATES])})
 
 
 def initial_status(new: DataFrame, deps: DataFrame, tasks: DataFrame) -> DataFrame:
