@@ -115,19 +115,23 @@ def resolve_imports(imports: DataFrame, files: DataFrame, existing: DataFrame) -
     """project_id, source_id, target_id: new depends_on edges from imports to known files (project_id, path).
 
     A target is taken from the importing file's folder, or from the root if it starts with src/. Where no such file
-    exists, a Rust target is shortened segment by segment and tried as .rs, then as mod.rs, down to below src.
+    exists, a Rust target is shortened segment by segment and tried as .rs, then as mod.rs, down to below src. Files are
+    tried once for each different path and not for each import; those that are found are stored, so that Spark knows how
+    many there are and need not move the imports if these are few.
     """
     parent = F.when(F.col("path").contains("/"), F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"))).otherwise("")
     from_root = F.col("target").startswith("src/")
     exact = F.when(from_root, F.col("target")).otherwise(F.concat(parent, "target"))
-    parts = F.split(F.regexp_replace("target", r"\.rs$", ""), "/")
+    parts = F.split(F.regexp_replace("_exact", r"\.rs$", ""), "/")
     shorter = F.when(F.size(parts) > 2, F.flatten(F.transform(F.sequence(F.size(parts) - 1, F.lit(2), F.lit(-1)), lambda n: F.transform(F.array(F.lit(".rs"), F.lit("/mod.rs")), lambda end: F.concat(F.array_join(F.slice(parts, 1, n), "/"), end)))))
-    walk = F.when(from_root & F.col("target").endswith(".rs"), shorter)
-    tries = imports.withColumn("_tries", F.concat(F.array(exact), F.coalesce(walk, F.array().cast("array<string>"))))
-    opened = tries.select("project_id", "path", "target", F.posexplode("_tries").alias("_rank", "_file"))
+    walk = F.when(F.col("_rooted") & F.col("_exact").endswith(".rs"), shorter)
+    asked = imports.select("project_id", F.col("path").alias("source_id"), exact.alias("_exact"), from_root.alias("_rooted"))
+    tries = asked.drop("source_id").distinct().withColumn("_tries", F.concat(F.array("_exact"), F.coalesce(walk, F.array().cast("array<string>"))))
+    opened = tries.select("project_id", "_exact", "_rooted", F.posexplode("_tries").alias("_rank", "_file"))
     known = files.select("project_id", F.col("path").alias("_file")).distinct()
-    best = opened.join(known, ["project_id", "_file"]).groupBy("project_id", "path", "target").agg(F.min_by("_file", "_rank").alias("target_id"))
-    new = best.select("project_id", F.col("path").alias("source_id"), "target_id").distinct()
+    best = opened.join(known, ["project_id", "_file"]).groupBy("project_id", "_exact", "_rooted").agg(F.min_by("_file", "_rank").alias("target_id"))
+    met = asked.join(stored(best, "found-files"), ["project_id", "_exact", "_rooted"])
+    new = met.select("project_id", "source_id", "target_id").distinct()
     old = existing.filter("relation_type = 'depends_on'").select("project_id", "source_id", "target_id")
     return new.join(old, ["project_id", "source_id", "target_id"], "left_anti")
 
