@@ -72,3 +72,30 @@ def test_levels_leave_few_pairs_to_walk(spark):
     got = {(r.task_id, r.prerequisite_task_id): r.verdict for r in deps.would_cycle(frame(spark, chain), frame(spark, chain + back + far), walked).collect()}
     assert got == {**{e: "ok" for e in chain}, **{e: "cycle" for e in back + far}}
     assert sum(walked) < 3 * len(chain)  # starts times what they reach would be 1,830
+
+
+def loops(n, size):
+    """Chains of edges with a link from each one's first task to its last."""
+    chain = [(f"t{k:02d}.{i + 1:02d}", f"t{k:02d}.{i:02d}") for k in range(n) for i in range(size)]
+    return chain, [(f"t{k:02d}.00", f"t{k:02d}.{size:02d}") for k in range(n)]
+
+
+@pytest.mark.parametrize("grouped", [8])
+def test_parts_that_are_too_large_for_a_row_are_walked(spark, monkeypatch, grouped):
+    monkeypatch.setattr(deps, "GROUPED", grouped)
+    test_candidates_by_the_edges_alone(spark, 3, 30, 32, False)
+    test_each_candidate_sees_those_before_it(spark, 3, 9, 4, 12)
+
+
+def test_small_parts_need_no_walks(spark, monkeypatch):
+    calls = []
+    for name in ("_walked", "_in_rounds"):
+        monkeypatch.setattr(deps, name, lambda *_, n=name: calls.append(n))
+    chain, back = loops(20, 12)
+    asked = [(*e, k) for k, e in enumerate(chain[::3] + back)]
+    rows = spark.createDataFrame([("p", *r) for r in asked], f"{EDGES}, turn int")
+    got = {(r.task_id, r.prerequisite_task_id): r.verdict for r in deps.would_cycle_in_order(frame(spark, [e for e in chain if e not in chain[::3]]), rows, "turn").collect()}
+    assert got == {e: "cycle" if e in back else "ok" for e in chain[::3] + back}
+    again = {(r.task_id, r.prerequisite_task_id): r.verdict for r in deps.would_cycle(frame(spark, chain), frame(spark, back + chain)).collect()}
+    assert again == {e: "cycle" if e in back else "ok" for e in chain + back}
+    assert calls == []

@@ -458,7 +458,7 @@ def _(d: Demo) -> DataFrame:
 
 @query("f1_would_cycle", "SELECT project_id, prerequisite_task_id AS task_id, task_id AS prerequisite_task_id, 'cycle' AS verdict FROM wl_task_dependencies UNION ALL SELECT project_id, task_id, prerequisite_task_id, 'ok' FROM wl_task_dependencies UNION ALL SELECT project_id, task_id, task_id, 'self_dependency' FROM wl_task_dependencies")
 def _(d: Demo) -> DataFrame:
-    e = d.task_dependencies
+    e = stored(d.task_dependencies.select("project_id", "task_id", "prerequisite_task_id"), "dependencies")
     back = e.select("project_id", F.col("prerequisite_task_id").alias("task_id"), F.col("task_id").alias("prerequisite_task_id"))
     own = e.select("project_id", "task_id", F.col("task_id").alias("prerequisite_task_id"))
     return deps.would_cycle(e, back.unionByName(e.select(*back.columns)).unionByName(own))
@@ -479,10 +479,10 @@ SELECT b.project_id, b.task_id, b.prerequisite_task_id, CASE WHEN coalesce(m.las
 UNION ALL SELECT f.project_id, f.task_id, f.prerequisite_task_id, CASE WHEN f.turn = m.last AND b.turn < f.turn THEN 'cycle' ELSE 'ok' END FROM f JOIN b USING (customer_id) JOIN m USING (customer_id) WHERE f.turn IS NOT NULL""",
 )
 def _(d: Demo) -> DataFrame:
-    links = d.spark.sql(f"{CHAINS} {{t}}) x WHERE before IS NOT NULL", t=d.tasks)
+    links = stored(d.spark.sql(f"{CHAINS} {{t}}) x WHERE before IS NOT NULL", t=d.tasks), "order-links")
     back = d.spark.sql(f"{BACK} {{t}} GROUP BY customer_id HAVING count(*) > 1", t=d.tasks)
     columns = ["project_id", "task_id", "prerequisite_task_id"]
-    asked = links.filter("turn IS NOT NULL").select(*columns, "turn").unionByName(back)
+    asked = links.filter("turn IS NOT NULL").select(*columns, "turn").unionByName(stored(back, "back-links"))
     return deps.would_cycle_in_order(links.filter("turn IS NULL").select(*columns), asked, "turn").select(*columns, "verdict")
 
 
