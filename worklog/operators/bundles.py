@@ -11,6 +11,7 @@ from worklog.functions.expr import clip_json_strings
 from worklog.operators.latest import current_session, latest_checkpoints, recent_events
 from worklog.operators.resolve import resolve_current_task
 from worklog.operators.scopes import equal_or_all
+from worklog.sources.shared import stored
 
 #: Entries that a list in a bundle has at most; its n_ column counts all. bundle_lists and context_graph have them whole.
 LIST_ROWS = 1000
@@ -22,8 +23,8 @@ def _collected(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[
     """The keys, the first rows of each in the order of the columns as a list, and n_ with the number of all."""
     own = df.select(*keys, F.struct(*columns).alias("_row"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_row"))
-    first = own.withColumn("_n", place).filter(F.col("_n") <= limit).groupBy(*keys).agg(F.sort_array(F.collect_list("_row")).alias(name))
-    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}")).join(first, list(keys))
+    first = F.collect_list(F.when(F.col("_n") <= limit, F.col("_row")))
+    return own.withColumn("_n", place).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sort_array(first).alias(name))
 
 
 def _lists(tables: dict[str, DataFrame], events: int, since: Column | None, compact: bool) -> dict[str, DataFrame]:
@@ -52,7 +53,15 @@ def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10
 
     Lists have limit entries at most, in their order; n_progress and n_events count all.
     """
-    rows = resolve_current_task(ctx, tables["tasks"], tables["sessions"], tables["worktrees"]).join(current_session(tables["sessions"]), ["project_id", "agent_id"], "left")
+    return _with_lists(_resolved(ctx, tables), tables, events, since, compact, limit)
+
+
+def _resolved(ctx: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    return resolve_current_task(ctx, tables["tasks"], tables["sessions"], tables["worktrees"]).join(current_session(tables["sessions"]), ["project_id", "agent_id"], "left")
+
+
+def _with_lists(rows: DataFrame, tables: dict[str, DataFrame], events: int, since: Column | None, compact: bool, limit: int) -> DataFrame:
+    """Context rows with current task and session, and what resume_bundle adds to them."""
     task = tables["tasks"].select("project_id", F.col("id").alias("task_id"), F.struct("id", "display_id", "title", "status", "priority").alias("task"))
     saved = latest_checkpoints(tables["checkpoints"]).select("project_id", "task_id", F.struct("id", "created_at", "done", "remaining").alias("checkpoint"))
     keys = ["project_id", "task_id"]
@@ -75,10 +84,9 @@ def context_graph(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[
         own = rows.join(named, ["project_id", "file"]).select(*CONTEXT, "_start").distinct()
         starts = starts.unionByName(own).distinct()
     ends = ["source_id", "target_id"]
-    touching = None
-    for here, there in (ends, ends[::-1]):
-        met = edges.withColumn("_start", F.col(here)).join(starts, ["project_id", "_start"]).select(*CONTEXT, *ends, "relation_type", F.col(there).alias("id"))
-        touching = met if touching is None else touching.unionByName(met)
+    either = F.explode(F.array(*[F.struct(F.col(here).alias("_start"), F.col(there).alias("id")) for here, there in (ends, ends[::-1])]))
+    sides = edges.select("project_id", *ends, "relation_type", either.alias("_end")).select("project_id", *ends, "relation_type", "_end.*")
+    touching = stored(sides.join(starts, ["project_id", "_start"]).select(*CONTEXT, *ends, "relation_type", "id"), "touching-edges")
     seen = touching.select(*CONTEXT, "id")
     if own is not None:
         seen = seen.unionByName(own.withColumnRenamed("_start", "id"))
@@ -93,9 +101,10 @@ def context_bundle(ctx: DataFrame, tables: dict[str, DataFrame], compact: bool =
     column file where neighbours of files are asked for.
     """
     since = now - F.make_dt_interval(days=F.lit(look_back_days)) if compact and now is not None else None
-    rows = resume_bundle(ctx, tables, events, since, compact, limit)
+    own = stored(_resolved(ctx, tables), "contexts")
+    rows = _with_lists(own, tables, events, since, compact, limit)
     decided = _collected(tables["decisions"], ["project_id", "task_id"], "decisions", ["display_id", "title"], limit)
-    nodes, edges = context_graph(rows, tables["graph_nodes"], tables["graph_edges"])
+    nodes, edges = context_graph(own, tables["graph_nodes"], tables["graph_edges"])
     rows = rows.join(decided, ["project_id", "task_id"], "left").join(_collected(nodes, CONTEXT, "nodes", ["id", "node_type", "name"], limit), CONTEXT, "left")
     return rows.join(_collected(edges, CONTEXT, "edges", ["source_id", "target_id", "relation_type"], limit), CONTEXT, "left")
 
@@ -114,17 +123,20 @@ def team_lists(tables: dict[str, DataFrame], view: str = "commander", key: str |
         raise ValueError(f"unknown view {view}")
     known = tables["teams"].select("project_id", F.col("id").alias("team_id"))
     tasks = tables["tasks"].join(known, ["project_id", "team_id"], "left_semi").withColumn("key", F.col(by[view])).filter("key IS NOT NULL")
+    if key is not None:
+        tasks = tasks.filter(F.col("key") == key)
+    tasks = stored(tasks.select(*dict.fromkeys([*SLICE, "id", "created_at", "status", "owner_agent_id"])), "team-tasks")
     people = tables["team_members"].join(known, ["project_id", "team_id"], "left_semi")
     if view == "task":
         people = people.join(tasks.select(*SLICE, F.col("owner_agent_id").alias("agent_id")), ["project_id", "team_id", "agent_id"])
     else:
         people = people.withColumn("key", F.col("team_id" if view == "commander" else "agent_id"))
     if key is not None:
-        tasks, people = tasks.filter(F.col("key") == key), people.filter(F.col("key") == key)
+        people = people.filter(F.col("key") == key)
     slices = tasks.select(*SLICE, F.col("id").alias("task_id"))
     inside = lambda df: df.join(slices, ["project_id", "task_id"])
     far = slices.withColumnRenamed("task_id", "prerequisite_task_id")
-    scopes = inside(tables["scopes"])
+    scopes = stored(inside(tables["scopes"]).select(*SLICE, *[c for c in tables["scopes"].columns if c not in SLICE]), "team-scopes")
     progress = inside(tables["progress_items"])
     newest = Window.partitionBy(*SLICE).orderBy(F.desc("occurred_at"), F.desc("id"))
     log = inside(tables["events"]).withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= events)

@@ -1125,6 +1125,7 @@ def _(d: Demo) -> DataFrame:
 
 
 def _tables(d: Demo) -> dict[str, DataFrame]:
+    d.keep("wl_tasks")  # most other views are joins with it
     named = ("tasks", "sessions", "worktrees", "progress_items", "decisions", "teams", "team_members", "task_dependencies", "scopes", "handoffs", "graph_nodes", "graph_edges")
     lists = d.checkpoints.withColumns({"done": F.array("role"), "remaining": F.array("branch")})
     return {n: d[f"wl_{n}"] for n in named} | {"checkpoints": lists, "events": d.log}
@@ -1148,8 +1149,8 @@ SELECT t.ctx_id, t.task_id, k.status, (SELECT arg_max(c.id, (c.created_at, c.id)
  (SELECT string_agg(concat_ws(':', e.id, e.type), '|' ORDER BY e.occurred_at, e.id) FROM e WHERE e.task_id = t.task_id AND e.project_id = t.project_id) AS events FROM t JOIN wl_tasks k ON k.id = t.task_id""",
 )
 def _(d: Demo) -> DataFrame:
-    ctx = d.spark.sql(CONTEXTS, h=d.handoffs, g=d.graph_nodes)
-    rows = bundles.resume_bundle(ctx, _tables(d))
+    tables = _tables(d)
+    rows = bundles.resume_bundle(d.spark.sql(CONTEXTS, h=d.handoffs, g=d.graph_nodes), tables)
     return rows.select("ctx_id", "task_id", "task.status", F.col("checkpoint.id").alias("checkpoint_id"), _listed("progress", "position", "id", "type", "content"), _listed("events", "id", "type"))
 
 
@@ -1161,7 +1162,8 @@ UNION ALL SELECT 'events', t.ctx_id, e.id, e.type FROM t JOIN e ON e.project_id
 UNION ALL SELECT 'decisions', t.ctx_id, d.display_id, d.title FROM t JOIN wl_decisions d ON d.project_id = t.project_id AND d.task_id = t.task_id""",
 )
 def _(d: Demo) -> DataFrame:
-    lists = bundles.bundle_lists(d.handoffs.select("project_id", F.col("id").alias("ctx_id"), "task_id"), _tables(d))
+    tables = _tables(d)
+    lists = bundles.bundle_lists(d.handoffs.select("project_id", F.col("id").alias("ctx_id"), "task_id"), tables)
     shown = {"progress": ("id", F.col("position").cast("string")), "events": ("id", F.col("type")), "decisions": ("display_id", F.col("title"))}
     return search.union_hits(*[lists[n].select(F.lit(n).alias("list"), "ctx_id", F.col(i).alias("id"), place.alias("place")) for n, (i, place) in shown.items()])
 
@@ -1179,7 +1181,8 @@ SELECT t.ctx_id, (SELECT string_agg(concat_ws(':', p.position, p.id, p.type, p.c
  (SELECT string_agg(concat_ws(':', x.display_id, x.title), '|' ORDER BY x.display_id) FROM wl_decisions x WHERE x.task_id = t.task_id AND x.project_id = t.project_id) AS decisions, nodes, edges FROM t LEFT JOIN nodes USING (ctx_id) LEFT JOIN edges USING (ctx_id)""",
 )
 def _(d: Demo) -> DataFrame:
-    tables = _tables(d) | {"graph_edges": d.spark.sql(WORK_EDGES, edges=d.graph_edges, items=d.progress_items)}
+    tables = _tables(d)
+    tables["graph_edges"] = d.spark.sql(WORK_EDGES, edges=d.graph_edges, items=d.progress_items)
     rows = bundles.context_bundle(d.spark.sql(CONTEXTS, h=d.handoffs, g=d.graph_nodes), tables, now=F.lit(LOG_NOW).cast("timestamp_ntz"))
     lists = {"progress": ("position", "id", "type", "content"), "events": ("id", "type", "payload_json"), "decisions": ("display_id", "title"), "nodes": ("id", "node_type", "name"), "edges": ("source_id", "target_id", "relation_type")}
     return rows.select("ctx_id", *[_listed(name, *columns) for name, columns in lists.items()])

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from worklog.sources.shared import stored
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"]
 
 #: Each view may use driver's tables and views above it, in braces.
@@ -104,6 +106,10 @@ class Demo:
         """The event log; the plain name is the driver's own table."""
         return self["wl_events"]
 
+    def keep(self, name: str) -> None:
+        """Write a view now; it and the views built on it later read the table."""
+        self.built[name] = stored(self[name], name)
+
     def __getattr__(self, name: str) -> DataFrame:
         return self[f"wl_{name}"]
 
