@@ -45,3 +45,15 @@ def test_a_focus_that_one_project_lacks_leaves_its_graph_whole(spark):
     assert sorted(r.id for r in nodes.collect()) == ["a2", "b0", "b1", "b2"]
     assert [r.source_id for r in edges.collect()] == ["b0"]
     assert nodes.columns == n.columns and edges.columns == e.columns
+
+
+def test_edges_are_derived_once(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: read.add(1) or x, "string")
+    n = spark.createDataFrame([("p", f"n{i}", f"n{i}") for i in range(6)], "project_id string, id string, name string")
+    e = spark.createDataFrame([("p", f"n{i}", f"n{i + 1}", "r") for i in range(5)], "project_id string, source_id string, target_id string, relation_type string")
+    edges = graph.focus_subgraph(n, e.withColumn("source_id", seen("source_id")), "n0", 2)[1]
+    assert sorted(r.target_id for r in edges.collect()) == ["n1", "n2"]
+    assert read.value == 5
