@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -181,44 +182,51 @@ class _Guard(StatefulProcessor):
 
     An event waits until the watermark has reached it; events that come behind the watermark are dropped by Spark as late.
     New events are only added to the list. It is read when a timer says that its first event is due, and what is not due
-    goes back. With keep_ms an event that comes so long after the last one finds nothing known, and the value goes when the
-    watermark has passed the last event by so much.
+    goes back. Each element of the list has many events as one text, because every element and every call on the state is
+    a message between Python and the store. With keep_ms an event that comes so long after the last one finds nothing
+    known, and the value goes when the watermark has passed the last event by so much.
     """
 
+    #: Events of one element.
+    PACK = 4096
+
     def __init__(self, key: str, details: Sequence[str], judge: Judge, keep_ms: int | None):
         self.key, self.details, self.judge, self.keep_ms = key, list(details), judge, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, id string, type string" + "".join(f", {d} boolean" for d in self.details))
+        self.waiting = handle.getListState("waiting", "events string")
         self.known = handle.getValueState("known", "status string, owned boolean, last long")
 
+    def _packed(self, events: list) -> list[tuple[str]]:
+        return [(json.dumps(events[n : n + self.PACK]),) for n in range(0, len(events), self.PACK)]
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         first = None
         for part in rows:
-            new = list(part[["micros", "id", "type", *self.details]].astype(object).itertuples(index=False, name=None))
-            self.waiting.appendList(new)
-            first = min([*([] if first is None else [first]), *[r[0] for r in new]])
+            micros = part["micros"].tolist()
+            self.waiting.appendList(self._packed(list(zip(micros, *[part[c].tolist() for c in ("id", "type", *self.details)], strict=True))))
+            first = min(micros) if first is None else min(first, *micros)
         self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         reached = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
-        due, later = [r for r in held if r[0] <= reached * 1000], [r for r in held if r[0] > reached * 1000]
-        known = self.known.get() if self.known.exists() else None
+        held = sorted((e for (pack,) in self.waiting.get() for e in json.loads(pack)), key=lambda e: (e[0], e[1]))
+        due, later = [e for e in held if e[0] <= reached * 1000], [e for e in held if e[0] > reached * 1000]
+        known = self.known.get()
         memory = {} if known is None else {k: v for k, v in (("status", known[0]), ("owned", known[1])) if v is not None}
         out, last = [], known[2] if known is not None else None
-        for row in due:
-            if self.keep_ms is not None and last is not None and row[0] - last > self.keep_ms * 1000:
+        for event in due:
+            if self.keep_ms is not None and last is not None and event[0] - last > self.keep_ms * 1000:
                 memory.clear()
-            out.append((*key, row[1], row[2], *self.judge(list(row[2:]), memory)))
-            last = row[0]
+            out.append((*key, event[1], event[2], *self.judge(event[2:], memory)))
+            last = event[0]
         if later:
             self.handle.registerTimer(-(-later[0][0] // 1000))
         if due:
             if later:
-                self.waiting.put(later)
+                self.waiting.put(self._packed(later))
             else:
                 self.waiting.clear()
             self.known.update((memory.get("status"), memory.get("owned"), last))
