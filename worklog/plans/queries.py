@@ -903,8 +903,10 @@ def _(d: Demo) -> DataFrame:
     base, folder = shared_folder(d.spark, "live-tables"), shared_folder(d.spark, "archive")
     names = ("tasks", "task_dependencies", *CHILD_TABLES, "sessions", "worktrees")
     paths = {n: f"{base}/{n}" for n in names}
+    d.keep("wl_agents")
     for n, path in paths.items():
         d[f"wl_{n}"].write.parquet(path)
+        d.built[f"wl_{n}"] = d.spark.read.parquet(path)  # most other views are joins with the tasks, which come first
     for _ in range(2):
         retention.retire(d.spark, paths, folder, "one", F.lit(NOW).cast("timestamp_ntz"), 1000)
     link = lambda n: F.col("parent_task_id" if n == "tasks" else "task_id").alias("link")
