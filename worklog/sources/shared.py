@@ -80,3 +80,14 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None, outlive: b
     path = shared_folder(df.sparkSession, name, outlive)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that distinct_rows gives to a task.
+ROWS = 2_000_000
+
+
+def distinct_rows(df: DataFrame, rows: int) -> DataFrame:
+    """distinct() of about so many rows that nearly all differ: they move to tasks of a fixed number of rows first, because
+    a task that groups what it reads takes memory for all of that."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS))
+    return df.repartition(tasks, *df.columns).distinct()
