@@ -106,3 +106,18 @@ def test_whole_table_matches_brute_force(spark):
     got = hn.op11_hard_negatives(spark, "/root/testdata/sf0.001")
     assert got.dtypes == [("anchor_id", "bigint"), ("positive_id", "bigint"), ("rank", "int"), ("negative_id", "bigint"), ("positive_score", "bigint"), ("negative_score", "bigint")]
     assert sorted(map(tuple, got.collect())) == brute(data, 50)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_no_step_is_broadcast_whatever_the_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(hn, "ROWS", 32)
+    monkeypatch.setattr(hn, "ANCHORS", 7)
+    monkeypatch.setattr(hn, "HELD", held, raising=False)
+    data = vectors(random.Random(2), 300, 12, 3, 0.2)
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsCount()
+    got = hn.hard_negatives(frame(spark, data), F.col("vec_id") % 9 == 0).collect()
+    assert sorted(map(tuple, got)) == brute(data, 9)
+    plans = [run.physicalPlanDescription() for run in (runs.executionsList().apply(n) for n in range(before, runs.executionsCount()))]
+    assert any("MapInArrow" in plan for plan in plans)
+    assert not any("BroadcastExchange" in plan for plan in plans)

@@ -2,10 +2,11 @@
 
 1. Rows with a usable vector are sorted by label and length and cut into buckets. A bucket keeps its vectors, and for each
    coordinate its rows in the order of that coordinate of the normalised vector. Buckets are the index, written as a table.
-2. Anchors travel in blocks; a block meets the buckets in the order of falling length. For an anchor with a score still to
-   beat, the bucket's longest vector gives the cosine that is needed, and with it, for the anchor's largest coordinates
-   (the focus), the range in which a row's coordinate has to lie. Rows that are in all ranges are candidates, whose
-   integer scores are computed; a bucket that cannot reach the cosine is passed over.
+2. Anchors travel in blocks. Buckets are dealt to parts, of which a task holds one; each block goes to each part and meets
+   its buckets in the order of falling length. For an anchor with a score still to beat, the bucket's longest vector gives
+   the cosine that is needed, and with it, for the anchor's largest coordinates (the focus), the range in which a row's
+   coordinate has to lie. Rows that are in all ranges are candidates, whose integer scores are computed; a bucket that
+   cannot reach the cosine is passed over.
 3. Positives first: the score to beat is an anchor's least positive so far. Then negatives: each positive sets the range of
    scores, and the score to beat is the lowest that any positive of the anchor can still use.
 
@@ -25,12 +26,14 @@ from . import common
 
 #: Rows of a bucket, anchors of a block, focus coordinates, and the largest component that is told apart.
 ROWS, ANCHORS, FOCUS, MOST = 2048, 512, 3, 1 << 24
+#: Components that the buckets of a part have about at most, and parts for each core, where there are so many buckets.
+HELD, FOR_CORE = 1 << 22, 3
 #: A range is taken so much wider, for rounding; ranges that hold a larger part of a bucket are not worth gathering.
 WIDER, WORTH = 1e-6, 0.5
 #: Sums of products below this are whole numbers in a double.
 EXACT = float(1 << 53)
 
-BLOCK = "label_low long, label_high long, longest double, n int, width int, ids binary, labels binary, vectors binary, orders binary"
+BLOCK = "longest double, n int, width int, ids binary, labels binary, vectors binary, orders binary"
 
 
 def _usable(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -69,8 +72,8 @@ def _blocks(rows: DataFrame, size: int, length: Column, orders: bool) -> DataFra
         order = np.argsort(_normal(vectors, lengths), axis=0, kind="stable").astype(np.uint16).T if orders else np.empty(0, np.uint16)
         small = vectors.astype(np.int16) if np.abs(vectors).max(initial=0) < 1 << 15 else vectors
         parts = [table.column("_id").to_numpy(), labels, small, np.ascontiguousarray(order)]
-        values = [labels.min(), labels.max(), lengths.max(initial=0), len(sizes), width, *(p.astype(p.dtype.newbyteorder("<")).tobytes() for p in parts)]
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        values = [lengths.max(initial=0), len(sizes), width, *(p.astype(p.dtype.newbyteorder("<")).tobytes() for p in parts)]
+        types = [pa.float64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
     n = max(1, min(common.shuffle_partitions(rows.sparkSession), -(-rows.count() // size)))
@@ -88,23 +91,31 @@ class Vectors:
 
     def __init__(self, n: int, width: int, ids: bytes, labels: bytes, vectors: bytes, orders: bytes):
         self.ids, self.labels = np.frombuffer(ids, "<i8"), np.frombuffer(labels, "<i8")
-        self.v = np.frombuffer(vectors, "<i2" if len(vectors) == 2 * n * width else "<i4").reshape(n, width).astype(np.float64)
-        self.lengths = np.sqrt((self.v**2).sum(1))
+        self.v = np.frombuffer(vectors, "<i2" if len(vectors) == 2 * n * width else "<i4").reshape(n, width)
+        self.lengths = np.sqrt((self.v.astype(np.float64) ** 2).sum(1))
         self.longest = self.lengths.max(initial=0)
         self.orders = np.frombuffer(orders, "<u2").reshape(-1, n) if orders else None
         self._sorted: dict[int, np.ndarray] = {}
-        self.normal = _normal(self.v, self.lengths)
+
+    def normal(self, rows: np.ndarray, f: int) -> np.ndarray:
+        """A coordinate of the normalised rows."""
+        return self.v[rows, f] / np.maximum(self.lengths[rows], 1.0)
 
     def sorted(self, f: int) -> np.ndarray:
         """A coordinate of the normalised rows in order."""
         if f not in self._sorted:
-            self._sorted[f] = self.normal[self.orders[f], f]
+            self._sorted[f] = self.normal(self.orders[f], f)
         return self._sorted[f]
 
+    def may_have(self, block: Vectors, same: bool) -> bool:
+        """Whether there may be rows of the same or of another label for anchors of the block."""
+        low, high, other_low, other_high = self.labels.min(), self.labels.max(), block.labels.min(), block.labels.max()
+        return low <= other_high and other_low <= high if same else not low == high == other_low == other_high
+
     def scores(self, rows: np.ndarray | slice, anchors: np.ndarray) -> np.ndarray:
         """Whole scores (anchors, rows)."""
         width = min(self.v.shape[1], anchors.shape[1])
-        own, other = self.v[rows][:, :width], anchors[:, :width]
+        own, other = self.v[rows][:, :width].astype(np.float64), anchors[:, :width]
         if self.longest * np.sqrt((other**2).sum(1).max(initial=0)) >= EXACT:
             return other.astype(np.int64) @ own.astype(np.int64).T
         return (other @ own.T).astype(np.int64)
@@ -143,7 +154,7 @@ def candidates(bucket: Vectors, anchors: np.ndarray, lengths: np.ndarray, least:
             continue
         rows = bucket.orders[focus[k][best]][slice(*spans[best])].astype(np.int64)
         for f, x, y in zip(focus[k], low, high, strict=True):
-            rows = rows[(bucket.normal[rows, f] >= x) & (bucket.normal[rows, f] <= y)]
+            rows = rows[((own_f := bucket.normal(rows, f)) >= x) & (own_f <= y)]
         if len(rows):
             yield np.array([a]), rows
     if whole:
@@ -159,72 +170,72 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def _met(anchors: DataFrame, buckets: DataFrame, same: bool, parts: int) -> DataFrame:
-    """Each anchor block beside each bucket that may have rows of the same or of another label, in order of falling length.
+def _met(anchors: DataFrame, buckets: DataFrame, parts: int) -> DataFrame:
+    """The buckets of each part in order of falling length, and after them every anchor block.
 
-    Buckets are dealt to parts, each block goes to each part: blocks meet blocks, and no row is made for a pair of rows.
+    Parts follow each other within a task. Buckets are dealt to parts, and each block goes to each part as a row of its own:
+    blocks are neither joined with buckets nor sent to all tasks at once, which would take the driver's memory.
     """
-    left = anchors.select(F.col("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *[F.col(c).alias(f"a_{c}") for c in ("label_low", "label_high", "n", "width", "ids", "labels", "vectors", "wanted")])
-    right = buckets.withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int"))
-    if same:
-        may = (F.col("a_label_low") <= F.col("label_high")) & (F.col("label_low") <= F.col("a_label_high"))
-    else:
-        may = ~((F.col("a_label_low") == F.col("label_high")) & (F.col("label_low") == F.col("a_label_high")))
-    met = left.join(right.drop("bucket"), "part").filter(may)
-    return met.sortWithinPartitions("part", "block", F.col("longest").desc())
+    sent = anchors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = buckets.withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int")).drop("bucket")
+    met = sent.unionByName(dealt, allowMissingColumns=True).repartitionById(parts, "part")
+    return met.sortWithinPartitions("part", F.col("block").asc_nulls_first(), F.col("longest").desc()).select(*MET)
+
+
+MET = ["part", "block", "n", "width", "ids", "labels", "vectors", "orders", "wanted"]
 
 
-def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+def _streamed(batches: Iterator[pa.RecordBatch], same: bool) -> Iterator[tuple[dict, Vectors, list[Vectors]]]:
+    """Each anchor block of each part, and the part's buckets that may have rows of the same or of another label."""
+    part, buckets = None, []
     for batch in batches:
         for k in range(batch.num_rows):
             row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-            yield row["block"], row
-
-
-def _block_of(row: dict) -> Vectors:
-    return Vectors(row["a_n"], row["a_width"], row["a_ids"], row["a_labels"], row["a_vectors"], b"")
-
-
-def _bucket_of(row: dict) -> Vectors:
-    return Vectors(row["n"], row["width"], row["ids"], row["labels"], row["vectors"], row["orders"])
+            if row["part"] != part:
+                part, buckets = row["part"], []
+            vectors = Vectors(row["n"], row["width"], row["ids"], row["labels"], row["vectors"], row["orders"] or b"")
+            if row["block"] is None:
+                buckets.append(vectors)
+            else:
+                yield row, vectors, [b for b in buckets if b.may_have(vectors, same)]
 
 
-MET = ["block", "a_n", "a_width", "a_ids", "a_labels", "a_vectors", "a_wanted", "n", "width", "ids", "labels", "vectors", "orders"]
+def _parts(buckets: DataFrame) -> int:
+    """So many that the cores have work, and more where a part would hold too much."""
+    found = buckets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n").cast("long") * F.col("width")).alias("held")).first()
+    return max(1, min(found.n, max(FOR_CORE * buckets.sparkSession.sparkContext.defaultParallelism, -(-(found.held or 0) // HELD))))
 
 
 def _positives(met: DataFrame, k: int) -> DataFrame:
     """block, place (of the anchor), id and score of each task's k + 1 best rows of the anchor's label, itself included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, at, best = None, None, []
-        for b, row in _streamed(batches):
-            if b != at:
-                yield _flat(at, best)
-                at, block = b, _block_of(row)
-                best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(block.ids)
-            bucket = _bucket_of(row)
-            shared = np.isin(block.labels, bucket.labels)
-            least = np.array([s[-1] if len(s) > k else -np.inf for s, _ in best], np.float64)
-            least[~shared] = np.inf
-            for anchors, rows in candidates(bucket, block.v, block.lengths, least):
-                scores, ids, labels = bucket.scores(rows, block.v[anchors]), bucket.ids[rows], bucket.labels[rows]
-                for a, own in zip(anchors, scores, strict=True):
-                    good = (labels == block.labels[a]) & (own >= least[a])
-                    if good.any():
-                        s, i = _best(own[good], ids[good], k + 1)
-                        best[a] = _best(np.concatenate([best[a][0], s]), np.concatenate([best[a][1], i]), k + 1)
-        yield _flat(at, best)
-
-    return met.select(*MET).mapInArrow(run, "block long, place int, number int, id long, score long")
-
-
-def _flat(block: int | None, best: list, number: list[int] | None = None, names: str = "id") -> pa.RecordBatch:
+        for row, block, buckets in _streamed(batches, True):
+            of_anchors = block.v.astype(np.float64)
+            best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(block.ids)
+            for bucket in buckets:
+                shared = np.isin(block.labels, bucket.labels)
+                least = np.array([s[-1] if len(s) > k else -np.inf for s, _ in best], np.float64)
+                least[~shared] = np.inf
+                for anchors, rows in candidates(bucket, of_anchors, block.lengths, least):
+                    scores, ids, labels = bucket.scores(rows, of_anchors[anchors]), bucket.ids[rows], bucket.labels[rows]
+                    for a, own in zip(anchors, scores, strict=True):
+                        good = (labels == block.labels[a]) & (own >= least[a])
+                        if good.any():
+                            s, i = _best(own[good], ids[good], k + 1)
+                            best[a] = _best(np.concatenate([best[a][0], s]), np.concatenate([best[a][1], i]), k + 1)
+            yield _flat(row["block"], best)
+
+    return met.mapInArrow(run, "block long, place int, number int, id long, score long")
+
+
+def _flat(block: int, best: list, number: list[int] | None = None, names: str = "id") -> pa.RecordBatch:
     """The best of each entry as rows; an entry is an anchor, or one of its positives."""
     sizes = [len(s) for s, _ in best]
     empty = np.empty(0, np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(sum(sizes), block or 0, np.int64)),
+            pa.array(np.full(sum(sizes), block, np.int64)),
             pa.array(np.repeat(np.arange(len(best)), sizes).astype(np.int32) if number is None else np.repeat(np.array(number, np.int64)[:, 0], sizes).astype(np.int32) if best else empty.astype(np.int32)),
             pa.array(np.zeros(sum(sizes), np.int32) if number is None else np.repeat(np.array(number, np.int64)[:, 1], sizes).astype(np.int32) if best else empty.astype(np.int32)),
             pa.array(np.concatenate([empty, *[i for _, i in best]])),
@@ -238,39 +249,36 @@ def _negatives(met: DataFrame, k: int, low: int, high: int) -> DataFrame:
     """block, place, number (of the positive), id and score of each task's k best rows of other labels for each positive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, at, best, asked, least = None, None, [], [], None
-        for b, row in _streamed(batches):
-            if b != at:
-                yield _flat(at, best, asked)
-                at, block = b, _block_of(row)
-                asked = [(w["place"], w["number"]) for w in row["a_wanted"]]
-                positive = np.array([w["score"] for w in row["a_wanted"]], np.int64)
-                floor, ceiling = -(-low * positive // 100), high * positive // 100  # a negative score at these percentages has an empty range
-                best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(asked)
-                of = [[] for _ in block.ids]
-                for w, (place, _) in enumerate(asked):
-                    if floor[w] <= ceiling[w]:
-                        of[place].append(w)
-                need = floor.copy()
-            bucket = _bucket_of(row)
-            least = np.array([min((need[w] for w in own), default=np.inf) for own in of], np.float64)
-            for anchors, rows in candidates(bucket, block.v, block.lengths, least):
-                scores, ids, labels = bucket.scores(rows, block.v[anchors]), bucket.ids[rows], bucket.labels[rows]
-                for a, own in zip(anchors, scores, strict=True):
-                    good = np.flatnonzero((labels != block.labels[a]) & (own >= least[a]))
-                    if not len(good):
-                        continue
-                    s, i = own[good], ids[good]
-                    for w in of[a]:
-                        fits = (s <= ceiling[w]) & (s >= need[w])
-                        if fits.any():
-                            more = _best(s[fits], i[fits], k)
-                            best[w] = _best(np.concatenate([best[w][0], more[0]]), np.concatenate([best[w][1], more[1]]), k)
-                            if len(best[w][0]) == k:
-                                need[w] = best[w][0][-1]
-        yield _flat(at, best, asked)
-
-    return met.select(*MET).mapInArrow(run, "block long, place int, number int, id long, score long")
+        for row, block, buckets in _streamed(batches, False):
+            of_anchors = block.v.astype(np.float64)
+            asked = [(w["place"], w["number"]) for w in row["wanted"]]
+            positive = np.array([w["score"] for w in row["wanted"]], np.int64)
+            floor, ceiling = -(-low * positive // 100), high * positive // 100  # a negative score at these percentages has an empty range
+            best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(asked)
+            of = [[] for _ in block.ids]
+            for w, (place, _) in enumerate(asked):
+                if floor[w] <= ceiling[w]:
+                    of[place].append(w)
+            need = floor.copy()
+            for bucket in buckets:
+                least = np.array([min((need[w] for w in own), default=np.inf) for own in of], np.float64)
+                for anchors, rows in candidates(bucket, of_anchors, block.lengths, least):
+                    scores, ids, labels = bucket.scores(rows, of_anchors[anchors]), bucket.ids[rows], bucket.labels[rows]
+                    for a, own in zip(anchors, scores, strict=True):
+                        good = np.flatnonzero((labels != block.labels[a]) & (own >= least[a]))
+                        if not len(good):
+                            continue
+                        s, i = own[good], ids[good]
+                        for w in of[a]:
+                            fits = (s <= ceiling[w]) & (s >= need[w])
+                            if fits.any():
+                                more = _best(s[fits], i[fits], k)
+                                best[w] = _best(np.concatenate([best[w][0], more[0]]), np.concatenate([best[w][1], more[1]]), k)
+                                if len(best[w][0]) == k:
+                                    need[w] = best[w][0][-1]
+            yield _flat(row["block"], best, asked)
+
+    return met.mapInArrow(run, "block long, place int, number int, id long, score long")
 
 
 def hard_negatives(
@@ -286,24 +294,23 @@ def hard_negatives(
     identifier count each for itself, as anchors too; a copy of the anchor is another row. An empty table, one label
     alone, empty vectors and anchors without positives or negatives give no rows. Other columns are not read.
     """
-    spark = rows.sparkSession
     usable = common.stored(_usable(rows, id_col, vector_col, label_col), "usable-vectors")
     asked = common.stored(_usable(rows.filter(anchors), id_col, vector_col, label_col), "anchors")
     square = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     number = lambda df, name: df.withColumn(name, F.monotonically_increasing_id())
     buckets = common.stored(number(_blocks(usable, ROWS, square, orders=True), "bucket"), "length-buckets")
-    blocks = common.stored(number(_blocks(asked, ANCHORS, square, orders=False).select("label_low", "label_high", "n", "width", "ids", "labels", "vectors"), "block"), "anchor-blocks")
-    parts = max(1, min(common.shuffle_partitions(spark), buckets.count()))
+    blocks = common.stored(number(_blocks(asked, ANCHORS, square, orders=False).select("n", "width", "ids", "labels", "vectors"), "block"), "anchor-blocks")
+    parts = _parts(buckets)
     nothing = blocks.withColumn("wanted", F.array().cast("array<struct<place:int,number:int,score:long>>"))
-    near = _positives(_met(nothing, buckets, True, parts), positives)
+    near = _positives(_met(nothing, buckets, parts), positives)
     order = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "id")
     first = common.stored(near.withColumn("number", F.row_number().over(order)).filter(F.col("number") <= positives + 1), "best-rows")
     chosen = common.stored(_without_anchor(first, _anchor_rows(blocks), positives), "positives")
     wanted = chosen.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "number", F.col("positive_score").alias("score")))).alias("wanted"))
-    found = _negatives(_met(blocks.join(wanted, "block"), buckets, False, parts), negatives, low, high)
+    found = _negatives(_met(blocks.join(wanted.hint("merge"), "block"), buckets, parts), negatives, low, high)
     order = Window.partitionBy("block", "place", "number").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
-    return ranked.join(chosen, ["block", "place", "number"]).select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    return ranked.join(chosen.hint("merge"), ["block", "place", "number"]).select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
 def _anchor_rows(blocks: DataFrame) -> DataFrame:
@@ -324,7 +331,7 @@ def _anchor_rows(blocks: DataFrame) -> DataFrame:
 
 def _without_anchor(best: DataFrame, anchors: DataFrame, positives: int) -> DataFrame:
     """The positives: the anchor's own row, one of those with its identifier and score, is left out where it is among the best."""
-    rows = best.join(anchors, ["block", "place"])
+    rows = best.join(anchors.hint("merge"), ["block", "place"])
     itself = (F.col("id") == F.col("anchor_id")) & (F.col("score") == F.col("own_score"))
     of = Window.partitionBy("block", "place")
     place = F.min(F.when(itself, F.col("number"))).over(of)
