@@ -13,18 +13,17 @@ from worklog.operators.resolve import resolve_current_task
 from worklog.operators.scopes import equal_or_all
 from worklog.sources.shared import stored
 
-#: Entries that a list in a bundle has at most; its n_ column counts all. bundle_lists and context_graph have them whole.
-LIST_ROWS = 1000
 SLICE = ["project_id", "team_id", "key"]
 CONTEXT = ["project_id", "ctx_id"]
 
 
-def _collected(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[str | Column], limit: int) -> DataFrame:
-    """The keys, the first rows of each in the order of the columns as a list, and n_ with the number of all."""
-    own = df.select(*keys, F.struct(*columns).alias("_row"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_row"))
-    first = F.collect_list(F.when(F.col("_n") <= limit, F.col("_row")))
-    return own.withColumn("_n", place).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sort_array(first).alias(name))
+def _collected(df: DataFrame, keys: Sequence[str], name: str, columns: Sequence[str | Column], limit: int | None = None) -> DataFrame:
+    """The keys, all rows of each, or the first so many, in the order of the columns as a list, and n_ with the number of all."""
+    own, kept = df.select(*keys, F.struct(*columns).alias("_row")), F.col("_row")
+    if limit is not None:
+        own = own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_row")))
+        kept = F.when(F.col("_n") <= limit, kept)
+    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sort_array(F.collect_list(kept)).alias(name))
 
 
 def _lists(tables: dict[str, DataFrame], events: int, since: Column | None, compact: bool) -> dict[str, DataFrame]:
@@ -40,32 +39,32 @@ def _lists(tables: dict[str, DataFrame], events: int, since: Column | None, comp
 def bundle_lists(rows: DataFrame, tables: dict[str, DataFrame], events: int = 10, since: Column | None = None, compact: bool = False) -> dict[str, DataFrame]:
     """progress, events and decisions of each context row (project_id, ctx_id, task_id), whole, as tables with its project_id and ctx_id.
 
-    They have all that the lists of resume_bundle and context_bundle have, without their limit; the nodes and edges of
-    context_bundle are those of context_graph.
+    They have all that the lists of resume_bundle and context_bundle have, for lists that are too long for one row; the nodes
+    and edges of context_bundle are those of context_graph.
     """
     of = rows.filter("task_id IS NOT NULL").select(*CONTEXT, "task_id").distinct()
     lists = _lists(tables, events, since, compact) | {"decisions": tables["decisions"].select("project_id", "task_id", "display_id", "title")}
     return {name: of.join(df, ["project_id", "task_id"]).drop("task_id") for name, df in lists.items()}
 
 
-def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10, since: Column | None = None, compact: bool = False, limit: int = LIST_ROWS) -> DataFrame:
+def resume_bundle(ctx: DataFrame, tables: dict[str, DataFrame], events: int = 10, since: Column | None = None, compact: bool = False) -> DataFrame:
     """Per context row: current session and task, latest checkpoint, visible progress and the newest events.
 
-    Lists have limit entries at most, in their order; n_progress and n_events count all.
+    Lists are whole and in their order; n_progress and n_events count them.
     """
-    return _with_lists(_resolved(ctx, tables), tables, events, since, compact, limit)
+    return _with_lists(_resolved(ctx, tables), tables, events, since, compact)
 
 
 def _resolved(ctx: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return resolve_current_task(ctx, tables["tasks"], tables["sessions"], tables["worktrees"]).join(current_session(tables["sessions"]), ["project_id", "agent_id"], "left")
 
 
-def _with_lists(rows: DataFrame, tables: dict[str, DataFrame], events: int, since: Column | None, compact: bool, limit: int) -> DataFrame:
+def _with_lists(rows: DataFrame, tables: dict[str, DataFrame], events: int, since: Column | None, compact: bool) -> DataFrame:
     """Context rows with current task and session, and what resume_bundle adds to them."""
     task = tables["tasks"].select("project_id", F.col("id").alias("task_id"), F.struct("id", "display_id", "title", "status", "priority").alias("task"))
     saved = latest_checkpoints(tables["checkpoints"]).select("project_id", "task_id", F.struct("id", "created_at", "done", "remaining").alias("checkpoint"))
     keys = ["project_id", "task_id"]
-    whole = [_collected(df, keys, name, [c for c in df.columns if c not in keys], limit) for name, df in _lists(tables, events, since, compact).items()]
+    whole = [_collected(df, keys, name, [c for c in df.columns if c not in keys]) for name, df in _lists(tables, events, since, compact).items()]
     for side in (task, saved, *whole):
         rows = rows.join(side, keys, "left")
     return rows
@@ -94,19 +93,19 @@ def context_graph(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[
     return found.select(*CONTEXT, "id", "node_type", "name"), touching.select(*CONTEXT, *ends, "relation_type").distinct()
 
 
-def context_bundle(ctx: DataFrame, tables: dict[str, DataFrame], compact: bool = True, now: Column | None = None, look_back_days: int = 7, events: int = 10, limit: int = LIST_ROWS) -> DataFrame:
+def context_bundle(ctx: DataFrame, tables: dict[str, DataFrame], compact: bool = True, now: Column | None = None, look_back_days: int = 7, events: int = 10) -> DataFrame:
     """The resume bundle with the task's decisions, and the nodes and edges round the task and the context's file.
 
-    The compact form has open progress alone, clips long strings and looks back so many days. ctx needs a ctx_id, and a
-    column file where neighbours of files are asked for.
+    The compact form has open progress alone, clips long strings and looks back so many days. Lists are whole; events are
+    the newest so many. ctx needs a ctx_id, and a column file where neighbours of files are asked for.
     """
     since = now - F.make_dt_interval(days=F.lit(look_back_days)) if compact and now is not None else None
     own = stored(_resolved(ctx, tables), "contexts")
-    rows = _with_lists(own, tables, events, since, compact, limit)
-    decided = _collected(tables["decisions"], ["project_id", "task_id"], "decisions", ["display_id", "title"], limit)
+    rows = _with_lists(own, tables, events, since, compact)
+    decided = _collected(tables["decisions"], ["project_id", "task_id"], "decisions", ["display_id", "title"])
     nodes, edges = context_graph(own, tables["graph_nodes"], tables["graph_edges"])
-    rows = rows.join(decided, ["project_id", "task_id"], "left").join(_collected(nodes, CONTEXT, "nodes", ["id", "node_type", "name"], limit), CONTEXT, "left")
-    return rows.join(_collected(edges, CONTEXT, "edges", ["source_id", "target_id", "relation_type"], limit), CONTEXT, "left")
+    rows = rows.join(decided, ["project_id", "task_id"], "left").join(_collected(nodes, CONTEXT, "nodes", ["id", "node_type", "name"]), CONTEXT, "left")
+    return rows.join(_collected(edges, CONTEXT, "edges", ["source_id", "target_id", "relation_type"]), CONTEXT, "left")
 
 
 def team_lists(tables: dict[str, DataFrame], view: str = "commander", key: str | None = None, events: int = 50) -> dict[str, DataFrame]:
@@ -157,11 +156,11 @@ def team_lists(tables: dict[str, DataFrame], view: str = "commander", key: str |
     }
 
 
-def team_context(tables: dict[str, DataFrame], view: str = "commander", key: str | None = None, events: int = 50, limit: int = LIST_ROWS) -> DataFrame:
+def team_context(tables: dict[str, DataFrame], view: str = "commander", key: str | None = None, events: int = 50, limit: int | None = None) -> DataFrame:
     """A row for each slice of team_lists: name of the team, its lists and rebuild_session.
 
-    A list has limit entries at most, the first in the order of its columns, so that no row grows with a team; n_ and its
-    name counts all of them, and team_lists has them whole.
+    A list is whole; where limit is given, it has so many entries at most, the first in the order of its columns. n_ and its
+    name counts all of them. A row grows with its team; team_lists has the lists as tables.
     """
     parts = team_lists(tables, view, key, events)
     named = tables["teams"].select("project_id", F.col("id").alias("team_id"), "name")
